@@ -1,0 +1,5 @@
+"""Reserved.
+
+All inputs of this library are bounded daily tables, so there is no streaming
+operator to offer; the package exists only to keep the layout stable.
+"""
