@@ -213,12 +213,9 @@ def candidate_table(bars: DataFrame, name: str, grid=None, smooth=None) -> DataF
     """(ticker, strategy, params, pid, signal_smooth) of a grid, without evaluating it."""
     strategy = get_strategy(name)
     grid, smooth = _grid_of(strategy, grid, smooth)
-    full = g.build_grid(bars.sparkSession, {**grid, "signal_smooth": smooth}, strategy.valid)
-    full = full.select("params", F.floor(F.col("pid") / len(smooth)).alias("pid"), "signal_smooth", F.lit(name).alias("strategy"))
-    tickers = bars.select("ticker").distinct()
-    # tickers x grid is the size of the result; the grid rides along as an exploded literal
-    packed = full.agg(F.collect_list(F.struct("strategy", "params", "pid", "signal_smooth")).alias("c"))
-    return tickers.join(F.broadcast(packed), F.lit(True)).select("ticker", F.inline("c"))
+    full = g.build_grid(bars.select("ticker").distinct(), {**grid, "signal_smooth": smooth}, strategy.valid)
+    return full.select("ticker", F.lit(name).alias("strategy"), "params",
+                       F.floor(F.col("pid") / len(smooth)).alias("pid"), "signal_smooth")
 
 
 def remaining(bars: DataFrame, name: str, done: DataFrame, grid=None, smooth=None) -> DataFrame:

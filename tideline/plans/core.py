@@ -179,7 +179,7 @@ _GRID_COUNTS = {"tsmom": 11760, "ma_cross": 3840, "macd": 12180, "rsi": 47960, "
 @query("prj_grid_counts", "select strategy, ticker, n as candidates from (values "
        + ",".join(f"('{a}',{b})" for a, b in _GRID_COUNTS.items()) + ") s(strategy,n), (select distinct o_orderpriority as ticker from orders)")
 def _(t):
-    bars, out = v.order_bars(t), None
+    bars, out = t.orders.select(F.col("o_orderpriority").alias("ticker")), None
     for name in STRATEGIES:
         if not name.startswith("ml_"):
             part = candidate_table(bars, name).groupBy("strategy", "ticker").agg(F.count(F.lit(1)).alias("candidates"))
@@ -228,14 +228,15 @@ def _(t):
 @query("prj_quick_sample")
 def _(t):
     """Five distinct, well-spread candidates per strategy, evaluated per ticker by the search queries."""
-    tickers, out = v.order_bars(t).select("ticker").distinct(), None
+    tickers, out = t.orders.select(F.col("o_orderpriority").alias("ticker")).distinct(), None
     for name in ("tsmom", "ma_cross", "rsi"):
         s = STRATEGIES[name]
         full_grid = s.full_grid()
-        picked = g.quick_sample(g.build_grid(t.spark, full_grid, s.valid), full_grid, 5, name).select(F.lit(name).alias("strategy"), "params")
-        out = picked if out is None else out.unionByName(picked)
-    packed = out.agg(F.collect_list(F.struct("strategy", "params")).alias("c"))
-    return tickers.join(F.broadcast(packed), F.lit(True)).select("ticker", F.inline("c"))
+        draws = g.quick_sample(g.build_grid(t.spark, full_grid, s.valid), full_grid, 5, name).select("pid")
+        rows = g.build_grid(tickers, full_grid, s.valid).join(F.broadcast(draws), "pid", "left_semi")
+        rows = rows.select("ticker", F.lit(name).alias("strategy"), "params")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- schedules --------------------------------------------------------------------------------------------------------
