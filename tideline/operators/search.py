@@ -11,16 +11,19 @@ bars x candidates rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as k
+from ..session import cut_lineage
 from . import grid as g
 from .ledger import LedgerOptions, ledger, proportional_ledger, sequential_ledger, with_market
 from .metrics import ACTIVITY_METRICS, RETURN_METRICS, period_metrics
-from .splits import with_folds, with_periods
+from .selection import survivors
+from .splits import halving_resources, with_folds, with_periods
 from .strategies import Strategy, get_strategy
 
 ORDER = ("_blk", "_seq")
@@ -28,13 +31,63 @@ ORDER = ("_blk", "_seq")
 BROADCAST_GRID_ROWS = 200_000
 
 
-def _grid_of(strategy: Strategy, grid: Mapping | None, smooth: Sequence[int] | None):
+def _session(base):
+    return base.sparkSession if isinstance(base, DataFrame) else base
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """A search space: a product grid, or an explicit list of parameter sets."""
+
+    strategy: Strategy
+    grid: Mapping[str, Sequence] | None
+    rows: Sequence[Mapping] | None
+    smooth: Sequence[int]
+
+    @property
+    def names(self) -> list[str]:
+        """Parameters that decide the unsmoothed target."""
+        return list(self.grid) if self.grid is not None else [n for n in self.rows[0] if n != "signal_smooth"]
+
+    @property
+    def size(self) -> int:
+        return (g.grid_size(self.grid) if self.grid is not None else len(self.rows)) * len(self.smooth)
+
+    def settings(self) -> list[dict]:
+        if self.grid is not None:
+            return g.combinations(self.grid, self.strategy.on, self.strategy.valid)
+        return list({tuple(row[n] for n in self.strategy.on): {n: row[n] for n in self.strategy.on} for row in self.rows}.values())
+
+    def values(self) -> dict[str, list]:
+        return dict(self.grid) if self.grid is not None else {n: [row[n] for row in self.rows] for n in self.names}
+
+    def table(self, base) -> DataFrame:
+        """pid and the parameters; a list also pins each row's smoothing span."""
+        if self.grid is not None:
+            return g.build_grid(base, self.grid, self.strategy.valid).drop("params")
+        spans = [{**row, "_span": row.get("signal_smooth", 0)} for row in self.rows]
+        return g.build_rows(base, spans, [*self.names, "_span"]).drop("params")
+
+    def labels(self, base) -> DataFrame:
+        """pid, signal_smooth and the canonical params text."""
+        if self.grid is None:
+            return g.build_rows(base, self.rows, self.names).select(
+                *(["ticker"] if isinstance(base, DataFrame) else []), "pid", "params").join(self.table(_session(base)).select("pid", F.col("_span").alias("signal_smooth")), "pid")
+        full = g.build_grid(base, {**self.grid, "signal_smooth": self.smooth}, self.strategy.valid)
+        return full.select(F.floor(F.col("pid") / len(self.smooth)).alias("pid"), "signal_smooth", "params",
+                           *([c for c in ("ticker",) if c in full.columns]))
+
+
+def space(name: str, grid=None, smooth: Sequence[int] | None = None) -> Candidates:
+    strategy = get_strategy(name)
+    if grid is not None and not isinstance(grid, Mapping):
+        rows = [{**strategy.defaults, **row} for row in grid]
+        return Candidates(strategy, None, rows, sorted({row.get("signal_smooth", 0) for row in rows}))
     grid = dict(grid or strategy.grid)
     own = grid.pop("signal_smooth", None)
     smooth = list(smooth if smooth is not None else own if own is not None else strategy.smooth)
-    missing = set(strategy.grid) - set(grid)
-    grid.update({n: [strategy.defaults[n]] for n in missing})
-    return grid, smooth
+    grid.update({n: [strategy.defaults[n]] for n in set(strategy.grid) - set(grid)})
+    return Candidates(strategy, grid, None, smooth)
 
 
 def with_machine(df: DataFrame, strategy: Strategy, ids: Sequence[str]) -> DataFrame:
@@ -58,38 +111,34 @@ def candidate_keys(strategy: Strategy) -> tuple[str, ...]:
     return ("ticker", *strategy.on, "chunk", "pid", "signal_smooth")
 
 
-def candidate_targets(bars: DataFrame, name: str, grid: Mapping | None = None, smooth: Sequence[int] | None = None,
-                      chunks: int = 1, only: DataFrame | None = None) -> DataFrame:
+def candidate_targets(bars: DataFrame, found: Candidates, chunks: int = 1, only: DataFrame | None = None) -> DataFrame:
     """Bars x candidates with ``target``; ``only`` restricts to given (ticker, pid, signal_smooth) rows.
 
     ``chunks`` replicates the panel so that candidates of one indicator setting
     spread over several tasks.
     """
-    strategy = get_strategy(name)
-    grid, smooth = _grid_of(strategy, grid, smooth)
-    combos = g.combinations(grid, strategy.on, strategy.valid)
-    panel = strategy.panel(bars, combos, grid)
+    strategy, names, smooth = found.strategy, found.names, found.smooth
+    panel = strategy.panel(bars, found.settings(), found.values())
     values = [c for c in panel.columns if c.startswith("v") and c[1:].isdigit()]
     carried = [c for c in dict.fromkeys([*bars.columns, *ORDER]) if c not in strategy.on]
     panel = panel.select(*carried, *strategy.on, *values)
     spread = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if chunks > 1 else F.lit(0)
     panel = panel.withColumn("chunk", spread).repartition("ticker", *strategy.on, "chunk")
-    rows = g.build_grid(bars.sparkSession, grid, strategy.valid).drop("params")
-    rows = rows.withColumn("chunk", F.pmod("pid", F.lit(chunks)).cast("int"))
-    if g.grid_size(grid) <= BROADCAST_GRID_ROWS:
+    rows = found.table(bars.sparkSession).withColumn("chunk", F.pmod("pid", F.lit(chunks)).cast("int"))
+    if found.size <= BROADCAST_GRID_ROWS:
         rows = F.broadcast(rows)
     df = panel.join(rows, [*strategy.on, "chunk"])
     if only is not None:
         df = df.join(only.select("ticker", "pid").distinct(), ["ticker", "pid"], "left_semi")
     ids = ("ticker", *strategy.on, "chunk", "pid")
+    extra = [c for c in ("position_size", "_span") if c in rows.columns]
     if strategy.machine is not None:
         df = with_machine(df.select(*carried, *strategy.on, "chunk", "pid", *values,
                                     *[p for p in strategy.machine_params if p not in strategy.on],
-                                    *(["position_size"] if "position_size" in grid else [])), strategy, ids)
+                                    *extra), strategy, ids)
     else:
-        df = df.withColumn("target", strategy.signal({n: F.col(n) for n in grid}))
-    size = ["position_size"] if "position_size" in grid else []
-    df = df.select(*carried, *strategy.on, "chunk", "pid", "target", *size)
+        df = df.withColumn("target", strategy.signal({n: F.col(n) for n in names}))
+    df = df.select(*carried, *strategy.on, "chunk", "pid", "target", *extra)
     spans = [s for s in smooth if s > 0]
     if spans:
         df = k.with_ewm(df, [("target", k.span_alpha(s), f"_sm_{s}") for s in spans], ids)
@@ -97,8 +146,10 @@ def candidate_targets(bars: DataFrame, name: str, grid: Mapping | None = None, s
         F.struct(F.lit(s).alias("signal_smooth"), F.col(f"_sm_{s}" if s > 0 else "target").alias("_target")) for s in smooth
     ])
     df = df.select(*[c for c in df.columns if not c.startswith("_sm_")], F.inline(variants))
-    target = F.col("_target") * F.col("position_size") if size else F.col("_target")
-    df = df.withColumn("target", target).drop("_target", *size)
+    if "_span" in extra:
+        df = df.filter(F.col("signal_smooth") == F.col("_span"))
+    target = F.col("_target") * F.col("position_size") if "position_size" in extra else F.col("_target")
+    df = df.withColumn("target", target).drop("_target", *extra)
     if only is not None:
         df = df.join(only.select("ticker", "pid", "signal_smooth"), ["ticker", "pid", "signal_smooth"], "left_semi")
     return df
@@ -147,11 +198,11 @@ def development_bars(bars: DataFrame, opts: LedgerOptions, folds: int = 4, sched
     return marked.filter(F.col("period").isin("train", "val"))
 
 
-def candidate_ledgers(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, smooth=None, chunks: int = 1,
+def candidate_ledgers(bars: DataFrame, found: Candidates, opts: LedgerOptions, chunks: int = 1,
                       only: DataFrame | None = None) -> DataFrame:
     """Ledger rows of every candidate; ``bars`` already carry the market columns."""
-    df = candidate_targets(bars, name, grid, smooth, chunks, only)
-    keys = candidate_keys(get_strategy(name))
+    df = candidate_targets(bars, found, chunks, only)
+    keys = candidate_keys(found.strategy)
     if opts.proportional:
         return proportional_ledger(df, opts, keys, ORDER)
     group = [c for c in keys if c not in ("pid", "signal_smooth")]
@@ -164,29 +215,24 @@ def evaluate_grid(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, sm
 
     ``bars`` come from :func:`development_bars` (or a prefix of it).
     """
-    strategy = get_strategy(name)
-    grid, smooth = _grid_of(strategy, grid, smooth)
-    led = candidate_ledgers(bars, name, opts, grid, smooth, chunks, only)
-    keys = candidate_keys(strategy)
+    found = space(name, grid, smooth)
+    led = candidate_ledgers(bars, found, opts, chunks, only)
+    keys = candidate_keys(found.strategy)
     long = period_metrics(led, (*keys, "period"), risk_free_rate, ORDER, folds)
     metrics = [m for m in (*RETURN_METRICS, *ACTIVITY_METRICS)]
     wide = long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("period") == p, F.col(m))).alias(f"{p}_{m}") for p in ("train", "val") for m in metrics],
         F.max(F.when(F.col("period") == "val", F.col("fold_sharpes"))).alias("val_fold_sharpes"),
     )
-    width = len(smooth)
-    place = F.array_position(F.array(*[F.lit(s) for s in smooth]), F.col("signal_smooth")) - 1
-    names = g.build_grid(bars.sparkSession, {**grid, "signal_smooth": smooth}, strategy.valid).select(
-        F.col("pid").alias("full_pid"), "params")
-    if g.grid_size(grid) * width <= BROADCAST_GRID_ROWS:
+    names = found.labels(bars.sparkSession)
+    if found.size <= BROADCAST_GRID_ROWS:
         names = F.broadcast(names)
     bad = F.lit(False)
     for m in RETURN_METRICS:
         x = F.col(f"val_{m}")
         bad = bad | F.isnan(x) | (F.abs(x) == float("inf"))
     return (
-        wide.withColumn("full_pid", F.col("pid") * width + place)
-        .join(names, "full_pid")
+        wide.join(names, ["pid", "signal_smooth"])
         .withColumn("strategy", F.lit(name))
         .withColumn("error", F.when(F.coalesce(bad, F.lit(False)), "evaluation metrics exceed numerical range"))
         .select("ticker", "strategy", "params", "pid", "signal_smooth", "error",
@@ -211,11 +257,8 @@ def run_search(bars: DataFrame, strategies: Sequence[str], opts: LedgerOptions,
 
 def candidate_table(bars: DataFrame, name: str, grid=None, smooth=None) -> DataFrame:
     """(ticker, strategy, params, pid, signal_smooth) of a grid, without evaluating it."""
-    strategy = get_strategy(name)
-    grid, smooth = _grid_of(strategy, grid, smooth)
-    full = g.build_grid(bars.select("ticker").distinct(), {**grid, "signal_smooth": smooth}, strategy.valid)
-    return full.select("ticker", F.lit(name).alias("strategy"), "params",
-                       F.floor(F.col("pid") / len(smooth)).alias("pid"), "signal_smooth")
+    full = space(name, grid, smooth).labels(bars.select("ticker").distinct())
+    return full.select("ticker", F.lit(name).alias("strategy"), "params", "pid", "signal_smooth")
 
 
 def remaining(bars: DataFrame, name: str, done: DataFrame, grid=None, smooth=None) -> DataFrame:
@@ -229,3 +272,47 @@ def ledger_of(bars: DataFrame, name: str, opts: LedgerOptions, **params) -> Data
     market = with_market(bars, opts)
     target = positions(bars, name, **params)
     return ledger(market.join(target, ["ticker", "date"]), opts)
+
+
+def stage_bars(dev: DataFrame, resources: DataFrame, stage: int) -> DataFrame:
+    """Development bars of one halving stage: all training rows and the first validation rows."""
+    w = Window.partitionBy("ticker", "period").orderBy("date")
+    cut = resources.filter(F.col("stage") == stage).select("ticker", "resource_bars")
+    rows = dev.withColumn("_v", F.row_number().over(w)).join(cut, "ticker")
+    rows = rows.filter((F.col("period") == "train") | (F.col("_v") <= F.col("resource_bars"))).drop("_v", "resource_bars", "fold")
+    return with_folds(rows, FOLDS)
+
+
+FOLDS = 4
+
+
+def successive_halving(bars: DataFrame, strategies: Sequence[str], opts: LedgerOptions, grids: Mapping | None = None,
+                       smooth: Sequence[int] | None = None, stages: int = 3, factor: int = 3, minimum: int = 2,
+                       chunks: int = 1, risk_free_rate: float = 0.0) -> DataFrame:
+    """Score all candidates on a short validation prefix, keep the best share, repeat on longer prefixes.
+
+    Returns one row per (stage, ticker, candidate) with its metrics, score and
+    whether it advanced; the last stage holds the full-history results. Every
+    stage is written before the next one reads its survivors, so a lost
+    executor never replays earlier stages. Only the number of stages loops on
+    the driver.
+    """
+    dev = development_bars(bars, opts, FOLDS)
+    totals = dev.filter("period = 'val'").groupBy("ticker").agg(F.count(F.lit(1)).alias("total"))
+    resources = cut_lineage(halving_resources(totals, "total", stages, factor, minimum))
+    alive, history = None, None
+    for stage in range(stages):
+        rows = stage_bars(dev, resources, stage)
+        scored = None
+        for name in strategies:
+            only = None if alive is None else alive.filter(F.col("strategy") == name)
+            part = evaluate_grid(rows, name, opts, (grids or {}).get(name), smooth, FOLDS, chunks, risk_free_rate, only)
+            scored = part if scored is None else scored.unionByName(part)
+        marked = survivors(scored, factor).withColumn("stage", F.lit(stage)).join(
+            resources.select("ticker", "stage", "resource_bars"), ["ticker", "stage"])
+        last = resources.groupBy("ticker").agg(F.max("stage").alias("_last"))
+        marked = marked.join(last, "ticker").withColumn("advanced", F.col("advanced") & (F.col("stage") < F.col("_last"))).drop("_last")
+        marked = cut_lineage(marked)
+        alive = marked.filter("advanced")
+        history = marked if history is None else history.unionByName(marked)
+    return history
