@@ -35,7 +35,12 @@ def _horner(x: Column, coefficients) -> Column:
     return value
 
 
-def normal_cdf(z: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``; keeps the expression tree small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cdf(z: Column) -> Column:
     a = F.abs(z)
     bell = F.exp(-(a * a) / 2.0)
     near = bell * _horner(a, CDF_NUM) / _horner(a, CDF_DEN)
@@ -44,18 +49,28 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1.0 - tail).otherwise(tail)
 
 
-def normal_quantile(p: Column) -> Column:
+def _outer(r: Column) -> Column:
+    mid = _let(r - 1.6, lambda x: _horner(x, Q_MID_NUM) / _horner(x, Q_MID_DEN))
+    tail = _let(r - 5.0, lambda x: _horner(x, Q_TAIL_NUM) / _horner(x, Q_TAIL_DEN))
+    return F.when(r <= 5.0, mid).otherwise(tail)
+
+
+def _quantile(p: Column) -> Column:
     q = p - 0.5
-    r0 = 0.180625 - q * q
-    centre = q * _horner(r0, Q_CENTRE_NUM) / _horner(r0, Q_CENTRE_DEN)
-    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1.0 - p)))
-    mid = _horner(r - 1.6, Q_MID_NUM) / _horner(r - 1.6, Q_MID_DEN)
-    tail = _horner(r - 5.0, Q_TAIL_NUM) / _horner(r - 5.0, Q_TAIL_DEN)
-    outer = F.when(r <= 5.0, mid).otherwise(tail)
+    centre = q * _let(0.180625 - q * q, lambda x: _horner(x, Q_CENTRE_NUM) / _horner(x, Q_CENTRE_DEN))
+    outer = _let(F.sqrt(-F.log(F.when(q < 0, p).otherwise(1.0 - p))), _outer)
     value = F.when(F.abs(q) <= 0.425, centre).when(q < 0, -outer).otherwise(outer)
     return F.when((p > 0) & (p < 1), value)
 
 
+def normal_cdf(z: Column) -> Column:
+    return _let(z, _cdf)
+
+
+def normal_quantile(p: Column) -> Column:
+    return _let(p, _quantile)
+
+
 def _sql_horner(x: str, coefficients) -> str:
     value = repr(coefficients[0])
     for c in coefficients[1:]:

@@ -118,33 +118,60 @@ def align_positions(bars: DataFrame, positions: DataFrame, keys=("ticker",)) ->
     return joined.withColumn("target", F.coalesce(k.forward_fill("target", k.over_time(keys)), F.lit(0.0)))
 
 
-def proportional_ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), order=("date",)) -> DataFrame:
-    """Window form. ``df`` has a complete ``target`` and the market columns."""
+def constant_market(opts: LedgerOptions, schedules=()) -> dict[str, float | bool]:
+    """Market columns that are the same on every bar; wide scans need not carry them."""
+    fixed = {}
+    if not {"cash_rate"} & set(schedules) and opts.cash_rate == 0:
+        fixed["m_cash"] = 0.0
+    if not {"financing_rate", "financing_spread"} & set(schedules) and opts.financing_rate == opts.financing_spread == 0:
+        fixed["m_fin"] = 0.0
+    if "borrow_bps" not in schedules and opts.borrow_bps == 0:
+        fixed["m_borrow"] = 0.0
+    if "short_rebate_rate" not in schedules and opts.short_rebate_rate == 0:
+        fixed["m_rebate"] = 0.0
+    if "spread_bps" not in schedules:
+        fixed["m_spread"] = float(opts.spread_bps)
+    if "borrow_available" not in schedules:
+        fixed.update(m_ok=True, m_ok_prev=True)
+    if opts.vol_target is None:
+        fixed["m_scale"] = 1.0
+    return fixed
+
+
+def proportional_ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), order=("date",), keep_log: bool = False) -> DataFrame:
+    """Window form. ``df`` has a complete ``target`` and the market columns.
+
+    A market column that is absent takes its constant from ``opts``. With
+    ``keep_log`` the running log of the account is kept as ``log_equity``.
+    """
+    fixed = constant_market(opts)
+    m = {c: F.col(c) if c in df.columns else F.lit(fixed[c]) for c in ("m_ret", "m_cash", "m_fin", "m_borrow", "m_rebate", "m_spread",
+                                                                       "m_ok", "m_ok_prev", "m_scale") if c in df.columns or c in fixed}
     if not opts.proportional:
         raise ValueError("min fee, impact and participation limits need the sequential ledger")
     w = Window.partitionBy(*keys).orderBy(*order)
     lev = float(opts.max_leverage)
     lag = int(opts.execution_lag)
-    df = df.withColumn("_t", k.clip(F.col("target") * F.col("m_scale"), -lev, lev))
+    df = df.withColumn("_t", k.clip(F.col("target") * m["m_scale"], -lev, lev))
     now = F.coalesce(k.shifted("_t", lag, w), F.lit(0.0))
     last = F.coalesce(F.lag("_t", lag + 1).over(w), F.lit(0.0))
     df = df.withColumns({"_want": now, "_held": last})
-    blocked = (F.col("_want") < 0) & ~F.col("m_ok")
+    blocked = (F.col("_want") < 0) & ~m["m_ok"]
     df = df.withColumns({
         "_blocked": blocked,
         "_d": F.when(blocked, 0.0).otherwise(F.col("_want")),
-        "_h": F.when((F.col("_held") < 0) & ~F.col("m_ok_prev"), 0.0).otherwise(F.col("_held")),
+        "_h": F.when((F.col("_held") < 0) & ~m["m_ok_prev"], 0.0).otherwise(F.col("_held")),
     })
-    h, d, r = F.col("_h"), F.col("_d"), F.col("m_ret")
+    h, d, r = F.col("_h"), F.col("_d"), m["m_ret"]
     short = F.greatest(-h, F.lit(0.0))
     pre = (
         h * r
-        + F.greatest(1.0 - F.greatest(h, F.lit(0.0)), F.lit(0.0)) * F.col("m_cash")
-        + short * F.col("m_rebate")
-        - F.greatest(F.abs(h) - 1.0, F.lit(0.0)) * F.col("m_fin")
-        - short * F.col("m_borrow")
+        + F.greatest(1.0 - F.greatest(h, F.lit(0.0)), F.lit(0.0)) * m["m_cash"]
+        + short * m["m_rebate"]
+        - F.greatest(F.abs(h) - 1.0, F.lit(0.0)) * m["m_fin"]
+        - short * m["m_borrow"]
     )
-    rate = (F.lit(opts.cost_bps + opts.slippage_bps) + F.col("m_spread") / 2.0) / 10000.0
+    rate = (F.lit(opts.cost_bps + opts.slippage_bps) + m["m_spread"] / 2.0) / 10000.0
     df = df.withColumns({"_pre": pre, "_k": rate})
     alive = F.col("_pre") > -1
     gap = F.when(alive, d - h * (1 + r) / (1 + F.col("_pre")))
@@ -176,6 +203,7 @@ def proportional_ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), or
         "capacity_constrained": F.lit(False),
         "borrow_blocked": F.coalesce(F.col("_blocked") & ~gone & alive, F.lit(False)),
     })
+    out = out.withColumn("log_equity", F.col("_logs")) if keep_log else out
     return out.drop("_t", "_want", "_held", "_blocked", "_d", "_h", "_pre", "_k", "_gap", "_q", "_c", "_raw", "_gone", "_logs")
 
 

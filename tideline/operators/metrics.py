@@ -32,6 +32,30 @@ def with_drawdown(returns: DataFrame, keys, order="date", ret: str = "ret") -> D
     return df.withColumn("drawdown", F.col("_eq") / peak - 1).drop("_eq")
 
 
+def with_period_drawdown(led: DataFrame, keys, order, periods=("train", "val", "test")) -> DataFrame:
+    """Drawdown within each period from ``log_equity``, in one pass over the order the ledger already has.
+
+    The running peak of a period is a conditional maximum, and its starting
+    level the last value of the period before, so no second sort by period is
+    needed.
+    """
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    level = F.col("log_equity")
+    marks = {}
+    for i, p in enumerate(periods):
+        marks[f"_peak_{p}"] = F.max(F.when(F.col("period") == p, level)).over(upto)
+        if i:
+            earlier = F.col("period").isin(*periods[:i])
+            marks[f"_from_{p}"] = F.last(F.when(earlier, level), ignorenulls=True).over(upto)
+    df = led.withColumns(marks)
+    top = F.lit(None).cast("double")
+    for i, p in enumerate(periods):
+        start = F.coalesce(F.col(f"_from_{p}"), F.lit(0.0)) if i else F.lit(0.0)
+        top = F.when(F.col("period") == p, F.greatest(F.col(f"_peak_{p}"), start)).otherwise(top)
+    drawdown = F.when(F.col("ret") <= -1, -1.0).otherwise(F.exp(level - top) - 1)
+    return df.withColumn("drawdown", drawdown).drop(*marks)
+
+
 def _moments(ret: str, rf: float) -> list:
     r = F.col(ret)
     short = F.least(r - F.lit(rf) / F.col("ann"), F.lit(0.0))
@@ -108,7 +132,7 @@ def period_metrics(led: DataFrame, keys, risk_free_rate: float = 0.0, order="dat
     Sharpe of a group that never held anything or never moved is the sentinel
     -99, which no selection may prefer to a real loss.
     """
-    df = with_drawdown(led, keys, order)
+    df = led if "drawdown" in led.columns else with_drawdown(led, keys, order)
     aggs = _moments("ret", risk_free_rate) + [
         F.count_if(F.col("trade") > 1e-12).alias("trade_count"),
         F.avg(F.abs(F.col("held"))).alias("exposure"),

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from ..functions import kernels as k
 from ..session import cut_lineage
 from . import grid as g
-from .ledger import LedgerOptions, ledger, proportional_ledger, sequential_ledger, with_market
-from .metrics import ACTIVITY_METRICS, RETURN_METRICS, period_metrics
+from .ledger import LedgerOptions, constant_market, ledger, proportional_ledger, sequential_ledger, with_market
+from .metrics import ACTIVITY_METRICS, RETURN_METRICS, period_metrics, with_period_drawdown
 from .selection import survivors
 from .splits import halving_resources, with_folds, with_periods
 from .strategies import Strategy, get_strategy
@@ -107,8 +107,14 @@ def with_machine(df: DataFrame, strategy: Strategy, ids: Sequence[str]) -> DataF
     return df.groupBy(*ids).applyInPandas(walk, T.StructType([*fields, T.StructField("target", T.DoubleType())]))
 
 
-def candidate_keys(strategy: Strategy) -> tuple[str, ...]:
-    return ("ticker", *strategy.on, "chunk", "pid", "signal_smooth")
+#: identity of a candidate's rows; ``unit`` hashes (ticker, indicator setting, chunk) and is what partitions them
+UNIT = ("unit", "ticker", "pid")
+CANDIDATE = (*UNIT, "signal_smooth")
+
+
+def task_count(spark) -> int:
+    """Tasks of the exploded stages: a few per core, and never fewer than the configured shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
 def candidate_targets(bars: DataFrame, found: Candidates, chunks: int = 1, only: DataFrame | None = None) -> DataFrame:
@@ -123,25 +129,24 @@ def candidate_targets(bars: DataFrame, found: Candidates, chunks: int = 1, only:
     carried = [c for c in dict.fromkeys([*bars.columns, *ORDER]) if c not in strategy.on]
     panel = panel.select(*carried, *strategy.on, *values)
     spread = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if chunks > 1 else F.lit(0)
-    panel = panel.withColumn("chunk", spread).repartition("ticker", *strategy.on, "chunk")
+    panel = panel.withColumn("chunk", spread).withColumn("unit", F.xxhash64("ticker", *strategy.on, "chunk"))
+    # an explicit count: the panel is small, what is built inside its partitions is not, so it must not be coalesced
+    panel = panel.repartition(task_count(bars.sparkSession), "unit")
     rows = found.table(bars.sparkSession).withColumn("chunk", F.pmod("pid", F.lit(chunks)).cast("int"))
     if found.size <= BROADCAST_GRID_ROWS:
         rows = F.broadcast(rows)
     df = panel.join(rows, [*strategy.on, "chunk"])
     if only is not None:
         df = df.join(only.select("ticker", "pid").distinct(), ["ticker", "pid"], "left_semi")
-    ids = ("ticker", *strategy.on, "chunk", "pid")
     extra = [c for c in ("position_size", "_span") if c in rows.columns]
     if strategy.machine is not None:
-        df = with_machine(df.select(*carried, *strategy.on, "chunk", "pid", *values,
-                                    *[p for p in strategy.machine_params if p not in strategy.on],
-                                    *extra), strategy, ids)
+        df = with_machine(df.select(*carried, "unit", "pid", *values, *strategy.machine_params, *extra), strategy, UNIT)
     else:
         df = df.withColumn("target", strategy.signal({n: F.col(n) for n in names}))
-    df = df.select(*carried, *strategy.on, "chunk", "pid", "target", *extra)
+    df = df.select(*carried, "unit", "pid", "target", *extra)
     spans = [s for s in smooth if s > 0]
     if spans:
-        df = k.with_ewm(df, [("target", k.span_alpha(s), f"_sm_{s}") for s in spans], ids)
+        df = k.with_ewm(df, [("target", k.span_alpha(s), f"_sm_{s}") for s in spans], UNIT)
     variants = F.array(*[
         F.struct(F.lit(s).alias("signal_smooth"), F.col(f"_sm_{s}" if s > 0 else "target").alias("_target")) for s in smooth
     ])
@@ -195,6 +200,8 @@ def _run_single(strategy: Strategy, bars: DataFrame, grid: Mapping, smooth: int)
 def development_bars(bars: DataFrame, opts: LedgerOptions, folds: int = 4, schedules=None) -> DataFrame:
     """Bars with market columns, split periods and folds; the sealed test rows are removed."""
     marked = with_folds(with_periods(with_market(bars, opts, schedules)), folds)
+    if opts.proportional:
+        marked = marked.drop(*constant_market(opts, schedules or ()), "m_price", "m_volume")
     return marked.filter(F.col("period").isin("train", "val"))
 
 
@@ -202,11 +209,9 @@ def candidate_ledgers(bars: DataFrame, found: Candidates, opts: LedgerOptions, c
                       only: DataFrame | None = None) -> DataFrame:
     """Ledger rows of every candidate; ``bars`` already carry the market columns."""
     df = candidate_targets(bars, found, chunks, only)
-    keys = candidate_keys(found.strategy)
     if opts.proportional:
-        return proportional_ledger(df, opts, keys, ORDER)
-    group = [c for c in keys if c not in ("pid", "signal_smooth")]
-    return sequential_ledger(df, opts, group, ("pid", "signal_smooth"), "_seq")
+        return proportional_ledger(df, opts, CANDIDATE, ORDER, keep_log=True)
+    return sequential_ledger(df, opts, ("unit", "ticker"), ("pid", "signal_smooth"), "_seq")
 
 
 def evaluate_grid(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, smooth=None, folds: int = 4,
@@ -217,7 +222,9 @@ def evaluate_grid(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, sm
     """
     found = space(name, grid, smooth)
     led = candidate_ledgers(bars, found, opts, chunks, only)
-    keys = candidate_keys(found.strategy)
+    if "log_equity" in led.columns:
+        led = with_period_drawdown(led, CANDIDATE, ORDER, ("train", "val"))
+    keys = CANDIDATE
     long = period_metrics(led, (*keys, "period"), risk_free_rate, ORDER, folds)
     metrics = [m for m in (*RETURN_METRICS, *ACTIVITY_METRICS)]
     wide = long.groupBy(*keys).agg(
