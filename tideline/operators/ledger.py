@@ -142,7 +142,7 @@ def proportional_ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), or
     """Window form. ``df`` has a complete ``target`` and the market columns.
 
     A market column that is absent takes its constant from ``opts``. With
-    ``keep_log`` the running log of the account is kept as ``log_equity``.
+    ``keep_log`` the running log of the account is kept as ``log_equity`` (NULL once it is ruined).
     """
     fixed = constant_market(opts)
     m = {c: F.col(c) if c in df.columns else F.lit(fixed[c]) for c in ("m_ret", "m_cash", "m_fin", "m_borrow", "m_rebate", "m_spread",
@@ -203,7 +203,7 @@ def proportional_ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), or
         "capacity_constrained": F.lit(False),
         "borrow_blocked": F.coalesce(F.col("_blocked") & ~gone & alive, F.lit(False)),
     })
-    out = out.withColumn("log_equity", F.col("_logs")) if keep_log else out
+    out = out.withColumn("log_equity", F.when(~gone, F.col("_logs"))) if keep_log else out
     return out.drop("_t", "_want", "_held", "_blocked", "_d", "_h", "_pre", "_k", "_gap", "_q", "_c", "_raw", "_gone", "_logs")
 
 

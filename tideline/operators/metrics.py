@@ -52,7 +52,7 @@ def with_period_drawdown(led: DataFrame, keys, order, periods=("train", "val", "
     for i, p in enumerate(periods):
         start = F.coalesce(F.col(f"_from_{p}"), F.lit(0.0)) if i else F.lit(0.0)
         top = F.when(F.col("period") == p, F.greatest(F.col(f"_peak_{p}"), start)).otherwise(top)
-    drawdown = F.when(F.col("ret") <= -1, -1.0).otherwise(F.exp(level - top) - 1)
+    drawdown = F.when(F.col("ret") <= -1, -1.0).when(level.isNull(), 0.0).otherwise(F.exp(level - top) - 1)
     return df.withColumn("drawdown", drawdown).drop(*marks)
 
 

@@ -131,11 +131,11 @@ def _(t):
 
 # --- metrics ----------------------------------------------------------------------------------------------------------
 
-@query("agg_evaluate", ctes(v.SQL_VWAP, f"s as (select ticker, date, coalesce({ret('close', 1)},0)*0.05 as ret from vwap)", metrics_sql("s", rf=0.03, activity=False)) + f"select ticker, sharpe0 as sharpe, {RETURN_COLS}, n_observations from met")
+@query("agg_evaluate", ctes(v.SQL_WEEKLY, f"s as (select ticker, date, coalesce({ret('close', 1)},0)*0.5 as ret from weekly)", metrics_sql("s", rf=0.03, activity=False)) + f"select ticker, sharpe0 as sharpe, {RETURN_COLS}, n_observations from met")
 def _(t):
     from ..functions import kernels as k
-    b = v.vwap_bars(t)
-    x = b.select("ticker", "date", "ann", (F.coalesce(k.simple_return("close", 1, k.over_time()), F.lit(0.0)) * 0.05).alias("ret"))
+    b = v.weekly_bars(t)
+    x = b.select("ticker", "date", "ann", (F.coalesce(k.simple_return("close", 1, k.over_time()), F.lit(0.0)) * 0.5).alias("ret"))
     return evaluate(x, ("ticker",), 0.03)
 
 
