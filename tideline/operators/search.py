@@ -281,6 +281,29 @@ def ledger_of(bars: DataFrame, name: str, opts: LedgerOptions, **params) -> Data
     return ledger(market.join(target, ["ticker", "date"]), opts)
 
 
+def frozen_metrics(bars: DataFrame, winners: DataFrame, opts: LedgerOptions, grids: Mapping, smooth: Sequence[int] | None = None,
+                   risk_free_rate: float = 0.0, periods: Sequence[str] = ("val", "test")) -> DataFrame:
+    """Metrics of each ticker's frozen winner and of buy-and-hold on the same bars, test window included.
+
+    ``winners`` has one (ticker, strategy, params, pid, signal_smooth) row per ticker.
+    """
+    marked = with_periods(with_market(bars, opts))
+    out = None
+    for name, grid in grids.items():
+        mine = winners.filter(F.col("strategy") == name)
+        led = candidate_ledgers(marked, space(name, grid, smooth), opts, only=mine)
+        if "log_equity" in led.columns:
+            led = with_period_drawdown(led, CANDIDATE, ORDER)
+        part = period_metrics(led, (*CANDIDATE, "period"), risk_free_rate, ORDER).drop("unit")
+        part = part.join(mine.select("ticker", "pid", "signal_smooth", "strategy", "params"), ["ticker", "pid", "signal_smooth"])
+        out = part if out is None else out.unionByName(part)
+    held = ledger(marked.withColumn("target", F.lit(1.0)), opts)
+    base = period_metrics(held, ("ticker", "period"), risk_free_rate).withColumns({
+        "pid": F.lit(None).cast("bigint"), "signal_smooth": F.lit(None).cast("int"), "strategy": F.lit("buy_and_hold"), "params": F.lit("{}")})
+    both = out.withColumn("account", F.lit("selected")).unionByName(base.withColumn("account", F.lit("benchmark")))
+    return both.filter(F.col("period").isin(*periods)).drop("pid", "signal_smooth")
+
+
 def stage_bars(dev: DataFrame, resources: DataFrame, stage: int) -> DataFrame:
     """Development bars of one halving stage: all training rows and the first validation rows."""
     w = Window.partitionBy("ticker", "period").orderBy("date")

@@ -9,8 +9,10 @@ from ..functions.normal import sql_normal_cdf, sql_normal_quantile
 from ..operators import selection as sel
 from ..operators.ledger import LedgerOptions
 from ..operators.robustness import neighbour_scores, robustness
-from ..operators.search import development_bars, evaluate_grid, run_search, stage_bars, successive_halving
+from ..operators import reports
+from ..operators.search import development_bars, evaluate_grid, frozen_metrics, run_search, stage_bars, successive_halving
 from ..operators.splits import halving_resources
+from ..session import cut_lineage
 from . import views as v
 from .registry import ctes, ewm, full, over, query, r, ret, rounded
 from .sqlparts import RETURN_COLS, ledger_sql, metrics_sql, periods_sql
@@ -66,9 +68,11 @@ def results_sql(src: str = "dev") -> tuple[str, ...]:
     )
 
 
-def results(t):
+def results(t, reused: bool = True):
+    """Results of both grids; written once when the query reads them more than once."""
     bars = v.weekly_bars(t)
-    return run_search(bars, ["ma_cross", "tsmom"], OPTS, GRIDS, smooth=SMOOTH).withColumn("ann", F.lit(252.0))
+    out = run_search(bars, ["ma_cross", "tsmom"], OPTS, GRIDS, smooth=SMOOTH).withColumn("ann", F.lit(252.0))
+    return cut_lineage(out) if reused else out
 
 
 _FOLDS = "fold1, fold2, fold3, fold4"
@@ -78,7 +82,7 @@ _FOLDS = "fold1, fold2, fold3, fold4"
        + f"""select ticker, strategy, params, val_sharpe, val_n as val_n_observations, val_trades as val_trade_count, {r('val_exposure')} as val_exposure, val_skew, val_kurt as val_kurtosis, val_cagr, val_mdd as val_max_drawdown,
  train_sharpe, train_total as train_total_return, {_FOLDS} from res""")
 def _(t):
-    res = results(t)
+    res = results(t, reused=False)
     folds = [F.get("val_fold_sharpes", F.lit(i)).alias(f"fold{i + 1}") for i in range(4)]
     return rounded(res.select("ticker", "strategy", "params", "val_sharpe", "val_n_observations", "val_trade_count", "val_exposure", "val_skew", "val_kurtosis",
                               "val_cagr", "val_max_drawdown", "train_sharpe", "train_total_return", *folds))
@@ -97,7 +101,7 @@ def _(t):
 @query("sea_full_grid_tsmom")
 def _(t):
     """The whole 11,760-candidate momentum grid on every ticker: top ten per ticker by deflated Sharpe probability."""
-    res = run_search(v.weekly_bars(t), ["tsmom"], OPTS).withColumn("ann", F.lit(252.0))
+    res = cut_lineage(run_search(v.weekly_bars(t), ["tsmom"], OPTS).withColumn("ann", F.lit(252.0)))
     best = sel.top(sel.diagnose(res), 10)
     return rounded(best.select("ticker", "rank", "params", "val_sharpe", "deflated_sharpe", "hurdle", "trials"))
 
@@ -125,7 +129,7 @@ def sel_sql(tail: str, *more: str) -> str:
 
 @query("sel_dispersion", sel_sql(f"select ticker, total, cast(0 as bigint) as errors, trials, {r('sharpe_std')} as sharpe_std from st"))
 def _(t):
-    return rounded(sel.dispersion(results(t)))
+    return rounded(sel.dispersion(results(t, reused=False)))
 
 
 _DG = f"ticker, strategy, params, trials, {r('hurdle')} as hurdle, {r('deflated_sharpe')} as deflated_sharpe, {r('sharpe_low')} as sharpe_low, {r('sharpe_high')} as sharpe_high, {r('fold_mean')} as fold_mean, {r('fold_std')} as fold_std, fold_worst, cast(fold_count as integer) as fold_count"
@@ -182,13 +186,13 @@ _SURV = "sv as materialized (select *, row_number() over (partition by ticker,st
 
 @query("sel_stage_survivors", ctes(v.SQL_WEEKLY, *dev_sql(), *results_sql(), _STAGE, _SURV, recursive=True) + "select ticker, strategy, params, score, advanced from sv")
 def _(t):
-    return sel.survivors(results(t), 3).select("ticker", "strategy", "params", "score", "advanced")
+    return sel.survivors(results(t, reused=False), 3).select("ticker", "strategy", "params", "score", "advanced")
 
 
 @query("sel_stage_summary", ctes(v.SQL_WEEKLY, *dev_sql(), *results_sql(), _STAGE, _SURV, recursive=True)
        + "select cast(0 as integer) as stage, strategy, count(*) as candidates, count(*) filter (where advanced) as advanced_count, cast(0 as bigint) as errors, max(score) filter (where isfinite(score)) as best_score from sv group by strategy union all select 0, null, count(*), count(*) filter (where advanced), 0, max(score) filter (where isfinite(score)) from sv union all select null, null, count(*), count(*) filter (where advanced), 0, max(score) filter (where isfinite(score)) from sv")
 def _(t):
-    return sel.stage_summary(sel.survivors(results(t), 3).withColumn("stage", F.lit(0)))
+    return sel.stage_summary(sel.survivors(results(t, reused=False), 3).withColumn("stage", F.lit(0)))
 
 
 _STG = ("vtot as (select ticker, count(*) as total from dev where period='val' group by 1)",
@@ -232,3 +236,57 @@ _NBALL = "c4 as materialized (select * exclude (rn) from c3 union all select c3.
 def _(t):
     dev = development_bars(v.weekly_bars(t), OPTS)
     return rounded(robustness(neighbour_scores(dev, "ma_cross", {"fast": 3, "slow": 20}, OPTS)))
+
+
+# --- the frozen winner on the sealed window ---------------------------------------------------------------------------
+
+def _renamed(parts, old_new):
+    out = []
+    for text in parts:
+        for old, new in old_new:
+            text = text.replace(old, new)
+        out.append(text)
+    return tuple(out)
+
+
+_ALLC = _renamed(candidates_sql("dv0"), (("c0", "y0"), ("c1", "y1"), ("c2", "y2"), ("sm3", "ysm")))
+FROZEN = ("win as materialized (select ticker, strategy, params from (select *, row_number() over (partition by ticker order by deflated_sharpe desc, val_sharpe desc, strategy, params) as k from dg) where k=1)",
+          *_ALLC, """acc as materialized (select y2.* exclude (strategy,params), 'selected' as account, y2.strategy, y2.params from y2 join win using (ticker,strategy,params)
+ union all select y2.* exclude (strategy,params) replace (1e0 as target), 'benchmark', 'buy_and_hold', '{}' from y2 join win using (ticker,strategy,params))""",
+          ledger_sql("acc", name="ldz", keys="ticker,account,strategy,params", lag=1, k="0.00025"), metrics_sql("ldz", name="mtz", keys="ticker,account,strategy,params,period"))
+_FCOLS = f"account, strategy, params, period, case when undefined_ then -99.0 else sharpe0 end as sharpe, {RETURN_COLS}, n_observations, trade_count, {r('exposure')} as exposure, {r('turnover', 4)} as turnover"
+
+
+def frozen(t):
+    res = results(t)
+    return frozen_metrics(v.weekly_bars(t), sel.top(sel.diagnose(res), 1), OPTS, GRIDS, SMOOTH)
+
+
+@query("sel_frozen_test_metrics", sel_sql(f"select ticker, {_FCOLS} from mtz where period in ('val','test')", *FROZEN))
+def _(t):
+    cols = RETURN_COLS.replace(" ", "").split(",")
+    return rounded(frozen(t).select("ticker", "account", "strategy", "params", "period", "sharpe", *cols, "n_observations", "trade_count", "exposure", "turnover"), 6, turnover=4)
+
+
+_RL = (("sharpe", "Sharpe"), ("total_return", "Total return"), ("max_drawdown", "Maximum drawdown"), ("win_rate", "Win rate"), ("trade_count", "Trades"))
+_RSQL = " union all ".join(
+    f"select ticker, '{lab}' as label, max(v) filter (where account='selected' and period='val') as validation, max(v) filter (where account='selected' and period='test') as test, max(v) filter (where account='benchmark' and period='test') as benchmark from (select *, cast({'case when undefined_ then -99.0 else sharpe0 end' if c == 'sharpe' else c} as double)+0.0 as v from mtz) group by ticker" for c, lab in _RL)
+
+
+@query("rep_search_metrics", sel_sql(_RSQL, *FROZEN))
+def _(t):
+    m = frozen(t).withColumn("column", F.concat_ws("_", "account", "period"))
+    return reports.side_by_side(m, "column", {"selected_val": "validation", "selected_test": "test", "benchmark_test": "benchmark"}, dict(_RL), ("ticker",))
+
+
+@query("snk_top_table", sel_sql(f"select ticker, strategy, params, cast(k as integer) as rank, {r('deflated_sharpe')} as deflated_sharpe, val_sharpe, train_sharpe, {r('hurdle')} as hurdle from (select *, row_number() over (partition by ticker order by deflated_sharpe desc, val_sharpe desc, strategy, params) as k from dg) where k<=3"))
+def _(t):
+    flat = reports.top_table(sel.top(sel.diagnose(results(t)), 3))
+    return rounded(flat.select("ticker", "strategy", "params", "rank", "deflated_sharpe", "val_sharpe", "train_sharpe", "hurdle"))
+
+
+@query("snk_summary_record", sel_sql("select ticker, trials, eligible, best from (select ticker, any_value(trials) as trials, count(*) as eligible, max(val_sharpe) as best from dg group by 1)"))
+def _(t):
+    from ..sources.sinks import jsonable
+    d = sel.diagnose(results(t))
+    return jsonable(d.groupBy("ticker").agg(F.max("trials").alias("trials"), F.count(F.lit(1)).alias("eligible"), F.max("val_sharpe").alias("best")))

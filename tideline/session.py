@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -29,20 +29,23 @@ def local_session(cpus: int = 8, app: str = "tideline", memory: str = "12g") ->
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's shared one, or a temporary one when none is named."""
+    """Folder for lineage cuts: the cluster's shared one, or a temporary one for a local session."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
-    local_only = spark.sparkContext.master.startswith("local")
-    if not local_only:
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder before running staged jobs on a cluster")
-    folder = os.environ.get("TIDELINE_SCRATCH") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return _local_scratch()
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut_lineage(df, eager: bool = True):
     """Write ``df`` to the checkpoint folder and continue from the written copy."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(durable_dir(spark))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(durable_dir(spark))
     return df.checkpoint(eager=eager)
