@@ -70,6 +70,9 @@ def _series(returns: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
 def hash_draws(series: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
     """Start of every (resample, block), uniform by hash: any task can produce any draw."""
     grid = series.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(opts.n_resamples - 1))).alias("resample"), "blocks")
+    # few series make few input rows: spread the resamples before they are expanded into blocks
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = grid.repartition(tasks, *keys, "resample")
     grid = grid.select(*keys, "n", "resample", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
     return grid.select(*keys, "resample", "block", F.pmod(uniform_hash(opts.seed, F.col("resample"), F.col("block")), F.col("n")).alias("start"))
 

@@ -92,8 +92,10 @@ def expected_sessions(metadata: DataFrame, calendar: DataFrame | None) -> DataFr
     if calendar is None:
         days = F.explode(F.sequence("_l", "_r"))
         return span.filter("calendar = 'continuous'").select("ticker", days.alias("date"))
-    dates = calendar.select("date").distinct()
-    return span.join(dates, F.col("date").between(F.col("_l"), F.col("_r"))).select("ticker", "date")
+    # a calendar is a declared list of days: one row that every asset cuts its own interval from
+    listed = calendar.agg(F.collect_set("date").alias("_days"))
+    inside = F.filter("_days", lambda d: (d >= F.col("_l")) & (d <= F.col("_r")))
+    return span.join(F.broadcast(listed), F.lit(True)).select("ticker", F.explode(inside).alias("date"))
 
 
 def missing_sessions(expected: DataFrame, bars: DataFrame) -> DataFrame:
@@ -142,21 +144,15 @@ def convention_mismatch(assets: DataFrame) -> DataFrame:
 def session_mismatch(bars: DataFrame) -> DataFrame:
     """Dates that an asset and the first asset by ticker do not share.
 
-    Counting, per date, who has a bar replaces a full outer join per asset:
-    an asset's missing dates are the reference dates it is absent from.
+    A ticker's date set is bounded by the calendar, so each is one array; the
+    reference set is a single row, and both differences are array functions.
     """
-    rows = bars.select("ticker", "date").distinct()
-    lead = rows.agg(F.min("ticker").alias("_ref"))
-    tagged = rows.join(F.broadcast(lead), F.lit(True))
-    reference = tagged.filter(F.col("ticker") == F.col("_ref")).select("date", F.lit(True).alias("_in"))
-    others = tagged.filter(F.col("ticker") != F.col("_ref")).drop("_ref")
-    extra = others.join(reference, "date", "left_anti").select("ticker", "date", F.lit("extra").alias("kind"))
-    names = others.select("ticker").distinct()
-    absent = (
-        names.join(reference.select("date"), F.lit(True)).join(others, ["ticker", "date"], "left_anti")
-        .select("ticker", "date", F.lit("absent").alias("kind"))
-    )
-    return extra.unionByName(absent)
+    sets = bars.groupBy("ticker").agg(F.collect_set("date").alias("_own"))
+    lead = sets.agg(F.min_by(F.struct(F.col("ticker").alias("_ref"), F.col("_own").alias("_days")), "ticker").alias("r")).select("r.*")
+    both = sets.join(F.broadcast(lead), F.lit(True)).filter(F.col("ticker") != F.col("_ref"))
+    kinds = F.array(F.struct(F.lit("extra").alias("kind"), F.array_except("_own", "_days").alias("_d")),
+                    F.struct(F.lit("absent").alias("kind"), F.array_except("_days", "_own").alias("_d")))
+    return both.select("ticker", F.inline(kinds)).select("ticker", F.explode("_d").alias("date"), "kind")
 
 
 def insufficient_history(bars: DataFrame, lookback: int) -> DataFrame:
