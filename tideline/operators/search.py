@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import kernels as k
 from ..session import cut_lineage
 from . import grid as g
-from .ledger import LedgerOptions, constant_market, ledger, proportional_ledger, sequential_ledger, with_market
+from .ledger import MARKET, LedgerOptions, constant_market, ledger, proportional_ledger, sequential_ledger, with_market
 from .metrics import ACTIVITY_METRICS, RETURN_METRICS, period_metrics, with_period_drawdown
 from .selection import survivors
 from .splits import halving_resources, with_folds, with_periods
@@ -160,8 +160,12 @@ def candidate_targets(bars: DataFrame, found: Candidates, chunks: int = 1, only:
     return df
 
 
-def positions(bars: DataFrame, name: str, **params) -> DataFrame:
-    """``ticker, date, target`` of one parameter set (missing ones take the strategy's defaults)."""
+def positions(bars: DataFrame, name: str, keep: Sequence[str] = (), **params) -> DataFrame:
+    """``ticker, date, target`` of one parameter set (missing ones take the strategy's defaults).
+
+    ``keep`` carries further columns of ``bars`` along, which saves joining the
+    targets back to a table that would have to be scanned twice.
+    """
     strategy = get_strategy(name)
     smooth = int(params.pop("signal_smooth", 0))
     size = params.pop("position_size", None)
@@ -173,19 +177,19 @@ def positions(bars: DataFrame, name: str, **params) -> DataFrame:
     if size is not None:
         grid["position_size"] = [float(size)]
     relaxed = {**strategy.__dict__, "valid": lambda p: F.lit(True) if hasattr(next(iter(p.values()), None), "isNull") else True}
-    return _run_single(Strategy(**relaxed), bars, grid, smooth)
+    return _run_single(Strategy(**relaxed), bars, grid, smooth, keep)
 
 
-def _run_single(strategy: Strategy, bars: DataFrame, grid: Mapping, smooth: int) -> DataFrame:
+def _run_single(strategy: Strategy, bars: DataFrame, grid: Mapping, smooth: int, extra: Sequence[str] = ()) -> DataFrame:
     cols = [c for c in ("ticker", "date", "open", "high", "low", "close", "ann") if c in bars.columns]
     if "ann" not in cols:
         from ..functions.scalars import annualization
         bars, cols = bars.withColumn("ann", annualization(F.col("ticker"))), [*cols, "ann"]
-    panel = strategy.panel(bars.select(*cols), g.combinations(grid, strategy.on), grid)
+    panel = strategy.panel(bars.select(*dict.fromkeys([*cols, *extra])), g.combinations(grid, strategy.on), grid)
     params = {n: F.lit(float(v[0]) if isinstance(v[0], float) else g.plain(v[0])) for n, v in grid.items()}
     if strategy.machine is not None:
         df = panel.withColumns({n: params[n] for n in strategy.machine_params if n not in strategy.on})
-        keep = ["ticker", "date", "_seq", "_blk", *strategy.machine_params]
+        keep = ["ticker", "date", "_seq", "_blk", *extra, *strategy.machine_params]
         values = [c for c in df.columns if c.startswith("v") and c[1:].isdigit()]
         df = with_machine(df.select(*dict.fromkeys(keep), *values), strategy, ("ticker",))
     else:
@@ -194,7 +198,7 @@ def _run_single(strategy: Strategy, bars: DataFrame, grid: Mapping, smooth: int)
         df = k.with_ewm(df, [("target", k.span_alpha(smooth), "_sm")], ("ticker",)).withColumn("target", F.col("_sm"))
     if "position_size" in grid:
         df = df.withColumn("target", F.col("target") * params["position_size"])
-    return df.select("ticker", "date", "target")
+    return df.select(*dict.fromkeys(["ticker", "date", *extra, "target"]))
 
 
 def development_bars(bars: DataFrame, opts: LedgerOptions, folds: int = 4, schedules=None) -> DataFrame:
@@ -274,11 +278,10 @@ def remaining(bars: DataFrame, name: str, done: DataFrame, grid=None, smooth=Non
     return todo.join(done.select("ticker", "strategy", "params"), ["ticker", "strategy", "params"], "left_anti")
 
 
-def ledger_of(bars: DataFrame, name: str, opts: LedgerOptions, **params) -> DataFrame:
-    """Ledger of one parameter set on every ticker."""
-    market = with_market(bars, opts)
-    target = positions(bars, name, **params)
-    return ledger(market.join(target, ["ticker", "date"]), opts)
+def ledger_of(bars: DataFrame, name: str, opts: LedgerOptions, schedules=None, **params) -> DataFrame:
+    """Ledger of one parameter set on every ticker, in one scan of the bars."""
+    market = with_market(bars, opts, schedules)
+    return ledger(positions(market, name, keep=MARKET, **params), opts)
 
 
 def frozen_metrics(bars: DataFrame, winners: DataFrame, opts: LedgerOptions, grids: Mapping, smooth: Sequence[int] | None = None,

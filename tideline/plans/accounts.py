@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare
-from ..operators.ledger import LedgerOptions, against_benchmark, ledger, sequential_ledger, with_market
+from ..operators.ledger import LedgerOptions, against_benchmark, ledger, with_market
 from ..operators.metrics import case_totals, evaluate, period_metrics
-from ..operators.search import positions
+from ..operators.search import ledger_of, positions
 from ..operators.splits import with_folds, with_periods
 from . import views as v
 from .registry import ctes, ewm, full, lag, over, query, r, ret, rounded
@@ -37,29 +37,33 @@ def _tsmom(bars, size=1.8):
     return positions(bars, "tsmom", lookback=12, threshold=0.002, skip_recent=1, position_size=size)
 
 
+def _tsmom_ledger(bars, opts, size=1.8):
+    return ledger_of(bars, "tsmom", opts, lookback=12, threshold=0.002, skip_recent=1, position_size=size)
+
+
 @query("led_proportional", ctes(v.SQL_VWAP, f"s as (select *, 1.8*{TS} as target from vwap)", ledger_sql("s", **REAL_SQL)) + led_out())
 def _(t):
     b = v.vwap_bars(t)
-    return led_select(ledger(with_market(b, REAL).join(_tsmom(b), ["ticker", "date"]), REAL))
+    return led_select(_tsmom_ledger(b, REAL))
 
 
 @query("led_ruin", ctes(v.SQL_BARS, f"s as (select *, 1.8*{TS} as target from bars)", ledger_sql("s", lag=0, k="0.0001")) + led_out())
 def _(t):
     b, o = v.order_bars(t), LedgerOptions()
-    return led_select(ledger(with_market(b, o).join(_tsmom(b), ["ticker", "date"]), o))
+    return led_select(_tsmom_ledger(b, o))
 
 
 @query("led_vol_target", ctes(v.SQL_WEEKLY, f"s0 as (select *, {TS} as target, coalesce({ret('close', 1)},0) as r1 from weekly)", f"s as (select *, coalesce(0.5/({full('stddev_samp', 'r1', 10)}*sqrt(252.0)+1e-10),0) as sc from s0)",
        ledger_sql("s", lag=2, k="0.0001", scale="sc")) + led_out())
 def _(t):
     b, o = v.weekly_bars(t), LedgerOptions(vol_target=0.5, vol_lookback=10, execution_lag=2)
-    return led_select(ledger(with_market(b, o).join(_tsmom(b, 1.0), ["ticker", "date"]), o))
+    return led_select(_tsmom_ledger(b, o, 1.0))
 
 
 @query("led_next_open", ctes(v.SQL_VWAP, f"s as (select *, {TS} as target from vwap)", ledger_sql("s", lag=1, k="0.0001", price="open")) + led_out())
 def _(t):
     b, o = v.vwap_bars(t), LedgerOptions(execution_lag=1, price="open")
-    return led_select(ledger(with_market(b, o).join(_tsmom(b, 1.0), ["ticker", "date"]), o))
+    return led_select(_tsmom_ledger(b, o, 1.0))
 
 
 @query("led_schedules", ctes(v.SQL_VWAP, v.SQL_RATES, "iv as (select effective_at as a, coalesce(lead(effective_at) over (order by effective_at), timestamp '2100-01-01') as b, value from rates)",
@@ -116,7 +120,7 @@ SQL_FULL = (
        + f"select ticker, date, {r('ret')} as ret, {r('trade')} as trade, {r('requested')} as requested_trade, {r('cost')} as txn_cost, {r('part')} as participation, capped as capacity_constrained from acct")
 def _(t):
     b = v.weekly_bars(t)
-    led = sequential_ledger(with_market(b, FULL).join(_tsmom(b, 1.0), ["ticker", "date"]), FULL)
+    led = _tsmom_ledger(b, FULL, 1.0)
     return rounded(led.select("ticker", "date", "ret", "trade", "requested_trade", "txn_cost", "participation", "capacity_constrained"))
 
 
@@ -125,7 +129,7 @@ def _(t):
     """Square-root impact has no closed form in SQL; the walk is tested against a scalar account."""
     b = v.weekly_bars(t)
     o = LedgerOptions(cost_bps=2, impact_bps=12, impact_exponent=0.5, max_participation=0.3, min_fee=1, execution_lag=1, initial_capital=2e6)
-    return rounded(sequential_ledger(with_market(b, o).join(_tsmom(b), ["ticker", "date"]), o).select(
+    return rounded(_tsmom_ledger(b, o).select(
         "ticker", "date", "ret", "equity", "trade", "requested_trade", "position", "txn_cost", "participation", "capacity_constrained"))
 
 
@@ -157,7 +161,7 @@ _FOLD = ", ".join(f"max(case when fold={i} then s end) as fold{i}" for i in rang
  {r('transaction_cost_drag')} as transaction_cost_drag, fold1, fold2, fold3, fold4 from met left join fw using (ticker, period)""")
 def _(t):
     b = v.vwap_bars(t)
-    led = ledger(with_market(b, REAL).join(_tsmom(b), ["ticker", "date"]), REAL)
+    led = _tsmom_ledger(b, REAL)
     m = period_metrics(with_folds(with_periods(led), 4), ("ticker", "period"), folds=4)
     folds = [F.get("fold_sharpes", F.lit(i)).alias(f"fold{i + 1}") for i in range(4)]
     return rounded(m.select("ticker", "period", "sharpe", *METRICS, "n_observations", "trade_count", "exposure", "turnover", "transaction_cost_drag", *folds), 6, turnover=4)

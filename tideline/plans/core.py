@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import kernels as k
 from ..functions.scalars import annualization
 from ..operators import grid as g
-from ..operators.ledger import LedgerOptions, ledger, with_market
+from ..operators.ledger import LedgerOptions
 from ..operators.metrics import period_metrics
 from ..operators.schedules import accrual, as_of
-from ..operators.search import candidate_table, positions, remaining
+from ..operators.search import candidate_table, ledger_of, remaining
 from ..operators.splits import execution_model, halving_resources, prefix, with_folds, with_periods
 from ..operators.strategies import STRATEGIES
 from ..sources import bars as src
@@ -29,10 +29,7 @@ MA_CROSS_SQL = f"""sig as materialized (select *, case when {full('avg', 'close'
        + f"""select ticker, n_observations, trade_count, {r('exposure')} as exposure, {r('turnover', 4)} as turnover,
  {r('transaction_cost_drag')} as transaction_cost_drag, case when undefined_ then -99.0 else sharpe0 end as sharpe, {RETURN_COLS} from met""")
 def flagship(t: Tables) -> DataFrame:
-    bars = v.vwap_bars(t)
-    market = with_market(bars, OPTS)
-    target = positions(bars, "ma_cross", fast=5, slow=20, long_short=False)
-    led = ledger(market.join(target, ["ticker", "date"]), OPTS)
+    led = ledger_of(v.vwap_bars(t), "ma_cross", OPTS, fast=5, slow=20, long_short=False)
     m = period_metrics(led, ("ticker",))
     return rounded(m.select("ticker", "n_observations", "trade_count", "exposure", "turnover", "transaction_cost_drag",
                             "sharpe", *RETURN_COLS.replace(" ", "").split(",")), 6, turnover=4)
