@@ -79,13 +79,16 @@ _FOLDS = "fold1, fold2, fold3, fold4"
 
 
 @query("sea_grid_results", ctes(v.SQL_WEEKLY, *dev_sql(), *results_sql(), recursive=True)
-       + f"""select ticker, strategy, params, val_sharpe, val_n as val_n_observations, val_trades as val_trade_count, {r('val_exposure')} as val_exposure, val_skew, val_kurt as val_kurtosis, val_cagr, val_mdd as val_max_drawdown,
- train_sharpe, train_total as train_total_return, {_FOLDS} from res""")
+       + f"""select ticker, strategy, params, val_sharpe, val_n as val_n_observations, val_trades as val_trade_count, {r('val_exposure')} as val_exposure, val_skew, val_kurt as val_kurtosis, {r('case when val_cagr>-1 then ln(1+val_cagr) end', 4)} as val_log_cagr, val_mdd as val_max_drawdown,
+ train_sharpe, {r('case when train_total>-1 then ln(1+train_total) end', 4)} as train_log_total, {_FOLDS} from res""")
 def _(t):
     res = results(t, reused=False)
+    # compounded growth spans many orders of magnitude, so it is reported as a logarithm
+    log_growth = lambda c: F.when(F.col(c) > -1, F.log1p(c))
     folds = [F.get("val_fold_sharpes", F.lit(i)).alias(f"fold{i + 1}") for i in range(4)]
     return rounded(res.select("ticker", "strategy", "params", "val_sharpe", "val_n_observations", "val_trade_count", "val_exposure", "val_skew", "val_kurtosis",
-                              "val_cagr", "val_max_drawdown", "train_sharpe", "train_total_return", *folds))
+                              log_growth("val_cagr").alias("val_log_cagr"), "val_max_drawdown", "train_sharpe",
+                              log_growth("train_total_return").alias("train_log_total"), *folds), 6, val_log_cagr=4, train_log_total=4)
 
 
 @query("sea_resume", ctes(v.SQL_WEEKLY, *dev_sql(), *results_sql(), recursive=True) + "select ticker, strategy, params, val_sharpe from res where not (strategy='ma_cross' and ticker<'N') and not (strategy='tsmom' and ticker>='R')")
