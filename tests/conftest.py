@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DATA = os.environ.get("TIDELINE_TESTDATA", "/root/testdata/sf0.001")
+DATA = os.environ.get("TIDELINE_TESTDATA", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")

@@ -233,9 +233,9 @@ _NBALL = "c4 as materialized (select * exclude (rn) from c3 union all select c3.
 @query("rob_neighbours", ctes(v.SQL_WEEKLY, *dev_sql(), _NBSQL, _NB1, ewm("cs", "c3", [("target", 1.0, "sm")], keys=("ticker", "cand")), _NBALL, ledger_sql("c4", keys="ticker,cand,baseline", lag=1, k="0.00025"), metrics_sql("led", keys="ticker,cand,baseline,period"),
     "nb as materialized (select ticker, baseline, case when undefined_ then -99.0 else sharpe0 end as s from met where period='val')", "bs as (select ticker, s as base from nb where baseline)",
     "g0 as (select ticker, base, count(*) as tried, count(*) filter (where s>-99) as n_neighbours, avg(s) filter (where s>-99) as mean, median(s) filter (where s>-99) as median, stddev_pop(s) filter (where s>-99) as std, min(s) filter (where s>-99) as min, max(s) filter (where s>-99) as max, avg(case when s>-99 then (s<base*0.5)::int end) as pct_degrade, avg(case when s>-99 then (s>0)::int end) as pct_positive from nb join bs using (ticker) where not baseline group by 1,2)",
-    "g1 as (select *, case when base>0 and median>=0.8*base and pct_degrade<0.15 then 'A' when base>0 and median>=0.6*base and pct_degrade<0.35 then 'B' when median>=0.4*greatest(base,0) then 'C' else 'D' end as grade from g0)", recursive=True)
+    "g1 as (select *, case when tried<4 or n_neighbours=0 then 'N/A' when base>0 and median>=0.8*base and pct_degrade<0.15 then 'A' when base>0 and median>=0.6*base and pct_degrade<0.35 then 'B' when median>=0.4*greatest(base,0) then 'C' else 'D' end as grade from g0)", recursive=True)
     + f"""select ticker, 'ma_cross' as strategy, base, tried, n_neighbours, {r('mean')} as mean, {r('median')} as median, {r('std')} as std, min, max, {r('pct_degrade')} as pct_degrade, {r('pct_positive')} as pct_positive, grade,
- base>0 and (median<0.5*base or pct_degrade>0.4) as isolated_peak, case grade when 'A' then 'Robust' when 'B' then 'Relatively stable' when 'C' then 'Fragile' else 'Locally unstable' end as verdict from g1""")
+ case when grade<>'N/A' then coalesce(base>0 and (median<0.5*base or pct_degrade>0.4),false) end as isolated_peak, case grade when 'N/A' then 'Skipped' when 'A' then 'Robust' when 'B' then 'Relatively stable' when 'C' then 'Fragile' else 'Locally unstable' end as verdict from g1""")
 def _(t):
     dev = development_bars(v.weekly_bars(t), OPTS)
     return rounded(robustness(neighbour_scores(dev, "ma_cross", {"fast": 3, "slow": 20}, OPTS)))
