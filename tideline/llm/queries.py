@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, sharding
+from tideline.llm import bpe, hamming, linededup, lzprint, packing, pii, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,72 @@ def op3(spark, folder):
 
     docs = table(spark, folder, "documents")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@query("op7_simhash")
+def op7(spark, folder):
+    return simhash.simhash_groups(table(spark, folder, "documents"), words=3, distance=3)
+
+
+@query("op10_quality")
+def op10(spark, folder):
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
+
+
+@query("op8_pii")
+def op8(spark, folder):
+    return pii.find(table(spark, folder, "documents"))
+
+
+@query("op1_warc")
+def op1(spark, folder):
+    return warc.archive_and_read(table(spark, folder, "pages"), least_bytes=0)
+
+
+@query("op4_lz_fingerprint")
+def op4(spark, folder):
+    return lzprint.with_edits(table(spark, folder, "documents"))
+
+
+LINES_SQL = """
+with l as (
+  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+w as (
+  select doc_id, pos, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c from l window d as (partition by doc_id order by pos)),
+later as (
+  select doc_id, pos from (select *, row_number() over (partition by a, b, c order by doc_id, pos) as n from w where c is not null) where n > 1),
+covered as (select distinct doc_id, pos + k as pos from later, (values (0), (1), (2)) as t(k)),
+marked as (select l.*, covered.pos is not null as gone from l left join covered using (doc_id, pos))
+select doc_id, coalesce(string_agg(case when not gone then line end, chr(10) order by pos), '') as text, cast(count(*) as bigint) as lines,
+       cast(sum(gone::int) as bigint) as removed
+from marked group by doc_id
+"""
+
+
+@query("op5_lines", LINES_SQL)
+def op5(spark, folder):
+    out = linededup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.withColumnsRenamed({"_lines": "lines", "_removed": "removed"})
+
+
+@query("op6_packing")
+def op6(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+NEAREST_SQL = """
+with codes as (
+  select vec_id, list_sum(list_transform(embedding[1:64], lambda x, i: case when x > 0 then 1::hugeint << (i - 1) else 0::hugeint end))::ubigint as code
+  from embeddings),
+pairs as (
+  select q.vec_id as query_id, n.vec_id as neighbour_id, cast(bit_count(xor(q.code, n.code)) as integer) as distance
+  from codes q join codes n on q.vec_id % 50 = 0 and q.vec_id != n.vec_id)
+select query_id, neighbour_id, distance, cast(rank as integer) as rank
+from (select *, row_number() over (partition by query_id order by distance, neighbour_id) as rank from pairs) where rank <= 10
+"""
+
+
+@query("op9_nearest_codes", NEAREST_SQL)
+def op9(spark, folder):
+    codes = hamming.sign_codes(table(spark, folder, "embeddings"))
+    return hamming.nearest_codes(codes, codes.where("id % 50 = 0"), k=10)
