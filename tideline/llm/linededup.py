@@ -41,7 +41,8 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     starts = later.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_pos")).alias("_starts"))
     starts = stage(starts.withColumnsRenamed({"_id": "_sid", "_th": "_sth"}), "later_windows")
 
-    joined = docs.join(starts, F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_sth")), "left")
+    # always by shuffle: what is removed grows with the corpus, so this is the plan that a large one needs
+    joined = docs.join(starts.hint("merge"), F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_sth")), "left")
     text = F.col(text_col).cast("string")
     count = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 
