@@ -325,7 +325,8 @@ def page_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     revisits = digests.join(first, F.col("_sha") == F.col("_s")).where("_pid is null or _pid > _first")
     revisits = stage(revisits.select("_pid", "_sha", "_first").distinct(), "revisits")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
-    joined = rows.join(revisits, F.col("page").eqNullSafe(F.col("_pid")) & (F.sha1("payload") == F.col("_sha")), "left")
+    # always by shuffle: revisits grow with the crawl
+    joined = rows.join(revisits.hint("merge"), F.col("page").eqNullSafe(F.col("_pid")) & (F.sha1("payload") == F.col("_sha")), "left")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return joined.select(
         F.when(F.col("_first").isNull(), "response").otherwise("revisit").alias("record_type"), urn(F.col("page")).alias("record_id"),
