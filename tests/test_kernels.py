@@ -70,7 +70,8 @@ def test_quick_sample_is_distinct_valid_and_repeatable(spark):
     assert g.quick_sample(g.build_grid(spark, {"x": [1, 2]}), {"x": [1, 2]}, 5).count() == 2
 
 
-def test_neighbours():
-    out = g.neighbours({"lookback": 10, "threshold": 0.5, "skip": 0, "flag": True, "mode": "a", "tiny": 2})
-    got = {(n, r[n]) for r in out for n in ("lookback", "threshold", "skip", "tiny") if r[n] != {"lookback": 10, "threshold": 0.5, "skip": 0, "tiny": 2}[n]}
+def test_neighbours(spark):
+    one = spark.createDataFrame([(10, 0.5, 0, 2)], "lookback bigint, threshold double, skip bigint, tiny bigint")
+    kinds = {"lookback": "int", "threshold": "double", "skip": "int", "tiny": "int"}
+    got = {(r["moved"], r[r["moved"]]) for r in g.neighbour_rows(one, kinds).collect()}
     assert got == {("lookback", 8), ("lookback", 12), ("threshold", 0.4), ("threshold", 0.6), ("skip", 1), ("tiny", 1), ("tiny", 3)}

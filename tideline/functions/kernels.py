@@ -154,6 +154,16 @@ def _decayed_sum(factor: float):
     return lambda acc, v: acc * F.lit(factor) + v
 
 
+def _short_memory(source: str, alpha: float, keys: Sequence[str]):
+    """The mean for an alpha so near 1 that rows six or more steps back are below the last bit; alpha 1 is the source itself."""
+    if alpha >= 1.0:
+        return F.col(source)
+    w = Window.partitionBy(*keys).orderBy("_blk", "_seq")
+    seed = F.first(source, ignorenulls=True).over(running(w))
+    terms = [alpha * (1.0 - alpha) ** j * F.coalesce(F.lag(F.col(source), j).over(w) - seed, F.lit(0.0)) for j in range(6)]
+    return F.when(F.col(source).isNotNull(), seed + sum(terms[1:], terms[0]))
+
+
 def with_ewm(df: DataFrame, specs: Iterable[tuple[str, float, str]], keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Add exponentially weighted means ``(source, alpha, output)``, all in one pass.
 
@@ -167,11 +177,10 @@ def with_ewm(df: DataFrame, specs: Iterable[tuple[str, float, str]], keys: Seque
     """
     specs = list(specs)
     df = with_sequence(df, keys)
-    moving = [(s, float(a), o) for s, a, o in specs if a < 1.0]
-    copies = {o: F.col(s) for s, a, o in specs if a >= 1.0}
-    for _, alpha, _ in moving:
-        if not 0.0 < alpha <= 0.9999:
-            raise ValueError("alpha must be in (0, 0.9999] or exactly 1")
+    moving = [(s, float(a), o) for s, a, o in specs if a <= 0.9999]
+    copies = {o: _short_memory(s, float(a), keys) for s, a, o in specs if a > 0.9999}
+    if any(not 0.0 < a <= 1.0 for _, a, _ in specs):
+        raise ValueError("alpha must be in (0, 1]")
     if moving:
         by_key = Window.partitionBy(*keys).orderBy("_blk", "_seq")
         in_block = running(Window.partitionBy(*keys, "_blk").orderBy("_seq"))

@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .grid import uniform_hash
 
 STATISTICS = ("strategy_annualized_mean", "strategy_sharpe", "benchmark_annualized_mean", "benchmark_sharpe", "annualized_mean_excess")
 MIN_STD = 1e-12
 MIN_BLOCKS = 5
-MAX_CELLS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -62,8 +62,7 @@ def _series(returns: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
         F.avg("benchmark").alias("b_mean"), F.stddev_samp("benchmark").alias("b_std"), F.stddev_samp(active).alias("a_std"))
     length, required = opts.block_length, max(opts.min_observations, MIN_BLOCKS * opts.block_length)
     s = s.withColumn("blocks", F.ceil(F.col("n") / length))
-    problem = F.when(F.col("n") < required, "insufficient_data").when(
-        F.col("blocks") * length * opts.n_resamples > MAX_CELLS, "resource_limit")
+    problem = F.when(F.col("n") < required, "insufficient_data")
     return s.withColumns({"unavailable": problem, "required": F.lit(required)})
 
 
@@ -78,61 +77,74 @@ def hash_draws(series: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
 
 
 def generator_draws(series: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
-    """The same table from a seeded PCG64 stream per series (bounded by the cell limit), for exact replication."""
+    """The same table from a seeded PCG64 stream, for exact replication.
+
+    Series of one size have the same stream, so it is drawn once for each size and joined to them. A stream can only be drawn in
+    order, by one task a size, but it leaves that task a few resamples at a time.
+    """
     seed, resamples = opts.seed, opts.n_resamples
-    names = list(keys)
 
-    def draw(pdf):
+    def draw(frames):
         import numpy as np
         import pandas as pd
 
-        n, blocks = int(pdf["n"].iloc[0]), int(pdf["blocks"].iloc[0])
-        starts = np.random.Generator(np.random.PCG64(seed)).integers(0, n, size=(resamples, blocks))
-        out = pd.DataFrame({"resample": np.repeat(np.arange(resamples, dtype="int32"), blocks),
-                            "block": np.tile(np.arange(blocks, dtype="int32"), resamples), "start": starts.reshape(-1)})
-        for name in reversed(names):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
+        for frame in frames:
+            for n, blocks in zip(frame["size"].tolist(), frame["blocks"].tolist(), strict=True):
+                stream = np.random.Generator(np.random.PCG64(seed))
+                step = max(1, 500_000 // blocks)
+                for first in range(0, resamples, step):
+                    some = np.arange(first, min(resamples, first + step), dtype="int32")
+                    starts = stream.integers(0, n, size=(len(some), blocks))
+                    yield pd.DataFrame({"size": n, "resample": np.repeat(some, blocks), "block": np.tile(np.arange(blocks, dtype="int32"), len(some)),
+                                        "start": starts.reshape(-1)})
 
-    types = dict(series.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", resample int, block int, start bigint"
-    return series.select(*keys, "n", "blocks").groupBy(*keys).applyInPandas(draw, schema)
+    sizes = series.select(F.col("n").alias("size"), F.col("blocks").cast("bigint").alias("blocks")).distinct()
+    drawn = sizes.mapInPandas(draw, "size bigint, resample int, block int, start bigint")
+    return series.select(*keys, "n").join(drawn, F.col("n") == F.col("size")).select(*keys, "resample", "block", "start")
 
 
 def _block_sums(returns: DataFrame, series: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
-    """Sums of the whole and of the truncated last block starting at each row, with wrap-around.
+    """Sums of the whole and of the shorter last block starting at each row, with wrap-around.
 
-    The first ``block_length`` rows are repeated behind the last one, so a block is a plain forward frame.
+    The first ``block_length`` rows are repeated behind the last one, so that both blocks are plain frames. The shorter one has
+    another length in every series, which a frame can't have; over positions divided by that length its end is the same for all.
+    Of each column the value at the start and the length of the run of equal values from there are kept as well, so that
+    constant resamples are known exactly.
     """
     length = opts.block_length
     w = Window.partitionBy(*keys).orderBy("date")
     df = returns.join(series.filter(F.col("unavailable").isNull()).select(*keys, "n", "blocks", "s_mean", "b_mean"), list(keys))
     df = df.select(*keys, "n", "blocks", (F.row_number().over(w) - 1).cast("bigint").alias("start"),
                    (F.col("strategy") - F.col("s_mean")).alias("x"), (F.col("benchmark") - F.col("b_mean")).alias("y"))
-    head = df.filter(F.col("start") < length).withColumn("start", F.col("start") + F.col("n"))
-    ring = Window.partitionBy(*keys).orderBy("start").rowsBetween(0, length - 1)
-    whole = df.unionByName(head)
-    values = {"x": F.col("x"), "xx": F.col("x") * F.col("x"), "y": F.col("y"), "yy": F.col("y") * F.col("y")}
-    lists = F.collect_list(F.struct("x", "y")).over(ring)
-    tail = (F.col("n") - (F.col("blocks") - 1) * length).cast("int")
-    out = whole.withColumns({f"f_{c}": F.sum(e).over(ring) for c, e in values.items()}).withColumn("_l", lists)
-    cut = F.slice("_l", F.lit(1), tail)
-    out = out.withColumns({
-        "l_x": F.aggregate(cut, F.lit(0.0), lambda a, v: a + v.x), "l_xx": F.aggregate(cut, F.lit(0.0), lambda a, v: a + v.x * v.x),
-        "l_y": F.aggregate(cut, F.lit(0.0), lambda a, v: a + v.y), "l_yy": F.aggregate(cut, F.lit(0.0), lambda a, v: a + v.y * v.y)})
-    return out.filter(F.col("start") < F.col("n")).drop("_l", "x", "y")
+    ring = df.unionByName(df.filter(F.col("start") < length).withColumn("start", F.col("start") + F.col("n")))
+    ring = ring.withColumns({"tail": F.col("n") - (F.col("blocks") - 1) * length, "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y")})
+    ring = ring.withColumn("_z", F.col("start").cast("double") / F.col("tail"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    whole, after = order.rowsBetween(0, length - 1), order.rowsBetween(1, Window.unboundedFollowing)
+    part = f"over (partition by {', '.join(keys)} order by _z range between current row and {1 - 1 / (2 * length)!r}D following)"
+    names = ("x", "xx", "y", "yy")
+    ring = ring.withColumns({f"_turn_{c}": F.when(F.col(c) != F.lag(c).over(order), F.col("start")) for c in ("x", "y")})
+    ring = ring.withColumns({f"run_{c}": F.coalesce(F.min(f"_turn_{c}").over(after), F.col("n") + length) - F.col("start") for c in ("x", "y")}
+                            | {f"f_{c}": F.sum(c).over(whole) for c in names} | {f"l_{c}": F.expr(f"sum({c}) {part}") for c in names})
+    return ring.filter(F.col("start") < F.col("n")).drop("_z", "_turn_x", "_turn_y", "xx", "yy")
 
 
 def resample_statistics(returns: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
     """One row per (series, resample) with the five statistics."""
-    series = _series(returns, keys, opts)
+    returns = cut_lineage(returns.select(*keys, "date", "strategy", "benchmark"))
+    return _resampled(returns, cut_lineage(_series(returns, keys, opts)), keys, opts)
+
+
+def _resampled(returns: DataFrame, series: DataFrame, keys, opts: BootstrapOptions) -> DataFrame:
     usable = series.filter(F.col("unavailable").isNull())
     draws = (generator_draws if opts.draws == "pcg64" else hash_draws)(usable, keys, opts)
     sums = _block_sums(returns, series, keys, opts)
     df = draws.join(sums, [*keys, "start"])
     last = F.col("block") == F.col("blocks") - 1
     pick = lambda c: F.sum(F.when(last, F.col(f"l_{c}")).otherwise(F.col(f"f_{c}"))).alias(c)
-    agg = df.groupBy(*keys, "resample").agg(*[pick(c) for c in ("x", "xx", "y", "yy")])
+    size = F.when(last, F.col("tail")).otherwise(F.lit(opts.block_length))
+    flat = lambda c: (F.bool_and(F.col(f"run_{c}") >= size) & (F.min(c) == F.max(c))).alias(f"flat_{c}")
+    agg = df.groupBy(*keys, "resample").agg(*[pick(c) for c in ("x", "xx", "y", "yy")], flat("x"), flat("y"))
     agg = agg.join(series.select(*keys, "n", "s_mean", "b_mean"), list(keys))
     return agg.select(*keys, "resample", *_five(agg, opts))
 
@@ -143,7 +155,7 @@ def _five(_, opts: BootstrapOptions) -> list[Column]:
     def parts(total, squares, centre):
         mean = F.col(total) / n + F.col(centre)
         var = F.greatest(F.col(squares) - F.col(total) * F.col(total) / n, F.lit(0.0)) / (n - 1)
-        std = F.sqrt(var)
+        std = F.when(F.col(f"flat_{total}"), 0.0).otherwise(F.sqrt(var))
         return mean * ann, F.when(std > MIN_STD, (mean * ann - rf) / (std * ann**0.5))
 
     s, ss = parts("x", "xx", "s_mean")
@@ -158,9 +170,10 @@ def bootstrap(returns: DataFrame, keys: Sequence[str], opts: BootstrapOptions) -
     resamples are never dropped: they make the interval unavailable.
     """
     ann, rf, root = opts.annualization, opts.risk_free_rate, opts.annualization**0.5
-    series = _series(returns, keys, opts)
+    returns = cut_lineage(returns.select(*keys, "date", "strategy", "benchmark"))
+    series = cut_lineage(_series(returns, keys, opts))
     low, high = (1 - opts.confidence_level) / 2, (1 + opts.confidence_level) / 2
-    samples = resample_statistics(returns, keys, opts)
+    samples = _resampled(returns, series, keys, opts)
     spread = samples.groupBy(*keys).agg(*[
         F.struct(F.count(c).alias("valid"), F.min(c).alias("lo"), F.max(c).alias("hi"),
                  F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("q")).alias(c) for c in STATISTICS])

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels as k
 from ..functions.scalars import annualization
+from .arrays import over_bars
 from .fills import run_account
 from .schedules import accrual, as_of, constant_accrual
 
@@ -212,43 +213,26 @@ LEDGER_FIELDS = ("ret", "equity", "trade", "requested_trade", "position", "held"
 _FLOATS = LEDGER_FIELDS[:8]
 
 
+_ACCOUNT = ("m_ret", "m_cash", "m_fin", "m_borrow", "m_rebate", "m_spread", "m_ok", "m_price", "m_volume")
+
+
 def sequential_ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), candidates=(), order="date") -> DataFrame:
     """Path-dependent form: minimum fee, nonlinear impact, participation cap, partial fills.
 
-    Groups are keyed by ``keys``; every group holds the calendar of one ticker
-    for the ``candidates`` columns that distinguish targets within it, and the
-    bar loop advances all of them together.
+    The calendar of one candidate (``keys`` and ``candidates``) is the unit of work; a task advances some hundreds of them
+    together. A target that the costs put out of reach leaves NaN from there on instead of ending the job.
     """
     lev, lag = float(opts.max_leverage), int(opts.execution_lag)
     ids = [*keys, *candidates]
     w = Window.partitionBy(*ids).orderBy(order)
     df = df.withColumn("_t", k.clip(F.col("target") * F.col("m_scale"), -lev, lev))
     df = df.withColumn("_want", F.coalesce(k.shifted("_t", lag, w), F.lit(0.0))).drop("_t")
-    fields = [f for f in df.schema.fields if f.name != "_want"]
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in _FLOATS]
-                          + [T.StructField(n, T.BooleanType()) for n in LEDGER_FIELDS[8:]])
-    names = [f.name for f in fields]
-    cand = list(candidates)
-
-    def walk(pdf):
-        pdf = pdf.sort_values([*cand, order], kind="stable")
-        n = pdf[order].nunique()
-        m = len(pdf) // n
-        if n * m != len(pdf):
-            raise ValueError("every candidate needs the same bars")
-
-        def grid(c):
-            return pdf[c].to_numpy().reshape(m, n).T
-
-        market = {c: grid(c)[:, 0] for c in ("m_ret", "m_cash", "m_fin", "m_borrow", "m_rebate", "m_spread", "m_ok",
-                                             "m_price", "m_volume")}
-        result = run_account(grid("_want").astype(float), market, opts)
-        out = pdf[names].copy()
-        for name, values in result.items():
-            out[name] = values.T.reshape(-1)
-        return out
-
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+
+    def rule(bars, _):
+        return run_account(bars["_want"], {c: bars[c] for c in _ACCOUNT}, opts)
+
+    out = {**dict.fromkeys(_FLOATS, "double"), **dict.fromkeys(LEDGER_FIELDS[8:], "boolean")}
+    return over_bars(df, ids, (order,), ("_want", *_ACCOUNT), (), rule, out).drop("_want")
 
 
 def ledger(df: DataFrame, opts: LedgerOptions, keys=("ticker",), candidates=(), order="date") -> DataFrame:

@@ -23,8 +23,6 @@ from .membership import with_membership_change
 from .walks import run_budgeted_book
 
 KEYS = ("book",)
-#: contract of the sequential book: date x asset cells per account
-MAX_BOOK_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -254,11 +252,9 @@ def _budgeted(targets: DataFrame, prices: DataFrame, opts: ExecutionOptions) ->
                "pre_trade_nav", "transaction_cost", "traded_notional", "turnover", "requested_notional", "unfilled_notional", "fill_fraction")
     schema = T.StructType([*[f for f in legs.schema.fields], *[T.StructField(d, T.DoubleType()) for d in doubles],
                            T.StructField("turnover_limited", T.BooleanType()), T.StructField("executed", T.BooleanType())])
-    names, limit = legs.columns, MAX_BOOK_CELLS
+    names = legs.columns
 
     def walk(pdf):
-        if len(pdf) > limit:
-            raise ValueError(f"a turnover-budgeted book is limited to {limit} date x asset cells")
         pdf = pdf.sort_values(["date", "ticker"], kind="stable")
         dates = pdf["date"].unique()
         m = len(pdf) // len(dates)

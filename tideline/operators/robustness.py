@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import canonical, neighbours
+from .grid import canonical, neighbour_rows
 from .ledger import LedgerOptions
 from .search import evaluate_grid
 from .strategies import get_strategy
@@ -18,7 +18,11 @@ def neighbour_scores(dev: DataFrame, name: str, params: Mapping, opts: LedgerOpt
     """Validation Sharpe of the candidate (``baseline``) and of its valid neighbours, per ticker, in one job."""
     strategy = get_strategy(name)
     full = {**strategy.defaults, "signal_smooth": 0, **params}
-    around = [row for row in neighbours(full, frac) if strategy.params_valid(row)]
+    kinds = {n: "int" if isinstance(x, int) else "double" for n, x in full.items() if isinstance(x, int | float) and not isinstance(x, bool)}
+    one = dev.sparkSession.createDataFrame([tuple(full[n] for n in kinds)], ", ".join(f"{n} {'bigint' if t == 'int' else t}" for n, t in kinds.items()))
+    # two rows for each numeric parameter at most
+    around = [{**full, r["moved"]: r[r["moved"]]} for r in neighbour_rows(one, kinds, frac).collect()]
+    around = [row for row in around if strategy.params_valid(row)]
     rows = evaluate_grid(dev, name, opts, [full, *around], risk_free_rate=risk_free_rate)
     return rows.select("ticker", "strategy", "params", (F.col("params") == canonical(full)).alias("baseline"),
                        F.when(F.col("error").isNull(), F.col("val_sharpe")).otherwise(-99.0).alias("val_sharpe"))

@@ -1,11 +1,11 @@
 """Evaluate a whole grid of candidates over all tickers as one job.
 
 bars -> panel (indicators once per ticker) -> join grid -> targets -> smoothing
-variants -> ledger -> metrics. The panel is the only thing that crosses the
-network: it is partitioned by (ticker, indicator setting, chunk), the grid is
-joined inside those partitions, and every later window and aggregate is keyed by
-columns that contain the partitioning, so Spark adds no further shuffle for the
-bars x candidates rows.
+variants -> ledger -> metrics. Two tables cross the network: the panel and the
+candidates that are still wanted, one row per ticker and candidate. Both are
+partitioned by (ticker, indicator setting, chunk) and joined inside those
+partitions, and every later window and aggregate is keyed by columns that
+contain the partitioning, so bars x candidates rows are not shuffled again.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import kernels as k
 from ..session import cut_lineage
@@ -27,8 +26,6 @@ from .splits import halving_resources, with_folds, with_periods
 from .strategies import Strategy, get_strategy
 
 ORDER = ("_blk", "_seq")
-#: a grid above this many rows is joined by shuffle instead of being broadcast
-BROADCAST_GRID_ROWS = 200_000
 
 
 def _session(base):
@@ -90,23 +87,6 @@ def space(name: str, grid=None, smooth: Sequence[int] | None = None) -> Candidat
     return Candidates(strategy, grid, None, smooth)
 
 
-def with_machine(df: DataFrame, strategy: Strategy, ids: Sequence[str]) -> DataFrame:
-    """Targets of a rule with memory: one walk over the bars of each candidate."""
-    values = sorted(c for c in df.columns if c.startswith("v") and c[1:].isdigit())
-    names, states = strategy.machine_params, strategy.machine
-    fields = [f for f in df.schema.fields if f.name not in values]
-    kept = [f.name for f in fields]
-
-    def walk(pdf):
-        pdf = pdf.sort_values("_seq")
-        params = {n: pdf[n].iloc[0] for n in names}
-        out = pdf[kept].copy()
-        out["target"] = [float(x) for x in states([pdf[v].to_numpy() for v in values], params)]
-        return out
-
-    return df.groupBy(*ids).applyInPandas(walk, T.StructType([*fields, T.StructField("target", T.DoubleType())]))
-
-
 #: identity of a candidate's rows; ``unit`` hashes (ticker, indicator setting, chunk) and is what partitions them
 UNIT = ("unit", "ticker", "pid")
 CANDIDATE = (*UNIT, "signal_smooth")
@@ -117,6 +97,13 @@ def task_count(spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
+def with_unit(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add ``unit``, a 64-bit hash of (ticker, indicator setting, chunk); numbers hash alike whatever their type."""
+    kinds = dict(df.dtypes)
+    parts = [F.col(c).cast("double") if kinds[c] in ("int", "bigint", "double", "float") or kinds[c].startswith("decimal") else F.col(c) for c in on]
+    return df.withColumn("unit", F.xxhash64("ticker", *parts, "chunk"))
+
+
 def candidate_targets(bars: DataFrame, found: Candidates, chunks: int = 1, only: DataFrame | None = None) -> DataFrame:
     """Bars x candidates with ``target``; ``only`` restricts to given (ticker, pid, signal_smooth) rows.
 
@@ -129,18 +116,17 @@ def candidate_targets(bars: DataFrame, found: Candidates, chunks: int = 1, only:
     carried = [c for c in dict.fromkeys([*bars.columns, *ORDER]) if c not in strategy.on]
     panel = panel.select(*carried, *strategy.on, *values)
     spread = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if chunks > 1 else F.lit(0)
-    panel = panel.withColumn("chunk", spread).withColumn("unit", F.xxhash64("ticker", *strategy.on, "chunk"))
     # an explicit count: the panel is small, what is built inside its partitions is not, so it must not be coalesced
-    panel = panel.repartition(task_count(bars.sparkSession), "unit")
-    rows = found.table(bars.sparkSession).withColumn("chunk", F.pmod("pid", F.lit(chunks)).cast("int"))
-    if found.size <= BROADCAST_GRID_ROWS:
-        rows = F.broadcast(rows)
-    df = panel.join(rows, [*strategy.on, "chunk"])
-    if only is not None:
-        df = df.join(only.select("ticker", "pid").distinct(), ["ticker", "pid"], "left_semi")
+    tasks = task_count(bars.sparkSession)
+    panel = with_unit(panel.withColumn("chunk", spread), strategy.on).repartition(tasks, "unit")
+    rows = found.table(bars.select("ticker").distinct()).withColumn("chunk", F.pmod("pid", F.lit(chunks)).cast("int"))
+    if only is not None:  # before any bar is multiplied
+        rows = rows.join(only.select("ticker", "pid").distinct(), ["ticker", "pid"], "left_semi")
+    rows = with_unit(rows, strategy.on).drop("ticker", "chunk", *strategy.on).repartition(tasks, "unit")
+    df = panel.join(rows, "unit")
     extra = [c for c in ("position_size", "_span") if c in rows.columns]
     if strategy.machine is not None:
-        df = with_machine(df.select(*carried, "unit", "pid", *values, *strategy.machine_params, *extra), strategy, UNIT)
+        df = strategy.machine(df.select(*carried, "unit", "pid", *values, *strategy.machine_params, *extra), UNIT)
     else:
         df = df.withColumn("target", strategy.signal({n: F.col(n) for n in names}))
     df = df.select(*carried, "unit", "pid", "target", *extra)
@@ -191,7 +177,7 @@ def _run_single(strategy: Strategy, bars: DataFrame, grid: Mapping, smooth: int,
         df = panel.withColumns({n: params[n] for n in strategy.machine_params if n not in strategy.on})
         keep = ["ticker", "date", "_seq", "_blk", *extra, *strategy.machine_params]
         values = [c for c in df.columns if c.startswith("v") and c[1:].isdigit()]
-        df = with_machine(df.select(*dict.fromkeys(keep), *values), strategy, ("ticker",))
+        df = strategy.machine(df.select(*dict.fromkeys(keep), *values), ("ticker",))
     else:
         df = panel.withColumn("target", strategy.signal(params))
     if smooth > 0:
@@ -236,8 +222,6 @@ def evaluate_grid(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, sm
         F.max(F.when(F.col("period") == "val", F.col("fold_sharpes"))).alias("val_fold_sharpes"),
     )
     names = found.labels(bars.sparkSession)
-    if found.size <= BROADCAST_GRID_ROWS:
-        names = F.broadcast(names)
     bad = F.lit(False)
     for m in RETURN_METRICS:
         x = F.col(f"val_{m}")

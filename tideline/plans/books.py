@@ -19,14 +19,14 @@ SQL_MEMBERS = f"""mem as materialized (select ticker, date, coalesce(last_value(
 
 
 def _prices(t):
-    return p.with_book(v.weekly_bars(t).select("ticker", "date", "close", "volume"))
+    return p.with_book(v.aligned_weekly_bars(t).select("ticker", "date", "close", "volume"))
 
 
 def _members(t):
     from pyspark.sql import Window
 
     from ..operators.membership import eligibility
-    w = v.weekly_bars(t).withColumn("m", F.avg("volume").over(Window.partitionBy("ticker")))
+    w = v.aligned_weekly_bars(t).withColumn("m", F.avg("volume").over(Window.partitionBy("ticker")))
     ev = w.select("ticker", F.col("date").alias("effective_on"), F.when(F.col("volume") > 1.15 * F.col("m"), "add").when(F.col("volume") < 0.85 * F.col("m"), "remove").alias("action")).filter("action is not null")
     opening = w.select("ticker").distinct().filter("ticker < 'N'")
     return eligibility(w.select("ticker", "date"), ev, opening)
@@ -49,33 +49,33 @@ def targets_sql(member: bool = False) -> str:
             f"(select sc.date, sc.ticker, {s} as s from sc {j} join fl using (date) where scheduled)))")
 
 
-@query("pf_scores", ctes(v.SQL_WEEKLY, SC) + f"select 'all' as book, date, ticker, {r('score')} as score from sc")
+@query("pf_scores", ctes(v.SQL_ALIGNED, SC) + f"select 'all' as book, date, ticker, {r('score')} as score from sc")
 def _(t):
     return rounded(p.scores(_prices(t), MOM))
 
 
-@query("pf_scores_members", ctes(v.SQL_WEEKLY, SC, SQL_MEMBERS) + f"select 'all' as book, date, ticker, {r('case when eligible then score end')} as score from sc join mem using (ticker,date)")
+@query("pf_scores_members", ctes(v.SQL_ALIGNED, SC, SQL_MEMBERS) + f"select 'all' as book, date, ticker, {r('case when eligible then score end')} as score from sc join mem using (ticker,date)")
 def _(t):
     return rounded(p.scores(_prices(t), MOM, _members(t)))
 
 
 for _unit, _name in ((None, "daily"), ("week", "weekly"), ("month", "monthly")):
-    @query(f"pf_signal_dates_{_name}", ctes(v.SQL_WEEKLY, flags_sql(_unit)) + "select 'all' as book, date, cast(n as integer) as _n, scheduled from fl")
+    @query(f"pf_signal_dates_{_name}", ctes(v.SQL_ALIGNED, flags_sql(_unit)) + "select 'all' as book, date, cast(n as integer) as _n, scheduled from fl")
     def _(t, name=_name):
         return p.signal_dates(_prices(t), p.MomentumOptions(lookback=13, rebalance=name))
 
 
-@query("pf_signal_dates_members", ctes(v.SQL_WEEKLY, SQL_MEMBERS, flags_sql("month", True)) + "select 'all' as book, date, cast(n as integer) as _n, scheduled from fl")
+@query("pf_signal_dates_members", ctes(v.SQL_ALIGNED, SQL_MEMBERS, flags_sql("month", True)) + "select 'all' as book, date, cast(n as integer) as _n, scheduled from fl")
 def _(t):
     return p.signal_dates(_prices(t), MOM, _members(t))
 
 
-@query("pf_targets", ctes(v.SQL_WEEKLY, SC, flags_sql("month"), targets_sql()) + f"select 'all' as book, date, ticker, {r('weight')} as weight, {r('score')} as score from tg")
+@query("pf_targets", ctes(v.SQL_ALIGNED, SC, flags_sql("month"), targets_sql()) + f"select 'all' as book, date, ticker, {r('weight')} as weight, {r('score')} as score from tg")
 def _(t):
     return rounded(p.momentum_targets(_prices(t), MOM))
 
 
-@query("pf_targets_members", ctes(v.SQL_WEEKLY, SC, SQL_MEMBERS, flags_sql("month", True), targets_sql(True)) + f"select 'all' as book, date, ticker, {r('weight')} as weight, {r('score')} as score from tg")
+@query("pf_targets_members", ctes(v.SQL_ALIGNED, SC, SQL_MEMBERS, flags_sql("month", True), targets_sql(True)) + f"select 'all' as book, date, ticker, {r('weight')} as weight, {r('score')} as score from tg")
 def _(t):
     return rounded(p.momentum_targets(_prices(t), MOM, _members(t)))
 
@@ -84,12 +84,12 @@ BT = "bt as materialized (select w.date, w.ticker, least(1e0/count(*) over (part
 BTM = "bt as materialized (select date, ticker, case when eligible then least(1e0/sum(eligible::int) over (partition by date),45e-2) else 0e0 end as weight from mem join fl using (date) where scheduled)"
 
 
-@query("pf_benchmark_targets", ctes(v.SQL_WEEKLY, flags_sql("month"), BT) + f"select 'all' as book, date, ticker, {r('weight')} as weight from bt")
+@query("pf_benchmark_targets", ctes(v.SQL_ALIGNED, flags_sql("month"), BT) + f"select 'all' as book, date, ticker, {r('weight')} as weight from bt")
 def _(t):
     return rounded(p.benchmark_targets(_prices(t), MOM))
 
 
-@query("pf_benchmark_targets_members", ctes(v.SQL_WEEKLY, SQL_MEMBERS, flags_sql("month", True), BTM) + f"select 'all' as book, date, ticker, {r('weight')} as weight from bt")
+@query("pf_benchmark_targets_members", ctes(v.SQL_ALIGNED, SQL_MEMBERS, flags_sql("month", True), BTM) + f"select 'all' as book, date, ticker, {r('weight')} as weight from bt")
 def _(t):
     return rounded(p.benchmark_targets(_prices(t), MOM, _members(t)))
 
@@ -131,7 +131,7 @@ def _nav(df):
     return rounded(df.select(*_NAV), 6, **money)
 
 
-BOOK = (v.SQL_WEEKLY, SC, flags_sql("month"), targets_sql())
+BOOK = (v.SQL_ALIGNED, SC, flags_sql("month"), targets_sql())
 
 
 @query("pf_book", ctes(*BOOK, *book_sql("tg"), recursive=True) + nav_sql("bk"))
@@ -148,7 +148,7 @@ def _(t):
     return rounded(legs.select("book", "date", "ticker", "weight", "units", "trade", "executed_target"), 6, units=4, trade=2)
 
 
-@query("pf_book_members", ctes(v.SQL_WEEKLY, SC, SQL_MEMBERS, flags_sql("month", True), targets_sql(True), *book_sql("tg"), recursive=True) + nav_sql("bk"))
+@query("pf_book_members", ctes(v.SQL_ALIGNED, SC, SQL_MEMBERS, flags_sql("month", True), targets_sql(True), *book_sql("tg"), recursive=True) + nav_sql("bk"))
 def _(t):
     prices, mem = _prices(t), _members(t)
     return _nav(p.book(p.momentum_targets(prices, MOM, mem), prices, EXE)[0])
@@ -199,7 +199,7 @@ def _(t):
     return rounded(p.summary(nav, legs, targets))
 
 
-@query("pf_study_boundary", ctes(v.SQL_WEEKLY, "d as (select distinct date from weekly)") + """select 'all' as book, count(*) filter (where date<date '2000-01-03') as development, count(*) filter (where date>=date '2000-01-03') as test, max(date) filter (where date<date '2000-01-03') as anchor,
+@query("pf_study_boundary", ctes(v.SQL_ALIGNED, "d as (select distinct date from weekly)") + """select 'all' as book, count(*) filter (where date<date '2000-01-03') as development, count(*) filter (where date>=date '2000-01-03') as test, max(date) filter (where date<date '2000-01-03') as anchor,
  case when count(*) filter (where date=date '2000-01-03')=0 then 'test_start is no session' when count(*) filter (where date<date '2000-01-03')<15 then 'too little development history' when count(*) filter (where date>=date '2000-01-03')<2 then 'too few test sessions' end as problem from d""")
 def _(t):
     return p.study_boundary(_prices(t), "2000-01-03", 13)
@@ -215,7 +215,7 @@ def _(t):
     return rounded(nav.select("book", "date", "equity", "net_return", "turnover", "pre_trade_nav", "rebalance_executed"), 6, pre_trade_nav=2)
 
 
-@query("pf_development_book", ctes(v.SQL_WEEKLY, "dev as materialized (select * from weekly where date<date '2000-01-03')", SC.replace("from weekly", "from dev"), flags_sql("month").replace("from weekly", "from dev"), targets_sql(), *book_sql("tg", rows="dev"), recursive=True) + nav_sql("bk"))
+@query("pf_development_book", ctes(v.SQL_ALIGNED, "dev as materialized (select * from weekly where date<date '2000-01-03')", SC.replace("from weekly", "from dev"), flags_sql("month").replace("from weekly", "from dev"), targets_sql(), *book_sql("tg", rows="dev"), recursive=True) + nav_sql("bk"))
 def _(t):
     prices = _prices(t).filter("date < '2000-01-03'")
     return _nav(p.book(p.momentum_targets(prices, MOM), prices, EXE)[0])

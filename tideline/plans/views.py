@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import annualization
+from ..session import cut_lineage
 from ..sources.bars import bars_from_trades
 from .registry import Tables
 
@@ -34,7 +35,8 @@ def _vwap_sql(name: str, date: str) -> str:
 
 
 SQL_VWAP = _vwap_sql("vwap", "cast(l_shipdate as date)")
-SQL_WEEKLY = _vwap_sql("weekly_all", "cast(date_trunc('week',l_shipdate) as date)") + """,
+SQL_WEEKLY = _vwap_sql("weekly", "cast(date_trunc('week',l_shipdate) as date)")
+SQL_ALIGNED = _vwap_sql("weekly_all", "cast(date_trunc('week',l_shipdate) as date)") + """,
 weekly as materialized (select w.* from weekly_all w where date in (select date from weekly_all group by date
  having count(*)=(select count(distinct ticker) from weekly_all)))"""
 
@@ -55,8 +57,12 @@ def vwap_bars(t: Tables) -> DataFrame:
 
 
 def weekly_bars(t: Tables) -> DataFrame:
-    """Weeks in which every ticker traded (a portfolio needs identical dates)."""
-    bars = _vwap(t, F.date_trunc("week", "l_shipdate"))
+    return _vwap(t, F.date_trunc("week", "l_shipdate")).withColumn("ann", annualization(F.col("ticker")))
+
+
+def aligned_weekly_bars(t: Tables) -> DataFrame:
+    """Weeks in which every ticker traded: a portfolio needs identical dates. Stored once; a book reads them many times."""
+    bars = cut_lineage(_vwap(t, F.date_trunc("week", "l_shipdate")))
     width = bars.select("ticker").distinct().agg(F.count(F.lit(1)).alias("width"))
     whole = bars.groupBy("date").agg(F.count(F.lit(1)).alias("n")).join(width, F.col("n") == F.col("width")).select("date")
     return bars.join(whole, "date", "left_semi").withColumn("ann", annualization(F.col("ticker")))
