@@ -13,6 +13,7 @@ from tideline.llm.bpe import slices
 
 #: The sample that the field is fitted on: labelled documents of each class, and lines of each (scoring reads all lines).
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 200
+SCORE = "__tideline_score"
 
 #: Bin edges of the features of a line.
 EDGES = {
@@ -230,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id, score`` of every whole text, from its text alone; with ``keep`` all columns of ``docs`` and ``_score``.
+    """``id, score`` of every whole text, from its text alone; with ``keep`` all columns of ``docs`` and the score under a name of its own.
 
     The score is between 0 and 1 and higher for label 1. A null text counts as an empty one, which is one empty line. Repeated
     rows and ties get equal scores; an empty table gives no rows; a text of any length is read whole.
@@ -252,7 +253,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     text = F.col(text_col).cast("string")
     if keep:
-        return docs.withColumn("_score", scored(text))
+        return docs.withColumn(SCORE, scored(text))
     return docs.select(F.col(id_col), scored(text).alias("score"))
 
 
@@ -265,4 +266,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more."""
     field = train(docs, labels, id_col=id_col, text_col=text_col)
-    return score(docs, field, id_col, text_col, keep=True).where(F.col("_score") >= threshold).drop("_score")
+    return score(docs, field, id_col, text_col, keep=True).where(F.col(SCORE) >= threshold).drop(SCORE)

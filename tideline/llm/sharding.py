@@ -15,7 +15,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "
     Rows are shuffled by a seeded hash and ranked within their stratum; rank r of n becomes the position (r + u) / n, where u in
     [0, 1) is a hash of the stratum, so that many small strata don't meet at one position. All rows are sorted by position and
     cut into runs whose lengths differ by one at most (law ``rows``). Equal texts are no unit here: a cut by the mixture would
-    have to break either. Every stratum has its share of every shard up to less than one row on each side.
+    have to break either. A stratum misses its share of a
+    shard by less than a row at either cut, and by its part of what the roundings of all other strata add up to there.
 
     Nothing sorts or counts a whole stratum in one task: ranks are numbered within buckets of the hash or the position.
 

@@ -260,6 +260,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distanc
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows of all but the least id of each group of near-duplicates; rows without id stay."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where(F.col(id_col) != F.col("group")).select(F.col(id_col).alias("_gone"))
+    gone = groups.where(F.col(id_col) != F.col("group")).select(F.col(id_col).alias("__tideline_gone"))
     # always by shuffle: copies grow with the corpus
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("__tideline_gone"), "left_anti")
