@@ -167,3 +167,51 @@ def test_walk_options():
     for bad in (dict(forward=0), dict(embargo=-1), dict(step=0)):
         with pytest.raises(ValueError):
             WalkOptions(**bad)
+
+
+def test_csv_contract(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,10\n")
+    (folder / "b.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-03,1,2,0.5,1.5,\n")
+    read = lambda: src.read_ohlcv_csv(spark, str(folder), "AAA").collect()
+    assert len(read()) == 2
+    for bad in ("2020-01-06,,2,0.5,1.5,1", "2020-01-06,-1,2,0.5,1.5,1", "2020-01-06,1,2,0.5,NaN,1", "2020-01-03,1,2,0.5,1.5,1", "06.01.2020,1,2,0.5,1.5,1", "2020-01-06,1,1,0.5,1.5,1"):
+        (folder / "c.csv").write_text(f"Date,Open,High,Low,Close,Volume\n{bad}\n")
+        with pytest.raises(Exception, match="bar contract broken"):
+            read()
+    (folder / "c.csv").write_text("Date,Close,High,Low,Open,Volume\n2020-01-06,1,2,0.5,1.5,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read()
+
+
+def test_halving_resumes_from_stored_stages(walk):
+    bars, _ = walk
+    run = lambda **more: successive_halving(bars, ["tsmom"], OPTS, {"tsmom": GRID}, smooth=[0], **more)
+    whole = run()
+    again = run(done=whole.filter("stage < 2"))
+    assert whole.exceptAll(again).count() == 0 and again.exceptAll(whole).count() == 0
+
+
+def test_earlier_overlaps(spark):
+    rng = np.random.default_rng(2)
+    obs = [(int(i), "A" if i % 3 else "B", dt.date(2020, 1, 1) + dt.timedelta(int(a)), dt.date(2020, 1, 1) + dt.timedelta(int(a + n)))
+           for i, a, n in zip(rng.permutation(300), rng.integers(-40000, 400, 300), rng.integers(0, 900, 300))]
+    claims = [(int(i), "A" if i % 2 else "B", dt.date(2020, 1, 1) + dt.timedelta(int(a)), dt.date(2020, 1, 1) + dt.timedelta(int(a + n)))
+              for i, a, n in zip(range(0, 300, 7), rng.integers(-40000, 400, 43), rng.integers(0, 20000, 43))]
+    o = spark.createDataFrame(obs, "event_id bigint, ticker string, start_date date, end_date date")
+    c = spark.createDataFrame(claims, "claim_id bigint, ticker string, start_date date, end_date date")
+    want = {i: sum(e < i and t == u and s <= b and a <= f for e, u, s, f in obs) for i, t, a, b in claims}
+    assert {r.claim_id: r.prior_overlap_count for r in x.earlier_overlap_counts(c, o).collect()} == want
+
+
+def test_targets_out_of_reach_do_not_end_the_job():
+    from tideline.operators.fills import CostCurve, solve_trades
+
+    opts = LedgerOptions(impact_bps=5000, impact_exponent=1.0, cost_bps=5, min_fee=1.0)
+    want = np.array([0.5, -3.0, 0.0, 0.9])
+    asset, nav = np.array([0.0, -100.0, 40.0, 90.0]), np.full(4, 100.0)
+    cost = CostCurve(np.array([1e6, 10.0, 1e6, 1e6]), np.zeros(4), opts)
+    trade = solve_trades(asset, nav, want, cost)
+    assert math.isclose((asset[0] + trade[0]) / (nav[0] - cost(np.abs(trade))[0]), 0.5, rel_tol=1e-12)
+    assert trade[2] == -40.0 and np.isfinite(trade[[0, 2, 3]]).all()

@@ -85,17 +85,32 @@ def range_issues(metadata: DataFrame) -> DataFrame:
         issue(empty, "empty_range", "error"))
 
 
+def _spans(metadata: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requested intervals with the coverage of the calendar that each asset names, and that calendar's days as one list.
+
+    Tables without ``calendar_id`` mean one calendar. A list is bounded by the calendar; assets meet it through an equi-join.
+    """
+    day = F.lit("").alias("calendar_id")
+    cal = calendar if "calendar_id" in calendar.columns else calendar.select("*", day)
+    meta = metadata if "calendar_id" in metadata.columns else metadata.select("*", day)
+    listed = cal.groupBy("calendar_id").agg(
+        F.min("coverage_start").alias("_cl"), F.max("coverage_end").alias("_cr"), F.collect_set("date").alias("_days"))
+    span = meta.withColumns({"_l": F.coalesce("start", "first_date"), "_r": F.coalesce("end", "last_date")}).join(listed, "calendar_id")
+    outside = (F.col("_l") < F.col("_cl")) | (F.col("_r") > F.col("_cr"))
+    return span.filter(F.coalesce(~outside, F.lit(False))), span.filter(outside)
+
+
 def expected_sessions(metadata: DataFrame, calendar: DataFrame | None) -> DataFrame:
-    """Expected (ticker, date) rows: the calendar inside each request, or every day of a continuous asset."""
-    left, right = F.coalesce("start", "first_date"), F.coalesce("end", "last_date")
-    span = metadata.select("ticker", "calendar", left.alias("_l"), right.alias("_r"))
+    """Expected (ticker, date) rows: the asset's calendar inside its request, or every day of a continuous asset.
+
+    An asset whose interval its calendar does not cover is reported by :func:`calendar_issues` and has no expected sessions.
+    """
     if calendar is None:
-        days = F.explode(F.sequence("_l", "_r"))
-        return span.filter("calendar = 'continuous'").select("ticker", days.alias("date"))
-    # a calendar is a declared list of days: one row that every asset cuts its own interval from
-    listed = calendar.agg(F.collect_set("date").alias("_days"))
+        span = metadata.select("ticker", "calendar", F.coalesce("start", "first_date").alias("_l"), F.coalesce("end", "last_date").alias("_r"))
+        return span.filter("calendar = 'continuous'").select("ticker", F.explode(F.sequence("_l", "_r")).alias("date"))
+    covered, _ = _spans(metadata, calendar)
     inside = F.filter("_days", lambda d: (d >= F.col("_l")) & (d <= F.col("_r")))
-    return span.join(F.broadcast(listed), F.lit(True)).select("ticker", F.explode(inside).alias("date"))
+    return covered.select("ticker", F.explode(inside).alias("date"))
 
 
 def missing_sessions(expected: DataFrame, bars: DataFrame) -> DataFrame:
@@ -114,16 +129,11 @@ def calendar_issues(metadata: DataFrame, calendar: DataFrame | None) -> DataFram
     """Coverage of the calendar, conflict with a continuous declaration, or no calendar to verify with."""
     if calendar is None:
         return issue(metadata.filter("calendar <> 'continuous'"), "calendar_unverified", "warning")
-    bounds = calendar.agg(F.min("coverage_start").alias("_cl"), F.max("coverage_end").alias("_cr"))
-    left, right = F.coalesce("start", "first_date"), F.coalesce("end", "last_date")
-    span = metadata.withColumns({"_l": left, "_r": right}).join(F.broadcast(bounds), F.lit(True))
-    outside = (F.col("_l") < F.col("_cl")) | (F.col("_r") > F.col("_cr"))
-    counted = expected_sessions(metadata, calendar).groupBy("ticker").agg(F.count(F.lit(1)).alias("_n"))
-    whole = span.join(counted, "ticker", "left")
+    covered, outside = _spans(metadata, calendar)
+    held = F.size(F.filter("_days", lambda d: (d >= F.col("_l")) & (d <= F.col("_r"))))
     days = F.greatest(F.datediff("_r", "_l") + 1, F.lit(0))
-    conflict = whole.filter(~outside & (F.col("calendar") == "continuous") & (F.coalesce("_n", F.lit(0)) != days))
-    return issue(span.filter(outside), "calendar_coverage", "error").unionByName(
-        issue(conflict, "calendar_declaration_conflict", "error"))
+    conflict = covered.filter((F.col("calendar") == "continuous") & (held != days))
+    return issue(outside, "calendar_coverage", "error").unionByName(issue(conflict, "calendar_declaration_conflict", "error"))
 
 
 # --- across assets ----------------------------------------------------------------------------------------------------
@@ -155,8 +165,11 @@ def session_mismatch(bars: DataFrame) -> DataFrame:
     return both.select("ticker", F.inline(kinds)).select("ticker", F.explode("_d").alias("date"), "kind")
 
 
-def insufficient_history(bars: DataFrame, lookback: int) -> DataFrame:
+def insufficient_history(bars: DataFrame, lookback: int, assets: DataFrame | None = None) -> DataFrame:
+    """Assets with too few rows; those of ``assets`` (column ticker) without any row are among them."""
     counts = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"))
+    if assets is not None:
+        counts = assets.select("ticker").distinct().join(counts, "ticker", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
     return counts.filter(F.col("rows") < lookback + 2)
 
 
@@ -206,6 +219,18 @@ def normalised_targets(targets: DataFrame) -> DataFrame:
     return targets.withColumn("weight", F.col("weight") / F.greatest(F.lit(1.0), F.sum("weight").over(w)))
 
 
+def membership_rollup(bars: DataFrame, problems: DataFrame, key: str = "book") -> DataFrame:
+    """One issue at most for each ``key``: membership can't be checked unless all assets have the same sessions, and some;
+    if they do, any of ``problems`` makes it invalid. Keys come from ``bars``; a missing session is told by counting."""
+    state = bars.groupBy(key).agg(F.count("date").alias("_rows"), F.countDistinct("date").alias("_days"), F.countDistinct("ticker").alias("_width"),
+                                  F.countDistinct("ticker", "date").alias("_cells"))
+    found = problems.groupBy(key).agg(F.count(F.lit(1)).alias("_bad"))
+    aligned = (F.col("_rows") > 0) & (F.col("_rows") == F.col("_cells")) & (F.col("_cells") == F.col("_days") * F.col("_width"))
+    code = F.when(~aligned, "membership_not_checked").when(F.col("_bad") > 0, "invalid_membership")
+    return state.join(found, key, "left").select(
+        code.alias("code"), F.lit("error").alias("severity"), F.col(key).alias("asset"), F.lit(None).cast("date").alias("date")).filter("code is not null")
+
+
 # --- report -----------------------------------------------------------------------------------------------------------
 
 def issue_report(issues: DataFrame) -> DataFrame:

@@ -305,9 +305,11 @@ FOLDS = 4
 
 def successive_halving(bars: DataFrame, strategies: Sequence[str], opts: LedgerOptions, grids: Mapping | None = None,
                        smooth: Sequence[int] | None = None, stages: int = 3, factor: int = 3, minimum: int = 2,
-                       chunks: int = 1, risk_free_rate: float = 0.0) -> DataFrame:
+                       chunks: int = 1, risk_free_rate: float = 0.0, done: DataFrame | None = None) -> DataFrame:
     """Score all candidates on a short validation prefix, keep the best share, repeat on longer prefixes.
 
+    ``done`` has the rows of earlier stages that an interrupted run has left; such a stage is taken as it is, the others follow.
+
     Returns one row per (stage, ticker, candidate) with its metrics, score and
     whether it advanced; the last stage holds the full-history results. Every
     stage is written before the next one reads its survivors, so a lost
@@ -318,7 +320,13 @@ def successive_halving(bars: DataFrame, strategies: Sequence[str], opts: LedgerO
     totals = dev.filter("period = 'val'").groupBy("ticker").agg(F.count(F.lit(1)).alias("total"))
     resources = cut_lineage(halving_resources(totals, "total", stages, factor, minimum))
     alive, history = None, None
+    stored = set() if done is None else {r["stage"] for r in done.select("stage").distinct().collect()}  # a handful of stages
     for stage in range(stages):
+        if stage in stored:
+            marked = done.filter(F.col("stage") == stage)
+            alive = marked.filter("advanced")
+            history = marked if history is None else history.unionByName(marked)
+            continue
         rows = stage_bars(dev, resources, stage)
         scored = None
         for name in strategies:

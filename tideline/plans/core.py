@@ -52,6 +52,29 @@ def _(t):
     return rounded(v.weekly_bars(t).drop("ann"))
 
 
+SQL_LINES = """ln as materialized (select o_orderpriority as ticker, (case when o_orderkey%11=0 then strftime(o_orderdate,'%d.%m.%Y') else strftime(o_orderdate,'%Y-%m-%d') end)
+ ||','||cast(o_custkey as varchar)||','||cast(o_custkey+o_orderkey%3-(case when o_orderkey%13=0 then 2 else 0 end) as varchar)||','||(case when o_orderkey%17=0 then '-1' else cast(o_custkey as varchar) end)
+ ||','||(case when o_orderkey%19=0 then 'n/a' else cast(o_custkey as varchar) end)||','||(case when o_orderkey%23=0 then '-5' else cast(o_custkey%100 as varchar) end) as line from orders)"""
+
+
+@query("src_csv_contract", ctes(SQL_LINES, """cl as (select ticker, split_part(line,',',1) as date, try_cast(split_part(line,',',2) as double) as open, try_cast(split_part(line,',',3) as double) as high, try_cast(split_part(line,',',4) as double) as low,
+ try_cast(split_part(line,',',5) as double) as close, try_cast(split_part(line,',',6) as double) as volume from ln)""",
+    "nb as (select *, row_number() over (partition by ticker, date order by open nulls first, high nulls first, low nulls first, close nulls first) as k from cl)",
+    """fl as (select ticker, list_filter([case when not regexp_matches(date,'^[0-9]{4}-[0-9]{2}-[0-9]{2}$') then 'date' end, case when not coalesce(open>0 and high>0 and low>0 and close>0,false) then 'price' end,
+ case when not coalesce(high>=greatest(open,low,close) and low<=least(open,high,close),true) then 'range' end, case when volume<0 then 'volume' end, case when k>1 then 'duplicate' end], lambda x: x is not null) as p from nb)""")
+    + "select ticker, problem, count(*) as rows from (select ticker, unnest(p) as problem from fl) group by 1,2")
+def _(t):
+    """Bar lines as text with foreign dates, inverted ranges, negative and unreadable numbers and repeated days."""
+    key = F.col("o_orderkey")
+    day = F.when(key % 11 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    whole = lambda c: c.cast("bigint").cast("string")
+    cust = F.col("o_custkey")
+    line = F.concat_ws(",", day, whole(cust), whole(cust + key % 3 - F.when(key % 13 == 0, 2).otherwise(0)), F.when(key % 17 == 0, "-1").otherwise(whole(cust)),
+                       F.when(key % 19 == 0, "n/a").otherwise(whole(cust)), F.when(key % 23 == 0, "-5").otherwise(whole(cust % 100)))
+    rows = src.bars_from_csv_lines(t.orders.select(F.col("o_orderpriority").alias("ticker"), line.alias("line")))
+    return rows.select("ticker", F.explode("problems").alias("problem")).groupBy("ticker", "problem").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("src_clean_provider_rows", ctes(v.SQL_QUOTES) + f"""select ticker,date,{r('open')} as open,{r('high')} as high,{r('low')} as low,{r('close')} as close,{r('volume')} as volume
  from (select *, row_number() over (partition by ticker,date order by quote_id desc, close nulls last) as k from quotes
   qualify k=1) where open is not null and high is not null and low is not null and close is not null""")

@@ -142,10 +142,33 @@ def _(t):
     return q.session_mismatch(v.order_bars(t))
 
 
-@query("dq_insufficient_history", "select c_name as ticker, count(*) as rows from customer join orders on c_custkey=o_custkey group by 1 having count(*)<12")
+@query("dq_insufficient_history", "select c_name as ticker, count(o_orderkey) as rows from customer left join orders on c_custkey=o_custkey group by 1 having count(o_orderkey)<12")
 def _(t):
-    hist = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("ticker"))
-    return q.insufficient_history(hist, 10)
+    """Every customer is an asset; those without orders have no history at all."""
+    assets = t.customer.select(F.col("c_name").alias("ticker"), "c_custkey")
+    hist = assets.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).select("ticker")
+    return q.insufficient_history(hist, 10, assets)
+
+
+SQL_TWO = """two as materialized (select 'short' as calendar_id, date '1996-01-01' as cs, date '1999-12-31' as ce, date from cal where date between date '1996-01-01' and date '1999-12-31'
+ union all select 'full', date '1995-01-01', date '2001-12-31', date from cal where dayofweek(date)<>0),
+m2 as (select ticker, case when ticker<'3' then 'short' else 'full' end as calendar_id, case when ticker<'2' then date '1996-06-03' end as s, case when ticker<'2' then date '1998-03-31' end as e, min(date) as f, max(date) as g from bars group by all),
+m3 as (select m2.*, coalesce(s,f) as l, coalesce(e,g) as r_, c.cs, c.ce from m2 join (select distinct calendar_id, cs, ce from two) c using (calendar_id))"""
+
+
+@query("dq_missing_sessions_two_calendars", ctes(v.SQL_BARS, SQL_CAL, SQL_TWO) + """select 'missing' as kind, m3.ticker, two.date from m3 join two on two.calendar_id=m3.calendar_id and l>=m3.cs and r_<=m3.ce and two.date between l and r_
+ where (m3.ticker,two.date) not in (select (ticker,date) from bars) union all select 'calendar_coverage', ticker, null from m3 where l<cs or r_>ce""")
+def _(t):
+    """Two calendars; an asset outside its own one's coverage is reported and not checked."""
+    b = v.order_bars(t)
+    first = F.col("ticker") < "2"
+    req = b.select("ticker").distinct().select("ticker", F.when(first, F.lit("1996-06-03").cast("date")).alias("start"), F.when(first, F.lit("1998-03-31").cast("date")).alias("end"))
+    meta = q.asset_metadata(b, req).withColumns({"calendar": F.lit("exchange"), "calendar_id": F.when(F.col("ticker") < "3", "short").otherwise("full")})
+    short = _calendar(t, "1996-01-01", "1999-12-31").filter("date between date'1996-01-01' and date'1999-12-31'").withColumn("calendar_id", F.lit("short"))
+    full = _calendar(t).filter(F.dayofweek("date") != 1).withColumn("calendar_id", F.lit("full"))
+    both = short.unionByName(full)
+    gaps = q.missing_sessions(q.expected_sessions(meta, both), b).select(F.lit("missing").alias("kind"), "ticker", "date")
+    return gaps.unionByName(q.calendar_issues(meta, both).filter("code = 'calendar_coverage'").select(F.col("code").alias("kind"), F.col("asset").alias("ticker"), "date"))
 
 
 @query("dq_identical_files", """with h as (select c_custkey, string_agg(o_orderstatus, ',' order by o_orderstatus) as s, count(*) as n
@@ -252,6 +275,25 @@ def _(t):
     return m.with_membership_change(e)
 
 
+SQL_BOOKS = """allw as (select l_returnflag||l_linestatus as ticker, cast(date_trunc('week',l_shipdate) as date) as date from lineitem group by 1,2),
+okw as (select date from allw group by 1 having count(*)=(select count(distinct ticker) from allw)),
+bk as (select 'all' as book, ticker, date from bars union all select 'clean', ticker, date from allw where date in (select date from okw) union all select 'broken', ticker, date from allw where date in (select date from okw)),
+pr as (select 'all' as book from events_ where effective_on<=date '1995-01-01' or effective_on>date '2000-12-31' union all select 'broken' from events_ where action='swap')"""
+
+
+@query("dq_membership_rollup", ctes(v.SQL_BARS, SQL_EVENTS, SQL_BOOKS) + """, st as (select book, count(*) as n, count(distinct date) as d, count(distinct ticker) as w, count(distinct ticker||date) as c from bk group by 1)
+ select case when n<>c or c<>d*w then 'membership_not_checked' else 'invalid_membership' end as code, 'error' as severity, book as asset, cast(null as date) as date from st left join (select book, count(*) as bad from pr group by 1) using (book) where n<>c or c<>d*w or bad>0""")
+def _(t):
+    """Bars of all orders, whose sessions differ, and aligned weeks without and with broken events."""
+    rows = lambda df, name: df.select(F.lit(name).alias("book"), "ticker", "date")
+    weeks = v.aligned_weekly_bars(t)
+    bars = rows(v.order_bars(t), "all").unionByName(rows(weeks, "clean")).unionByName(rows(weeks, "broken"))
+    bad = m.event_problems(_events(t), _opening(t))
+    problems = bad.filter(F.array_contains("problems", "coverage")).select(F.lit("all").alias("book")).unionByName(
+        bad.filter(F.array_contains("problems", "action")).select(F.lit("broken").alias("book")))
+    return q.membership_rollup(bars, problems)
+
+
 # --- roll-up ----------------------------------------------------------------------------------------------------------
 
 SQL_ISSUES = """issues as materialized (select 'unexpected_sessions' as code,'error' as severity,ticker as asset,date from bars where (ticker,date) not in (select (ticker,date) from ex) union all

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,19 +57,42 @@ def read_ohlcv_csv(spark: SparkSession, path: str, ticker: str) -> DataFrame:
     unknown = sorted(set(names) - set(REQUIRED) - {"volume"})
     if missing or unknown:
         raise BarContractError(f"invalid CSV columns; missing={missing}, unknown={unknown}")
-    types = {n: T.StringType() if n == "date" else T.DoubleType() for n in names}
-    schema = T.StructType([T.StructField(n, types[n]) for n in names])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True).option("mode", "FAILFAST").option("enforceSchema", True)
-        .csv(path)
-    )
-    iso = F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$")
-    day = F.when(iso, F.to_date("date", "yyyy-MM-dd")).otherwise(
-        F.raise_error(F.concat(F.lit("not an ISO session date: "), F.coalesce("date", F.lit("null")))).cast("date")
-    )
+    schema = T.StructType([T.StructField(c, T.StringType() if n == "date" else T.DoubleType()) for c, n in zip(header, names, strict=True)])
+    # without enforceSchema every file's own header is compared with the first one's
+    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path).toDF(*names)
     volume = F.col("volume") if "volume" in names else F.lit(None).cast("double")
-    return raw.select(F.lit(ticker).alias("ticker"), day.alias("date"), *OHLC, volume.alias("volume"))
+    return strict_bars(raw.select(F.lit(ticker).alias("ticker"), "date", *OHLC, volume.alias("volume")))
+
+
+def bar_row_problems(rows: DataFrame) -> DataFrame:
+    """``problems`` of bars whose ``date`` is still text: dates that are no ISO session, repeated ones, prices and volumes out of order."""
+    day = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd"))
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    price = F.lit(True)
+    for c in OHLC:
+        price = price & finite(F.col(c)) & (F.col(c) > 0)
+    inside = (F.col("high") >= F.greatest("open", "low", "close")) & (F.col("low") <= F.least("open", "high", "close"))
+    volume = F.col("volume").isNull() | (finite(F.col("volume")) & (F.col("volume") >= 0))
+    again = F.row_number().over(Window.partitionBy("ticker", "date").orderBy(*OHLC)) > 1
+    rules = {"date": day.isNotNull(), "price": F.coalesce(price, F.lit(False)), "range": F.coalesce(inside, F.lit(True)), "volume": volume, "duplicate": ~again}
+    flags = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
+    return rows.withColumns({"problems": flags, "day": day})
+
+
+def strict_bars(rows: DataFrame) -> DataFrame:
+    """Bars with parsed dates; any row that breaks the contract fails the job and is named."""
+    told = F.concat(F.lit("bar contract broken on "), F.coalesce("date", F.lit("null")), F.lit(": "), F.concat_ws(",", "problems"))
+    day = F.when(F.size("problems") == 0, F.col("day")).otherwise(F.raise_error(told).cast("date"))
+    return bar_row_problems(rows).withColumn("date", day).drop("problems", "day")
+
+
+def bars_from_csv_lines(lines: DataFrame, ticker: str = "ticker", line: str = "line") -> DataFrame:
+    """Data lines ``date,open,high,low,close,volume`` as text rows with their ``problems``; a cell that is no number is null."""
+    cells = F.split(line, ",", -1)
+    number = lambda i: F.get(cells, F.lit(i)).try_cast("double")
+    rows = lines.select(F.col(ticker).alias("ticker"), F.trim(F.get(cells, F.lit(0))).alias("date"),
+                        *[number(i + 1).alias(c) for i, c in enumerate((*OHLC, "volume"))])
+    return bar_row_problems(rows)
 
 
 def bars_from_json(df: DataFrame, ticker: str = "ticker", payload: str = "payload") -> DataFrame:
