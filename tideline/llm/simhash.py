@@ -185,6 +185,78 @@ def similarity(a: bytes, b: bytes, sketch: int) -> float:
     return float(np.isin(both, union, assume_unique=True).sum()) / max(1, len(union))
 
 
+#: Rows outside and inside a bucket's largest component that one cell compares.
+CELL_ROWS = (1024, 4096)
+
+
+def _links_between_parts(rows: DataFrame, kind: str, least: float, distance: int, sketch: int) -> DataFrame:
+    """``a, b``: links of ``least`` or more between different components that share a bucket.
+
+    ``rows`` has key, id, fp, part and low, and of the bucket main (its largest component), n and apart (rows in all and outside of
+    main). The rows outside are compared with all, in cells of bounded size; large buckets are split into several. A task reads
+    its cells one after another and gives no more links than it takes to join what a cell joins, so pairs are never rows.
+    """
+    blocks = [F.ceil(F.col(c) / size).cast("int") for c, size in zip(("apart", "n"), CELL_ROWS, strict=True)]
+    own = [F.pmod(F.xxhash64("id"), blocks[0]).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), blocks[1]).cast("int")]
+    cell = lambda i, j, outside: F.struct(i.alias("i"), j.alias("j"), F.lit(outside).alias("outside"))
+    every = F.transform(F.sequence(F.lit(0), blocks[0] - 1), lambda i: cell(i, own[1], False))
+    outside = F.when(F.col("part") != F.col("main"), F.transform(F.sequence(F.lit(0), blocks[1] - 1), lambda j: cell(own[0], j, True)))
+    cells = rows.select("key", "id", "fp", "part", "low", F.explode(F.concat(every, F.coalesce(outside, F.slice(every, 1, 0)))).alias("c"))
+    cells = cells.select("key", "c.i", "c.j", "c.outside", "id", "fp", "part", "low").repartition("key", "i", "j")
+    cells = cells.sortWithinPartitions("key", "i", "j")
+
+    def compare(found: list[tuple]) -> list[tuple]:
+        here, there = [r for r in found if r[0]], [r for r in found if not r[0]]
+        if not here:
+            return []
+        joined: dict = {}
+
+        def root(part):
+            while joined.get(part, part) != part:
+                part = joined[part]
+            return part
+
+        lows = [np.frombuffer(r[4], "<u4") for r in here]
+        sizes = np.array([len(x) for x in lows])
+        values = np.concatenate(lows)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], np.repeat(np.arange(len(here)), sizes)[order]
+        fps, out = np.array([r[2] for r in here], np.int64).view(np.uint64), []
+        for _, id_, fp, part, low in there:
+            mine = np.frombuffer(low, "<u4")
+            start, stop = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+            lengths = stop - start
+            at = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            common = np.bincount(owners[at], minlength=len(here))
+            near = np.bitwise_count(fps ^ np.array(fp, np.int64).view(np.uint64)) <= distance
+            for k in np.flatnonzero(near & (common >= least * np.minimum(sketch, sizes + len(mine) - common))).tolist():
+                x, y = root(part), root(here[k][3])
+                if x != y and similarity(low, here[k][4], sketch) >= least:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((id_, here[k][1]))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, held, out = None, [], []
+        for batch in batches:
+            key, i, j, outside, id_, fp, part, low = (batch.column(c).to_pylist() for c in range(8))
+            for now, row in zip(zip(key, i, j, strict=True), zip(outside, id_, fp, part, low, strict=True), strict=True):
+                if now != last:
+                    out += compare(held)
+                    last, held = now, []
+                held.append(row)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], batch.schema.field(4).type), "b": pa.array([y for _, y in out], batch.schema.field(4).type)})
+            out = []
+            kept = batch.schema.field(4).type
+        if held:
+            out = compare(held)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], kept), "b": pa.array([y for _, y in out], kept)})
+
+    return cells.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 24, segments: int = 4, bands: int = 20,
                     rows: int = 5, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, group`` for every id: texts whose sets of shingles are ``least`` similar or more are linked, groups are components.
@@ -195,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distanc
     shingles; beyond that with a standard error of 0.025).
 
     Equal shingle sets are one node. In a bucket every node is first compared with one pivot; afterwards only nodes of different
-    components meet, those outside the bucket's largest one with the others, so a large group of near copies is never paired.
+    components are compared, those outside the bucket's largest one with the others, inside tasks that give the links alone.
 
     Null and empty texts equal each other. Rows that share an id count as one document; rows without id are left out.
     """
@@ -225,33 +297,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distanc
     sets = heads.select(F.col("id").alias("sid"), "low")
     filed = stage(heads.select("id", "fp", F.explode("keys").alias("key")), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        @F.pandas_udf("double")
-        def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([similarity(x, y, sketch) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-        pairs = stage(pairs.distinct(), "candidates")
-        left = sets.join(pairs, F.col("sid") == F.col("a")).select("a", "b", F.col("low").alias("la"))
-        both = left.join(sets, F.col("sid") == F.col("b")).select("a", "b", alike("la", "low").alias("s"))
-        return stage(both.where(F.col("s") >= least).select("a", "b"), "alike")
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y, sketch) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     pivots = filed.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pivots = stage(pivots.select(F.col("key").alias("pkey"), F.col("p.id").alias("pid"), F.col("p.fp").alias("pfp")), "pivots")
     tied = filed.join(pivots, F.col("key") == F.col("pkey"))
     to_pivot = tied.where(F.col("id") != F.col("pid")).where(ring.near(F.col("fp").bitwiseXOR(F.col("pfp"))))
-    links = verified(to_pivot.select(F.col("pid").alias("a"), F.col("id").alias("b")))
+    pairs = stage(to_pivot.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
+    left = sets.join(pairs, F.col("sid") == F.col("a")).select("a", "b", F.col("low").alias("la"))
+    both = left.join(sets, F.col("sid") == F.col("b")).select("a", "b", alike("la", "low").alias("s"))
+    links = stage(both.where(F.col("s") >= least).select("a", "b"), "alike")
     parts = stage(connected_components(links).withColumnRenamed("node", "member"), "parts")
 
     placed = filed.join(pivots.select("pkey"), F.col("key") == F.col("pkey"), "left_semi")
     placed = stage(placed.join(parts, F.col("id") == F.col("member"), "left").select("key", "id", "fp", F.coalesce("root", "id").alias("part")), "placed")
     mixed = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = stage(mixed.select(F.col("key").alias("mkey"), "main"), "mixed")
-    open_rows = stage(placed.join(mixed, F.col("key") == F.col("mkey")).drop("mkey"), "open_buckets")
-    rest = open_rows.where("part != main").select(F.col("key").alias("rkey"), F.col("id").alias("rid"), F.col("fp").alias("rfp"), F.col("part").alias("rpart"))
-    cross = rest.join(open_rows, (F.col("key") == F.col("rkey")) & (F.col("part") != F.col("rpart"))
-                      & ((F.col("part") == F.col("main")) | (F.col("rid") < F.col("id"))) & ring.near(F.col("fp").bitwiseXOR(F.col("rfp"))))
-    more = verified(cross.select(F.least("rid", "id").alias("a"), F.greatest("rid", "id").alias("b")))
+        F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = stage(mixed.select(F.col("key").alias("mkey"), "main", "n", (F.col("n") - F.col("most")).alias("apart")), "mixed")
+    open_rows = placed.join(mixed, F.col("key") == F.col("mkey")).join(sets, F.col("id") == F.col("sid"))
+    more = stage(_links_between_parts(open_rows, kind, least, distance, sketch), "more_links")
     groups = stage(connected_components(links.unionByName(more)).withColumnRenamed("node", "member"), "near_groups")
     named = copies.join(groups, F.col("node") == F.col("member"), "left").select("id", F.coalesce("root", "node").alias("group"))
     return stage(named.groupBy("id").agg(F.min("group").alias("group")), "groups").withColumnRenamed("id", id_col)
