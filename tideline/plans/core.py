@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,7 +248,28 @@ def _(t):
     return rounded(g.neighbour_rows(d, {"fast": "int", "threshold": "double"}), 9).withColumn("fast", big("fast"))
 
 
-@query("prj_quick_sample")
+def _sample_sql(name: str, k: int = 5, valid: str = "true") -> str:
+    """The same design over the whole grid in SQL; which stratum a slot asks of a dimension is a constant of the name."""
+    grid = STRATEGIES[name].full_grid()
+    h = lambda text: f"cast('0x'||substr(md5({text}),1,8) as bigint)"
+    tables, strata, pid = [], [], "0"
+    for i, (dim, values) in enumerate(grid.items()):
+        rows = ",".join(f"({j},{'true' if x is True else 'false' if x is False else repr(x)},'{json.dumps(x)}')" for j, x in enumerate(values))
+        tables.append(f"(values {rows}) as d{i}(i{i},{dim},j{i})")
+        pid = f"({pid})*{len(values)}+i{i}"
+        asked = [j for _, j in sorted((int(hashlib.md5(f"{name}:{i}:{j}".encode()).hexdigest()[:8], 16), j) for j in range(k))]
+        strata.append(f"abs({asked}[slot+1]-i{i}*{k}//{len(values)})")
+    text = "||','||".join(f"'{json.dumps(dim)}:'||j{list(grid).index(dim)}" for dim in sorted(grid))
+    return f"""select ticker, '{name}' as strategy, params from (select params from (select *, row_number() over (partition by slot order by miss, {h(f"'{name}:row:'||pid")}, pid) as turn from
+ (select pid, params, slot, {'+'.join(strata)} as miss from (select {pid} as pid, '{{'||{text}||'}}' as params, * from {','.join(tables)} where {valid}), (select unnest(range({k})) as slot)
+ qualify row_number() over (partition by pid order by miss, {h(f"'{name}:slot:'||pid||':'||slot")}, slot)=1)) where turn<={k} order by turn, miss, slot limit {k}) x,
+ (select distinct o_orderpriority as ticker from orders) y"""
+
+
+_RSI_VALID = "case when mode='momentum' then buy_threshold>=sell_threshold else buy_threshold<=sell_threshold end"
+
+
+@query("prj_quick_sample", " union all ".join((_sample_sql("tsmom"), _sample_sql("ma_cross", valid="fast<slow"), _sample_sql("rsi", valid=_RSI_VALID))))
 def _(t):
     """Five distinct, well-spread candidates per strategy, evaluated per ticker by the search queries."""
     tickers, out = t.orders.select(F.col("o_orderpriority").alias("ticker")).distinct(), None
