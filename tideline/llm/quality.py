@@ -140,7 +140,7 @@ class Field:
         forward, backward = self.messages(s, counts)
         return 1 / (1 + np.exp(-np.clip(forward + backward, -40, 40)))
 
-    def fit(self, numbers, counts, labels, doc_weights, steps: int = 120, rate: float = 0.15, ridge: float = 2.0):
+    def fit(self, numbers, counts, labels, doc_weights, steps: int = 300, rate: float = 0.15, ridge: float = 2.0):
         """Maximum likelihood with a ridge penalty by full-batch Adam; every line carries its document's label."""
         y, weight = np.repeat(labels, counts).astype(float), np.repeat(doc_weights, counts)
         total = weight.sum()
