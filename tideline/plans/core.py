@@ -194,13 +194,24 @@ def _(t):
     return d.withColumn("annualization", annualization(F.col("ticker")))
 
 
-_GRID_COUNTS = {"tsmom": 11760, "ma_cross": 3840, "macd": 12180, "rsi": 47960, "roc": 4480, "bollinger": 3360, "donchian": 2730,
-                "dual_momentum": 1620, "triple_ma": 3420, "vol_scale_mom": 14580, "acceleration": 4410, "zscore": 7400,
-                "heikin_ashi": 180, "supertrend": 560, "multi_breakout": 500, "ensemble": 560, "stacked": 38400, "regime_aware": 1728}
+def _literal(x) -> str:
+    if isinstance(x, bool):
+        return str(x).lower()
+    return repr(x) if isinstance(x, int | float) else "'" + (x if isinstance(x, str) else json.dumps(x)) + "'"
 
 
-@query("prj_grid_counts", "select strategy, ticker, n as candidates from (values "
-       + ",".join(f"('{a}',{b})" for a, b in _GRID_COUNTS.items()) + ") s(strategy,n), (select distinct o_orderpriority as ticker from orders)")
+#: which combinations of a grid are candidates, as SQL
+_VALID = {"ma_cross": "fast<slow", "macd": "fast<slow", "rsi": "case when mode='momentum' then buy_threshold>=sell_threshold else buy_threshold<=sell_threshold end",
+          "triple_ma": "fast<medium and medium<slow", "acceleration": "short_lb<long_lb", "zscore": "entry_z>=exit_z"}
+
+
+def _count_sql(name: str) -> str:
+    tables = [f"(values {','.join(f'({_literal(x)})' for x in values)}) as d{i}({dim})" for i, (dim, values) in enumerate(STRATEGIES[name].full_grid().items())]
+    return f"select '{name}' as strategy, count(*) as candidates from {','.join(tables)} where {_VALID.get(name, 'true')}"
+
+
+@query("prj_grid_counts", "select strategy, ticker, candidates from (" + " union all ".join(_count_sql(n) for n in STRATEGIES if not n.startswith("ml_"))
+       + ") s, (select distinct o_orderpriority as ticker from orders)")
 def _(t):
     bars, out = t.orders.select(F.col("o_orderpriority").alias("ticker")), None
     for name in STRATEGIES:
@@ -266,10 +277,7 @@ def _sample_sql(name: str, k: int = 5, valid: str = "true") -> str:
  (select distinct o_orderpriority as ticker from orders) y"""
 
 
-_RSI_VALID = "case when mode='momentum' then buy_threshold>=sell_threshold else buy_threshold<=sell_threshold end"
-
-
-@query("prj_quick_sample", " union all ".join((_sample_sql("tsmom"), _sample_sql("ma_cross", valid="fast<slow"), _sample_sql("rsi", valid=_RSI_VALID))))
+@query("prj_quick_sample", " union all ".join((_sample_sql("tsmom"), _sample_sql("ma_cross", valid="fast<slow"), _sample_sql("rsi", valid=_VALID["rsi"]))))
 def _(t):
     """Five distinct, well-spread candidates per strategy, evaluated per ticker by the search queries."""
     tickers, out = t.orders.select(F.col("o_orderpriority").alias("ticker")).distinct(), None
