@@ -24,6 +24,7 @@ from .metrics import ACTIVITY_METRICS, RETURN_METRICS, period_metrics, with_peri
 from .selection import survivors
 from .splits import halving_resources, with_folds, with_periods
 from .strategies import Strategy, get_strategy
+from .walkforward import CLASSIFIERS, classifier_positions
 
 ORDER = ("_blk", "_seq")
 
@@ -152,9 +153,15 @@ def positions(bars: DataFrame, name: str, keep: Sequence[str] = (), **params) ->
     ``keep`` carries further columns of ``bars`` along, which saves joining the
     targets back to a table that would have to be scanned twice.
     """
-    strategy = get_strategy(name)
     smooth = int(params.pop("signal_smooth", 0))
     size = params.pop("position_size", None)
+    if name in CLASSIFIERS:
+        df = classifier_positions(bars, name, **params)
+        if smooth > 0:
+            df = k.with_ewm(df, [("target", k.span_alpha(smooth), "_sm")], ("ticker",)).withColumn("target", F.col("_sm"))
+        df = df.withColumn("target", F.col("target") * float(1 if size is None else size)).select("ticker", "date", "target")
+        return df.join(bars.select("ticker", "date", *keep), ["ticker", "date"]).select("ticker", "date", *keep, "target") if keep else df
+    strategy = get_strategy(name)
     unknown = set(params) - set(strategy.grid)
     if unknown:
         raise ValueError(f"unknown parameters for {name}: {sorted(unknown)}")
@@ -235,6 +242,26 @@ def evaluate_grid(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, sm
     )
 
 
+def evaluate_classifiers(bars: DataFrame, name: str, opts: LedgerOptions, rows: Sequence[Mapping], folds: int = 4,
+                         risk_free_rate: float = 0.0) -> DataFrame:
+    """Results of a list of parameter sets of one classifier, as :func:`evaluate_grid` gives them for the rules.
+
+    A candidate is one distributed plan over all tickers; the list, not the data, decides how many there are. Training sees
+    the whole history up to each fold's cut, as the positions of one parameter set do.
+    """
+    market = development_bars(bars, opts, folds)
+    out = None
+    for pid, params in enumerate(rows):
+        target = positions(bars, name, **params)
+        led = ledger(market.join(target, ["ticker", "date"]), opts)
+        long = period_metrics(led, ("ticker", "period"), risk_free_rate, ("date",), folds)
+        wide = long.groupBy("ticker").agg(*[
+            F.max(F.when(F.col("period") == p, F.col(m))).alias(f"{p}_{m}") for p in ("train", "val") for m in (*RETURN_METRICS, *ACTIVITY_METRICS)])
+        part = wide.withColumns({"strategy": F.lit(name), "params": F.lit(g.canonical(params)), "pid": F.lit(pid).cast("bigint")})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def run_search(bars: DataFrame, strategies: Sequence[str], opts: LedgerOptions, grids: Mapping | None = None,
                folds: int = 4, chunks: int = 1, risk_free_rate: float = 0.0, done: DataFrame | None = None,
                smooth: Sequence[int] | None = None) -> DataFrame:

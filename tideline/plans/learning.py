@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import walkforward as w
 from ..operators.features import feature_names
+from ..operators.search import positions
 from ..session import cut_lineage
 from . import views as v
 from .registry import ctes, query, r, rounded
@@ -71,6 +72,17 @@ def _(t):
     return w.to_positions(d, w.naive_bayes(d, OPTS, 1e-3))
 
 
+_ONE = (*LAB, MOM, _cls(0), _cls(1), "ff as (select ticker, min(fold) as fold from fits where fitted group by 1)",
+        f"sc as (select f.ticker, f.date, ln(k0.n_/(k0.n_+k1.n_))-0.5*({_ll(0)}) as s0, ln(k1.n_/(k0.n_+k1.n_))-0.5*({_ll(1)}) as s1 from fld f join ff on ff.ticker=f.ticker and f.fold>=ff.fold join mom on mom.ticker=ff.ticker and mom.fold=ff.fold join k0 on k0.ticker=ff.ticker and k0.fold=ff.fold join k1 on k1.ticker=ff.ticker and k1.fold=ff.fold)",
+        "pos as materialized (select l.ticker, l.date, case when s1>s0 then 1e0 else 0e0 end as target from lab l left join sc using (ticker,date))")
+
+
+@query("str_ml_nb", ctes(*_ONE, recursive=True) + "select ticker, date, target*0.5 as target from pos")
+def _(t):
+    """A classifier by name like any rule: fitted once, long only, half size."""
+    return positions(v.weekly_bars(t), "ml_nb", lookback=42, forward=5, var_smoothing=1e-3, retrain=False, long_short=False, position_size=0.5)
+
+
 _DIST = "+".join(f"pow((f.{n}-g.{n})/s_{n},2)" for n in NAMES)
 
 
