@@ -245,6 +245,17 @@ def test_near_duplicates(spark, odd, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """Copies in which a passage inside a line is repeated have nearly the same sets of shingles, but other counts of them."""
+    rng = np.random.default_rng(8)
+    docs, vocabulary = [], [f"w{i}" for i in range(4000)]
+    for i in range(40):
+        text = [str(x) for x in rng.choice(vocabulary, 200)]
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text + text[-12:] * 20))]
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 # --- codes ----------------------------------------------------------------------------------------------------------------
 
 def nearest(codes, queries, k):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -88,13 +89,6 @@ class Ring:
             ok = ok & (F.bit_count(part) <= budget)
         return ok
 
-    def near(self, diff: Column) -> Column:
-        """The filter and then the full check, as one condition."""
-        some = F.lit(False)
-        for start in range(self.segments):
-            some = some | self.chain(diff, start)
-        return some & (F.bit_count(diff) <= self.distance)
-
     def masks(self) -> list[int]:
         """Differences of a key that the first two budgets allow."""
         w, out = self.width, []
@@ -157,11 +151,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 3, segments:
 # --- near-duplicates by the similarity of their shingle sets -----------------------------------------------------------
 
 def _profile(text, words, bands, rows, sketch, multipliers):
-    hashes = shingle_hashes(text, words)
-    fp = simhash(hashes)
-    kinds = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+    whole = np.unique(shingle_hashes(text, words))
+    same = md5(whole.tobytes()).digest()
+    kinds = np.unique((whole >> np.uint64(32)).astype(np.uint32))
     if not len(kinds):
-        return fp, [], b"", 0
+        return same, [], b""
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(kinds), 4096):
         part = kinds[at:at + 4096].astype(np.uint64)[:, None] * multipliers[None, :]
@@ -172,7 +166,7 @@ def _profile(text, words, bands, rows, sketch, multipliers):
     mix = kinds * np.uint32(0x9E3779B1)
     mix ^= mix >> np.uint32(15)
     low = np.sort(mix * np.uint32(0x85EBCA77))[:sketch]
-    return fp, keys.tolist(), low.astype("<u4").tobytes(), len(kinds)
+    return same, keys.tolist(), low.astype("<u4").tobytes()
 
 
 def similarity(a: bytes, b: bytes, sketch: int) -> float:
@@ -189,10 +183,10 @@ def similarity(a: bytes, b: bytes, sketch: int) -> float:
 CELL_ROWS = (1024, 4096)
 
 
-def _links_between_parts(rows: DataFrame, kind: str, least: float, distance: int, sketch: int) -> DataFrame:
+def _links_between_parts(rows: DataFrame, kind: str, least: float, sketch: int) -> DataFrame:
     """``a, b``: links of ``least`` or more between different components that share a bucket.
 
-    ``rows`` has key, id, fp, part and low, and of the bucket main (its largest component), n and apart (rows in all and outside of
+    ``rows`` has key, id, part and low, and of the bucket main (its largest component), n and apart (rows in all and outside of
     main). The rows outside are compared with all, in cells of bounded size; large buckets are split into several. A task reads
     its cells one after another and gives no more links than it takes to join what a cell joins, so pairs are never rows.
     """
@@ -201,8 +195,8 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, distance: int
     cell = lambda i, j, outside: F.struct(i.alias("i"), j.alias("j"), F.lit(outside).alias("outside"))
     every = F.transform(F.sequence(F.lit(0), blocks[0] - 1), lambda i: cell(i, own[1], False))
     outside = F.when(F.col("part") != F.col("main"), F.transform(F.sequence(F.lit(0), blocks[1] - 1), lambda j: cell(own[0], j, True)))
-    cells = rows.select("key", "id", "fp", "part", "low", F.explode(F.concat(every, F.coalesce(outside, F.slice(every, 1, 0)))).alias("c"))
-    cells = cells.select("key", "c.i", "c.j", "c.outside", "id", "fp", "part", "low").repartition("key", "i", "j")
+    cells = rows.select("key", "id", "part", "low", F.explode(F.concat(every, F.coalesce(outside, F.slice(every, 1, 0)))).alias("c"))
+    cells = cells.select("key", "c.i", "c.j", "c.outside", "id", "part", "low").repartition("key", "i", "j")
     cells = cells.sortWithinPartitions("key", "i", "j")
 
     def compare(found: list[tuple]) -> list[tuple]:
@@ -216,22 +210,21 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, distance: int
                 part = joined[part]
             return part
 
-        lows = [np.frombuffer(r[4], "<u4") for r in here]
+        lows = [np.frombuffer(r[3], "<u4") for r in here]
         sizes = np.array([len(x) for x in lows])
         values = np.concatenate(lows)
         order = np.argsort(values, kind="stable")
         values, owners = values[order], np.repeat(np.arange(len(here)), sizes)[order]
-        fps, out = np.array([r[2] for r in here], np.int64).view(np.uint64), []
-        for _, id_, fp, part, low in there:
+        out = []
+        for _, id_, part, low in there:
             mine = np.frombuffer(low, "<u4")
             start, stop = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
             lengths = stop - start
             at = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             common = np.bincount(owners[at], minlength=len(here))
-            near = np.bitwise_count(fps ^ np.array(fp, np.int64).view(np.uint64)) <= distance
-            for k in np.flatnonzero(near & (common >= least * np.minimum(sketch, sizes + len(mine) - common))).tolist():
-                x, y = root(part), root(here[k][3])
-                if x != y and similarity(low, here[k][4], sketch) >= least:
+            for k in np.flatnonzero(common >= least * np.minimum(sketch, sizes + len(mine) - common)).tolist():
+                x, y = root(part), root(here[k][2])
+                if x != y and similarity(low, here[k][3], sketch) >= least:
                     joined[max(x, y)] = min(x, y)
                     out.append((id_, here[k][1]))
         return out
@@ -241,8 +234,8 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, distance: int
 
         last, held, out = None, [], []
         for batch in batches:
-            key, i, j, outside, id_, fp, part, low = (batch.column(c).to_pylist() for c in range(8))
-            for now, row in zip(zip(key, i, j, strict=True), zip(outside, id_, fp, part, low, strict=True), strict=True):
+            key, i, j, outside, id_, part, low = (batch.column(c).to_pylist() for c in range(7))
+            for now, row in zip(zip(key, i, j, strict=True), zip(outside, id_, part, low, strict=True), strict=True):
                 if now != last:
                     out += compare(held)
                     last, held = now, []
@@ -257,13 +250,12 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, distance: int
     return cells.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 24, segments: int = 4, bands: int = 20,
-                    rows: int = 5, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, group`` for every id: texts whose sets of shingles are ``least`` similar or more are linked, groups are components.
 
     At this similarity SimHash fingerprints differ in about ten of 64 bits, too many for any index over segments. Candidates
-    therefore share one of ``bands`` keys of ``rows`` minimum hashes of the same shingles (a pair at 0.8 is missed once in 2,500);
-    the pigeonring filter and the Hamming check at ``distance`` prune them, and the shingle sets decide (exactly up to ``sketch``
+    therefore share one of ``bands`` keys of ``rows`` minimum hashes of the same shingles (a pair at 0.8 is missed once in 2,500).
+    No fingerprint prunes them: it counts repeats, which the sets do not. The shingle sets decide (exactly up to ``sketch``
     shingles; beyond that with a standard error of 0.025).
 
     Equal shingle sets are one node. In a bucket every node is first compared with one pivot; afterwards only nodes of different
@@ -273,7 +265,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distanc
     """
     kind = dict(docs.dtypes)[id_col]
     multipliers = np.random.default_rng(7).integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    ring = Ring(distance, segments)
 
     def run(batches):
         import pyarrow as pa
@@ -281,30 +272,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distanc
         for whole in batches:
             for batch in slices(whole, 1):
                 found = [_profile(t, words, bands, rows, sketch, multipliers) for t in batch.column(1).to_pylist()]
-                fp, keys, low, n = zip(*found, strict=True) if found else ((), (), (), ())
+                same, keys, low = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column(0), "fp": pa.array(fp, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
-                    "low": pa.array(low, pa.binary()), "size": pa.array(n, pa.int64())})
+                    "id": batch.column(0), "same": pa.array(same, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
+                    "low": pa.array(low, pa.binary())})
 
     profiles = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = profiles.mapInArrow(run, f"id {kind}, fp bigint, keys array<bigint>, low binary, size bigint")
-    profiles = stage(profiles.withColumn("same", F.md5("low")), "profiles")
-    # equal sets; large ones are told apart by their size and fingerprint as well
-    same = ["same", "size", "fp"]
-    nodes = profiles.groupBy(*same).agg(F.min("id").alias("node"))
-    copies = stage(profiles.select("id", *same).join(stage(nodes, "set_nodes"), same).select("id", "node"), "copies")
+    profiles = stage(profiles.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>, low binary"), "profiles")
+    nodes = profiles.groupBy("same").agg(F.min("id").alias("node"))
+    copies = stage(profiles.select("id", "same").join(stage(nodes, "set_nodes"), "same").select("id", "node"), "copies")
     heads = profiles.join(copies.where("id = node").select(F.col("node")).distinct(), F.col("id") == F.col("node"), "left_semi")
     sets = heads.select(F.col("id").alias("sid"), "low")
-    filed = stage(heads.select("id", "fp", F.explode("keys").alias("key")), "buckets")
+    filed = stage(heads.select("id", F.explode("keys").alias("key")), "buckets")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y, sketch) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    pivots = filed.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pivots = stage(pivots.select(F.col("key").alias("pkey"), F.col("p.id").alias("pid"), F.col("p.fp").alias("pfp")), "pivots")
+    pivots = filed.groupBy("key").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivots = stage(pivots.select(F.col("key").alias("pkey"), "pid"), "pivots")
     tied = filed.join(pivots, F.col("key") == F.col("pkey"))
-    to_pivot = tied.where(F.col("id") != F.col("pid")).where(ring.near(F.col("fp").bitwiseXOR(F.col("pfp"))))
+    to_pivot = tied.where(F.col("id") != F.col("pid"))
     pairs = stage(to_pivot.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
     left = sets.join(pairs, F.col("sid") == F.col("a")).select("a", "b", F.col("low").alias("la"))
     both = left.join(sets, F.col("sid") == F.col("b")).select("a", "b", alike("la", "low").alias("s"))
@@ -312,12 +300,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distanc
     parts = stage(connected_components(links).withColumnRenamed("node", "member"), "parts")
 
     placed = filed.join(pivots.select("pkey"), F.col("key") == F.col("pkey"), "left_semi")
-    placed = stage(placed.join(parts, F.col("id") == F.col("member"), "left").select("key", "id", "fp", F.coalesce("root", "id").alias("part")), "placed")
+    placed = stage(placed.join(parts, F.col("id") == F.col("member"), "left").select("key", "id", F.coalesce("root", "id").alias("part")), "placed")
     mixed = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = stage(mixed.select(F.col("key").alias("mkey"), "main", "n", (F.col("n") - F.col("most")).alias("apart")), "mixed")
     open_rows = placed.join(mixed, F.col("key") == F.col("mkey")).join(sets, F.col("id") == F.col("sid"))
-    more = stage(_links_between_parts(open_rows, kind, least, distance, sketch), "more_links")
+    more = stage(_links_between_parts(open_rows, kind, least, sketch), "more_links")
     groups = stage(connected_components(links.unionByName(more)).withColumnRenamed("node", "member"), "near_groups")
     named = copies.join(groups, F.col("node") == F.col("member"), "left").select("id", F.coalesce("root", "node").alias("group"))
     return stage(named.groupBy("id").agg(F.min("group").alias("group")), "groups").withColumnRenamed("id", id_col)
