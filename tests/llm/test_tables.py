@@ -256,6 +256,21 @@ def test_near_duplicates_with_repeated_passages(spark):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+def test_near_duplicates_are_decided_on_whole_sets(spark):
+    """Long texts whose similarity is close to 0.8, on either side."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for i in range(60):
+        text = [f"a{x}" for x in rng.integers(0, 10**6, 1000)]
+        docs += [(2 * i, text), (2 * i + 1, text[:-(98 + i // 3)] + [f"b{x}" for x in rng.integers(0, 10**6, 98 + i // 3)])]
+    sets = [{" ".join(t[k:k + 5]) for k in range(len(t) - 4)} for _, t in docs]
+    near = [i for i in range(0, 120, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8]
+    assert 20 < len(near) < 40
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id bigint, text string")
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(rows).collect()}
+    assert got == {i: i - i % 2 if i - i % 2 in near else i for i in range(120)}
+
+
 # --- codes ----------------------------------------------------------------------------------------------------------------
 
 def nearest(codes, queries, k):

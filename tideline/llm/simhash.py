@@ -6,7 +6,6 @@ from hashlib import md5
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,53 +149,47 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 3, segments:
 
 # --- near-duplicates by the similarity of their shingle sets -----------------------------------------------------------
 
-def _profile(text, words, bands, rows, sketch, multipliers):
-    whole = np.unique(shingle_hashes(text, words))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def _profile(text, words, bands, rows, multipliers):
+    whole = shingle_set(text, words)
     same = md5(whole.tobytes()).digest()
-    kinds = np.unique((whole >> np.uint64(32)).astype(np.uint32))
+    kinds = np.unique(whole >> np.uint64(32))
     if not len(kinds):
-        return same, [], b""
+        return same, [], 0
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(kinds), 4096):
-        part = kinds[at:at + 4096].astype(np.uint64)[:, None] * multipliers[None, :]
+        part = kinds[at:at + 4096][:, None] * multipliers[None, :]
         least = np.minimum(least, part.min(axis=0))
     mixed = (least.reshape(bands, rows) >> np.uint64(8)) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                                                       0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63][:rows], np.uint64)
     keys = (mixed.sum(axis=1, dtype=np.uint64) ^ (np.arange(bands, dtype=np.uint64) << np.uint64(57))).view(np.int64)
-    mix = kinds * np.uint32(0x9E3779B1)
-    mix ^= mix >> np.uint32(15)
-    low = np.sort(mix * np.uint32(0x85EBCA77))[:sketch]
-    return same, keys.tolist(), low.astype("<u4").tobytes()
-
+    return same, keys.tolist(), len(whole)
 
-def similarity(a: bytes, b: bytes, sketch: int) -> float:
-    """Jaccard similarity of two shingle sets from their ``sketch`` least values: exact if both sets are no larger."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if len(x) >= sketch or len(y) >= sketch:
-        union = union[:sketch]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, union, assume_unique=True).sum()) / max(1, len(union))
 
+#: Rows, and shingles of all of them, outside and inside a bucket's largest component that one cell compares.
+CELL_ROWS, CELL_SHINGLES = (1024, 4096), (1 << 18, 1 << 20)
 
-#: Rows outside and inside a bucket's largest component that one cell compares.
-CELL_ROWS = (1024, 4096)
 
-
-def _links_between_parts(rows: DataFrame, kind: str, least: float, sketch: int) -> DataFrame:
+def _links_between_parts(rows: DataFrame, kind: str, least: float) -> DataFrame:
     """``a, b``: links of ``least`` or more between different components that share a bucket.
 
-    ``rows`` has key, id, part and low, and of the bucket main (its largest component), n and apart (rows in all and outside of
-    main). The rows outside are compared with all, in cells of bounded size; large buckets are split into several. A task reads
-    its cells one after another and gives no more links than it takes to join what a cell joins, so pairs are never rows.
+    ``rows`` has key, id, part and whole (its set), and of the bucket main (its largest component), n and apart (rows in all and
+    outside of main), shingles and apart_shingles (those of these rows). The rows outside are compared with all, in cells of
+    bounded size; large buckets are split into several. A task reads its cells one after another and gives no more links than it
+    takes to join what a cell joins, so pairs are never rows.
     """
-    blocks = [F.ceil(F.col(c) / size).cast("int") for c, size in zip(("apart", "n"), CELL_ROWS, strict=True)]
+    blocks = [F.ceil(F.greatest(F.col(c) / size, F.col(w) / most)).cast("int")
+              for c, size, w, most in zip(("apart", "n"), CELL_ROWS, ("apart_shingles", "shingles"), CELL_SHINGLES, strict=True)]
     own = [F.pmod(F.xxhash64("id"), blocks[0]).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), blocks[1]).cast("int")]
     cell = lambda i, j, outside: F.struct(i.alias("i"), j.alias("j"), F.lit(outside).alias("outside"))
     every = F.transform(F.sequence(F.lit(0), blocks[0] - 1), lambda i: cell(i, own[1], False))
     outside = F.when(F.col("part") != F.col("main"), F.transform(F.sequence(F.lit(0), blocks[1] - 1), lambda j: cell(own[0], j, True)))
-    cells = rows.select("key", "id", "part", "low", F.explode(F.concat(every, F.coalesce(outside, F.slice(every, 1, 0)))).alias("c"))
-    cells = cells.select("key", "c.i", "c.j", "c.outside", "id", "part", "low").repartition("key", "i", "j")
+    cells = rows.select("key", "id", "part", "whole", F.explode(F.concat(every, F.coalesce(outside, F.slice(every, 1, 0)))).alias("c"))
+    cells = cells.select("key", "c.i", "c.j", "c.outside", "id", "part", "whole").repartition("key", "i", "j")
     cells = cells.sortWithinPartitions("key", "i", "j")
 
     def compare(found: list[tuple]) -> list[tuple]:
@@ -210,21 +203,19 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, sketch: int)
                 part = joined[part]
             return part
 
-        lows = [np.frombuffer(r[3], "<u4") for r in here]
-        sizes = np.array([len(x) for x in lows])
-        values = np.concatenate(lows)
+        sizes = np.array([len(r[3]) for r in here])
+        values = np.concatenate([r[3] for r in here])
         order = np.argsort(values, kind="stable")
         values, owners = values[order], np.repeat(np.arange(len(here)), sizes)[order]
         out = []
-        for _, id_, part, low in there:
-            mine = np.frombuffer(low, "<u4")
+        for _, id_, part, mine in there:
             start, stop = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
             lengths = stop - start
             at = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             common = np.bincount(owners[at], minlength=len(here))
-            for k in np.flatnonzero(common >= least * np.minimum(sketch, sizes + len(mine) - common)).tolist():
+            for k in np.flatnonzero(common / (sizes + len(mine) - common) >= least).tolist():
                 x, y = root(part), root(here[k][2])
-                if x != y and similarity(low, here[k][3], sketch) >= least:
+                if x != y:
                     joined[max(x, y)] = min(x, y)
                     out.append((id_, here[k][1]))
         return out
@@ -234,8 +225,10 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, sketch: int)
 
         last, held, out = None, [], []
         for batch in batches:
-            key, i, j, outside, id_, part, low = (batch.column(c).to_pylist() for c in range(7))
-            for now, row in zip(zip(key, i, j, strict=True), zip(outside, id_, part, low, strict=True), strict=True):
+            key, i, j, outside, id_, part = (batch.column(c).to_pylist() for c in range(6))
+            ends, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+            whole = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            for now, row in zip(zip(key, i, j, strict=True), zip(outside, id_, part, whole, strict=True), strict=True):
                 if now != last:
                     out += compare(held)
                     last, held = now, []
@@ -250,13 +243,14 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float, sketch: int)
     return cells.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
     """``id, group`` for every id: texts whose sets of shingles are ``least`` similar or more are linked, groups are components.
 
     At this similarity SimHash fingerprints differ in about ten of 64 bits, too many for any index over segments. Candidates
     therefore share one of ``bands`` keys of ``rows`` minimum hashes of the same shingles (a pair at 0.8 is missed once in 2,500).
-    No fingerprint prunes them: it counts repeats, which the sets do not. The shingle sets decide (exactly up to ``sketch``
-    shingles; beyond that with a standard error of 0.025).
+    No fingerprint prunes them: it counts repeats, which the sets do not. The whole sets decide, as 64-bit hashes; a pair goes
+    undecided only where the sizes of its sets forbid ``least``. Sets are made again from the texts that share a key with others.
 
     Equal shingle sets are one node. In a bucket every node is first compared with one pivot; afterwards only nodes of different
     components are compared, those outside the bucket's largest one with the others, inside tasks that give the links alone.
@@ -271,41 +265,51 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
 
         for whole in batches:
             for batch in slices(whole, 1):
-                found = [_profile(t, words, bands, rows, sketch, multipliers) for t in batch.column(1).to_pylist()]
-                same, keys, low = zip(*found, strict=True) if found else ((), (), ())
+                found = [_profile(t, words, bands, rows, multipliers) for t in batch.column(1).to_pylist()]
+                same, keys, size = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column(0), "same": pa.array(same, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
-                    "low": pa.array(low, pa.binary())})
+                    "size": pa.array(size, pa.int64())})
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                found = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"sid": batch.column(0), "whole": pa.array(found, pa.list_(pa.int64()))})
 
-    profiles = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = stage(profiles.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>, low binary"), "profiles")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    profiles = stage(texts.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>, size bigint"), "profiles")
     nodes = profiles.groupBy("same").agg(F.min("id").alias("node"))
     copies = stage(profiles.select("id", "same").join(stage(nodes, "set_nodes"), "same").select("id", "node"), "copies")
     heads = profiles.join(copies.where("id = node").select(F.col("node")).distinct(), F.col("id") == F.col("node"), "left_semi")
-    sets = heads.select(F.col("id").alias("sid"), "low")
-    filed = stage(heads.select("id", F.explode("keys").alias("key")), "buckets")
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, sketch) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    pivots = filed.groupBy("key").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pivots = stage(pivots.select(F.col("key").alias("pkey"), "pid"), "pivots")
-    tied = filed.join(pivots, F.col("key") == F.col("pkey"))
-    to_pivot = tied.where(F.col("id") != F.col("pid"))
-    pairs = stage(to_pivot.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-    left = sets.join(pairs, F.col("sid") == F.col("a")).select("a", "b", F.col("low").alias("la"))
-    both = left.join(sets, F.col("sid") == F.col("b")).select("a", "b", alike("la", "low").alias("s"))
+    filed = stage(heads.select("id", "size", F.explode("keys").alias("key")), "buckets")
+
+    pivots = filed.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivots = stage(pivots.select(F.col("key").alias("pkey"), F.col("p.id").alias("pid"), F.col("p.size").alias("psize")), "pivots")
+    tied = stage(filed.join(pivots, F.col("key") == F.col("pkey")).drop("pkey"), "tied")
+    needed = stage(tied.select(F.col("id").alias("nid")).distinct(), "needed")
+    # always by shuffle: the texts that meet others grow with the corpus
+    sets = texts.join(needed.hint("merge"), F.col("id") == F.col("nid"), "left_semi")
+    sets = stage(sets.mapInArrow(hashed, f"sid {kind}, whole array<bigint>"), "sets")
+
+    fits = F.least("size", "psize") / F.greatest("size", "psize") >= least
+    pairs = stage(tied.where(F.col("id") != F.col("pid")).where(fits).select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
+    left = sets.join(pairs, F.col("sid") == F.col("a")).select("a", "b", F.col("whole").alias("other"))
+    alike = F.transform(F.array(F.size(F.array_intersect("other", "whole"))), lambda n: n / (F.size("other") + F.size("whole") - n))[0]
+    both = left.join(sets, F.col("sid") == F.col("b")).select("a", "b", alike.alias("s"))
     links = stage(both.where(F.col("s") >= least).select("a", "b"), "alike")
     parts = stage(connected_components(links).withColumnRenamed("node", "member"), "parts")
 
-    placed = filed.join(pivots.select("pkey"), F.col("key") == F.col("pkey"), "left_semi")
-    placed = stage(placed.join(parts, F.col("id") == F.col("member"), "left").select("key", "id", F.coalesce("root", "id").alias("part")), "placed")
-    mixed = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = stage(mixed.select(F.col("key").alias("mkey"), "main", "n", (F.col("n") - F.col("most")).alias("apart")), "mixed")
+    placed = stage(tied.join(parts, F.col("id") == F.col("member"), "left").select("key", "id", "size", F.coalesce("root", "id").alias("part")), "placed")
+    mixed = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).groupBy("key").agg(
+        F.max_by(F.struct("part", "n", "shingles"), F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"),
+        F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = stage(mixed.select(F.col("key").alias("mkey"), F.col("main.part").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("apart"), "shingles",
+                               (F.col("shingles") - F.col("main.shingles")).alias("apart_shingles")), "mixed")
     open_rows = placed.join(mixed, F.col("key") == F.col("mkey")).join(sets, F.col("id") == F.col("sid"))
-    more = stage(_links_between_parts(open_rows, kind, least, sketch), "more_links")
+    more = stage(_links_between_parts(open_rows, kind, least), "more_links")
     groups = stage(connected_components(links.unionByName(more)).withColumnRenamed("node", "member"), "near_groups")
     named = copies.join(groups, F.col("node") == F.col("member"), "left").select("id", F.coalesce("root", "node").alias("group"))
     return stage(named.groupBy("id").agg(F.min("group").alias("group")), "groups").withColumnRenamed("id", id_col)
