@@ -117,6 +117,14 @@ def test_base_spans(parts):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_long_tokens_are_candidates():
+    for n in (15, 16, 128, 129, 5000):
+        token = ("k7Qx" * 2000)[:n]
+        found = pii.annotate(f"token {token}, end")
+        assert [(s["kind"], s["start"], s["end"]) for s in found] == [("secret", 6, 6 + n)] * (n >= 16)
+        assert pii.masked(f"token {token}, end", frozenset(s["shape"] for s in found)) == f"token {token if n < 16 else '<SECRET>'}, end"
+
+
 def test_reliabilities_find_the_good_labeler():
     code = lambda v: pii._pack((0, *v), pii._VOTE_SIZES)
     p = pii.reliabilities({code((2, 2, 2, 0, 2)): 500, code((1, 1, 0, 0, 1)): 300, code((2, 1, 0, 0, 1)): 20})

@@ -29,7 +29,7 @@ _LOOSE = (
     ("phone", re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")),
     ("id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)")),
-    ("secret", re.compile(r"(?<![\w-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,128}(?![\w-])")),
+    ("secret", re.compile(r"(?<![\w-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+(?![\w-])")),
 )
 _HIDDEN_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,8}")
 
