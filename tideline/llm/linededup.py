@@ -15,14 +15,15 @@ def _own(name: str) -> str:
     return f"__tideline_{name}"
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later occurrences of every run of ``window`` consecutive lines removed, and ``_lines`` and ``_removed``.
+def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                        counts: tuple[str, str] = ("_lines", "_removed")) -> DataFrame:
+    """``docs`` with later occurrences of every run of ``window`` consecutive lines removed, and the ``counts`` of lines and removed lines.
 
     Lines end at a line feed and are compared as they are. Of equal windows the first by (id, position) stays; every line that
     a later one covers goes, so overlapping windows remove the union of what they cover. For each line removed an equal line
     stays further up. Texts of fewer lines have no window and stay as they are, as do null texts; an empty text is one empty
     line. Rows that share id and text count as one document, which is compared with others only; null ids come first. All
-    columns stay, but for ones named ``_lines`` and ``_removed``; an empty table stays empty.
+    columns stay, but for ones named like ``counts``; an empty table stays empty.
 
     Windows travel as two 64-bit hashes with id and position. Counting them combines before the shuffle; the windows meet the
     repeated hashes again in a join of two stored tables, in which a window with a third of all rows can be split.
@@ -49,7 +50,7 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     text = F.col(text_col).cast("string")
     # always by shuffle: what is removed grows with the corpus, so this is the plan that a large one needs
     on = F.col(id_col).eqNullSafe(F.col(_own("id"))) & (F.xxhash64(text) == F.col(_own("hash")))
-    joined = docs.drop("_lines", "_removed").join(starts.hint("merge"), on, "left")
+    joined = docs.drop(*counts).join(starts.hint("merge"), on, "left")
     count = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 
     def kept(ls):
@@ -62,6 +63,6 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     left = F.transform(F.array(F.split(text, "\n", -1)), kept)[0]
     both = F.when(F.col(_own("starts")).isNotNull(), F.transform(F.array(left), lambda x: F.struct(F.array_join(x, "\n").alias("t"), F.size(x).alias("n")))[0])
     joined = joined.withColumn(_own("left"), both)
-    out = [F.coalesce(F.col(f"{_own('left')}.t"), text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("_lines", "_removed")]
+    out = [F.coalesce(F.col(f"{_own('left')}.t"), text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts]
     removed = F.when(F.col(_own("left")).isNull(), 0).otherwise(count - F.col(f"{_own('left')}.n"))
-    return joined.select(*out, count.cast("bigint").alias("_lines"), removed.cast("bigint").alias("_removed"))
+    return joined.select(*out, count.cast("bigint").alias(counts[0]), removed.cast("bigint").alias(counts[1]))
