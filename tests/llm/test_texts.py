@@ -172,6 +172,19 @@ def test_quality_table(spark, folder, odd, empty):
     assert quality.score(odd, quality.train(odd, labels.limit(0))).first().score == pytest.approx(0.5)
 
 
+def test_training_reads_past_the_opening(spark):
+    """Documents of label 0 whose first 300 lines are good ones, and labels that no field can be fitted on."""
+    good, bad = "A plain sentence of ordinary words stands on this line.", "BUY | NOW !!! $$$ 999 | CLICK !!!"
+    rows = [(i, "\n".join([good] * 300 + [bad] * 300 * (i % 2))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, "\n".join([bad] * 50)), (101, "\n".join([good] * 50))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    for lines in (quality.SAMPLE_LINES, 100):
+        scores = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels, sample_lines=lines)).collect()}
+        assert scores[100] < 0.1 and scores[101] > scores[100]
+    for few in (labels.limit(0), labels.where("quality = 1")):
+        assert quality.keep_good(docs, few).count() == docs.count()
+
+
 def lines_left(rows, window=3):
     seen, first = {}, {}
     for key, text in sorted(rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.bpe import slices
 
-#: The sample that the field is fitted on: labelled documents of each class, and lines of each (scoring reads all lines).
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 200
+#: The sample that the field is fitted on: labelled documents of each class, and most lines of each (scoring reads all lines).
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 2000
 SCORE = "__tideline_score"
 
 #: Bin edges of the features of a line.
@@ -97,6 +98,7 @@ class Field:
 
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = np.zeros(3 * N_FEATURES + 3 + 4) if weights is None else weights
+        self.fitted = weights is not None
 
     def parts(self, w):
         own, before, after = w[:3 * N_FEATURES].reshape(3, N_FEATURES)
@@ -169,6 +171,7 @@ class Field:
             first_m = 0.9 * first_m + 0.1 * grad
             second_m = 0.99 * second_m + 0.01 * grad ** 2
             self.weights = self.weights + rate * (first_m / (1 - 0.9 ** step)) / (np.sqrt(second_m / (1 - 0.99 ** step)) + 1e-8)
+        self.fitted = True
         return self
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -187,13 +190,23 @@ def remainder(id_column) -> F.Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def run_of_lines(text: str, most: int) -> str:
+    """All lines of a text of ``most`` lines at most, else as many consecutive ones from a place that the text's hash draws."""
+    lines = text.split("\n")
+    if len(lines) <= most:
+        return text
+    start = crc32(text.encode("utf-8", "replace")) % (len(lines) - most + 1)
+    return "\n".join(lines[start:start + most])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality", held_out: int = 2) -> Field:
+          label_col: str = "quality", held_out: int = 2, sample_lines: int = SAMPLE_LINES) -> Field:
     """Fit the field on a sample of labelled documents that the hold-out rule leaves for training.
 
     Of each class the ``sample_docs`` rows with the least hash of the id are taken, so the driver receives a bounded number of
-    documents' features, whatever the table's size; classes are weighted by their true numbers. Ids that are null, have no
-    label or two different ones are passed over. Without usable labels the field stays at even odds.
+    documents' features, whatever the table's size; classes are weighted by their true numbers. Documents count whole; of one
+    with more than ``sample_lines`` lines a hashed run of so many does. Ids that are null, have no label or two different ones are
+    passed over. Without usable labels of both classes the field stays at even odds and is not ``fitted``.
     """
     spark = docs.sparkSession
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
@@ -216,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
                 labels_, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
                 if not texts:
                     continue
-                texts = ["\n".join(t.split("\n", SAMPLE_LINES)[:SAMPLE_LINES]) for t in texts]
+                texts = [run_of_lines(t, sample_lines) for t in texts]
                 numbers, _, counts = line_features(texts)
                 parts = np.split(numbers.astype(np.int16), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_pydict({"label": labels_, "lines": pa.array([p.tobytes() for p in parts], pa.binary())})
@@ -264,6 +277,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more; all rows if the labels allow no field."""
     field = train(docs, labels, id_col=id_col, text_col=text_col)
+    if not field.fitted:
+        return docs
     return score(docs, field, id_col, text_col, keep=True).where(F.col(SCORE) >= threshold).drop(SCORE)
