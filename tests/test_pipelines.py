@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import bootstrap as b
 from tideline.operators import exposure as x
+from tideline.operators import quality
 from tideline.operators import selection as sel
 from tideline.operators.ledger import LedgerOptions
 from tideline.operators.search import development_bars, evaluate_grid, run_search, successive_halving
@@ -215,3 +216,15 @@ def test_targets_out_of_reach_do_not_end_the_job():
     trade = solve_trades(asset, nav, want, cost)
     assert math.isclose((asset[0] + trade[0]) / (nav[0] - cost(np.abs(trade))[0]), 0.5, rel_tol=1e-12)
     assert trade[2] == -40.0 and np.isfinite(trade[[0, 2, 3]]).all()
+
+
+def test_assets_without_a_known_calendar(spark):
+    day = __import__("datetime").date
+    assets = [("A", "exchange", "x"), ("B", "exchange", None), ("C", "exchange", "none"), ("D", "continuous", None)]
+    meta = spark.createDataFrame([(t, c, i, day(2024, 1, 2), day(2024, 1, 5)) for t, c, i in assets], "ticker string, calendar string, calendar_id string, start date, end date")
+    meta = meta.withColumns({"first_date": F.col("start"), "last_date": F.col("end")})
+    days = spark.createDataFrame([("x", day(2024, 1, k), day(2024, 1, 1), day(2024, 1, 31)) for k in (2, 4)], "calendar_id string, date date, coverage_start date, coverage_end date")
+    issues = {(r.code, r.severity, r.asset) for r in quality.calendar_issues(meta, days).collect()}
+    assert issues == {("calendar_unverified", "warning", "B"), ("calendar_unverified", "warning", "C")}
+    expected = sorted((r.ticker, r.date.day) for r in quality.expected_sessions(meta, days).collect())
+    assert expected == [("A", 2), ("A", 4), ("D", 2), ("D", 3), ("D", 4), ("D", 5)]

@@ -85,9 +85,10 @@ def range_issues(metadata: DataFrame) -> DataFrame:
         issue(empty, "empty_range", "error"))
 
 
-def _spans(metadata: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _spans(metadata: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requested intervals with the coverage of the calendar that each asset names, and that calendar's days as one list.
 
+    Three tables: intervals inside the coverage, intervals outside of it, and assets that name no calendar of the table.
     Tables without ``calendar_id`` mean one calendar. A list is bounded by the calendar; assets meet it through an equi-join.
     """
     day = F.lit("").alias("calendar_id")
@@ -95,22 +96,24 @@ def _spans(metadata: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFra
     meta = metadata if "calendar_id" in metadata.columns else metadata.select("*", day)
     listed = cal.groupBy("calendar_id").agg(
         F.min("coverage_start").alias("_cl"), F.max("coverage_end").alias("_cr"), F.collect_set("date").alias("_days"))
-    span = meta.withColumns({"_l": F.coalesce("start", "first_date"), "_r": F.coalesce("end", "last_date")}).join(listed, "calendar_id")
+    span = meta.withColumns({"_l": F.coalesce("start", "first_date"), "_r": F.coalesce("end", "last_date")}).join(listed, "calendar_id", "left")
     outside = (F.col("_l") < F.col("_cl")) | (F.col("_r") > F.col("_cr"))
-    return span.filter(F.coalesce(~outside, F.lit(False))), span.filter(outside)
+    return span.filter(F.coalesce(~outside, F.lit(False))), span.filter(outside), span.filter("_days is null")
 
 
 def expected_sessions(metadata: DataFrame, calendar: DataFrame | None) -> DataFrame:
     """Expected (ticker, date) rows: the asset's calendar inside its request, or every day of a continuous asset.
 
-    An asset whose interval its calendar does not cover is reported by :func:`calendar_issues` and has no expected sessions.
+    An asset whose interval its calendar does not cover is reported by :func:`calendar_issues` and has no expected sessions, nor
+    has one that names no known calendar, unless it is continuous.
     """
+    every = lambda span: span.filter("calendar = 'continuous'").select("ticker", F.explode(F.sequence("_l", "_r")).alias("date"))
     if calendar is None:
-        span = metadata.select("ticker", "calendar", F.coalesce("start", "first_date").alias("_l"), F.coalesce("end", "last_date").alias("_r"))
-        return span.filter("calendar = 'continuous'").select("ticker", F.explode(F.sequence("_l", "_r")).alias("date"))
-    covered, _ = _spans(metadata, calendar)
+        return every(metadata.select("ticker", "calendar", F.coalesce("start", "first_date").alias("_l"), F.coalesce("end", "last_date").alias("_r")))
+    covered, _, unmatched = _spans(metadata, calendar)
     inside = F.filter("_days", lambda d: (d >= F.col("_l")) & (d <= F.col("_r")))
-    return covered.select("ticker", F.explode(inside).alias("date"))
+    listed = covered.select("ticker", F.explode(inside).alias("date"))
+    return listed.unionByName(every(unmatched)) if "calendar" in metadata.columns else listed
 
 
 def missing_sessions(expected: DataFrame, bars: DataFrame) -> DataFrame:
@@ -129,11 +132,12 @@ def calendar_issues(metadata: DataFrame, calendar: DataFrame | None) -> DataFram
     """Coverage of the calendar, conflict with a continuous declaration, or no calendar to verify with."""
     if calendar is None:
         return issue(metadata.filter("calendar <> 'continuous'"), "calendar_unverified", "warning")
-    covered, outside = _spans(metadata, calendar)
+    covered, outside, unmatched = _spans(metadata, calendar)
     held = F.size(F.filter("_days", lambda d: (d >= F.col("_l")) & (d <= F.col("_r"))))
     days = F.greatest(F.datediff("_r", "_l") + 1, F.lit(0))
     conflict = covered.filter((F.col("calendar") == "continuous") & (held != days))
-    return issue(outside, "calendar_coverage", "error").unionByName(issue(conflict, "calendar_declaration_conflict", "error"))
+    return (issue(outside, "calendar_coverage", "error").unionByName(issue(conflict, "calendar_declaration_conflict", "error"))
+            .unionByName(issue(unmatched.filter("calendar <> 'continuous'"), "calendar_unverified", "warning")))
 
 
 # --- across assets ----------------------------------------------------------------------------------------------------
