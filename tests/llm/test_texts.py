@@ -178,9 +178,14 @@ def test_training_reads_past_the_opening(spark):
     rows = [(i, "\n".join([good] * 300 + [bad] * 300 * (i % 2))) for i in range(60)]
     docs = spark.createDataFrame([*rows, (100, "\n".join([bad] * 50)), (101, "\n".join([good] * 50))], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
-    for lines in (quality.SAMPLE_LINES, 100):
-        scores = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels, sample_lines=lines)).collect()}
-        assert scores[100] < 0.1 and scores[101] > scores[100]
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert scores[100] < 0.1 and scores[101] > scores[100]
+    starts = set()
+    for k in range(50):
+        run = [int(x) for x in quality.run_of_lines("\n".join(map(str, range(k, k + 600))), 100).split("\n")]
+        assert run == list(range(run[0], run[0] + 100))
+        starts.add(run[0] - k)
+    assert len(starts) > 30 and max(starts) > 300
     for few in (labels.limit(0), labels.where("quality = 1")):
         assert quality.keep_good(docs, few).count() == docs.count()
 
