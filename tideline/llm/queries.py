@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, hamming, linededup, lzprint, packing, pii, quality, sharding, simhash, warc
+from tideline.llm import alignment, bpe, hamming, linededup, lzprint, mixing, packing, pii, quality, sharding, simhash, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,75 @@ from (select *, row_number() over (partition by query_id order by distance, neig
 def op9(spark, folder):
     codes = hamming.sign_codes(table(spark, folder, "embeddings"))
     return hamming.nearest_codes(codes, codes.where("id % 50 = 0"), k=10)
+
+
+@query("op11_align")
+def op11(spark, folder):
+    import public_tokenizers as files
+
+    return alignment.aligned(table(spark, folder, "documents"), files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"))
+
+
+@query("op12_whitening")
+def op12(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"), components=16, weights="one")
+
+
+MIX_SQL = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as z,
+         cast('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 15) as bigint) as draw from documents),
+src as (
+  select source, s, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
+  from (select source, sum(z)::bigint as s from d group by source)),
+total as (select sum(s)::bigint as t, sum(w)::bigint as w from src),
+steep as (
+  select src.*, coalesce(sum(3 * s) over o, 0)::bigint as caps, coalesce(sum(src.w) over o, 0)::bigint as ws, total.t, total.w as all_w
+  from src, total window o as (order by 3 * s / src.w, source nulls last rows between unbounded preceding and 1 preceding)),
+capped as (select *, 3 * s * (all_w - ws) < w * (t - caps) as at_cap from steep),
+free as (select (any_value(t) - coalesce(sum(3 * s) filter (at_cap), 0))::double as r, (sum(w) filter (not at_cap))::double as w from capped),
+goal as (select source, s, case when at_cap then (3 * s)::double else r * capped.w::double / free.w end as target from capped, free),
+sizes as (select source, z, count(*) as n from d where z > 0 group by 1, 2),
+hist as (select source, list({'z': z, 'n': n}) as h, min(z) as z0 from sizes group by 1),
+ends as (
+  select goal.source, s, target, h, case when target >= 3 * s then null else least(ln(target / s) / z0, 0) end as lo,
+         case when target > s then ln(3) / z0 else 0 end as hi
+  from goal join hist on goal.source is not distinct from hist.source),
+tilts as (
+  select source, s, target, h, case when lo is not null then list_reduce(
+    list_prepend({'lo': lo, 'hi': hi}, list_transform(range(120), lambda i: {'lo': 0::double, 'hi': 0::double})),
+    lambda a, x: case when list_sum(list_transform(h, lambda e: e.n * e.z * least(3, exp((a.lo + a.hi) / 2 * e.z)))) < target
+                 then {'lo': (a.lo + a.hi) / 2, 'hi': a.hi} else {'lo': a.lo, 'hi': (a.lo + a.hi) / 2} end) end as b
+  from ends),
+rates as (
+  select t.source, e.z, e.n, t.target, case when t.b is null then 3 else least(3, exp((t.b.lo + t.b.hi) / 2 * e.z)) end as r
+  from tilts t, unnest(t.h) as u(e)),
+cuts as (
+  select *, floor(sum(cast(n * r as decimal(28, 9))) over (partition by source order by z desc) + 0.5)::bigint as c from rates),
+first_k as (
+  select source, z, n, round(target)::bigint as want,
+         greatest(0, least(c - coalesce(lag(c) over (partition by source order by z desc), 0), 3 * n))::bigint as k from cuts),
+miss as (
+  select source, (any_value(want) - sum(k * z))::bigint as e, list(z order by z desc) as zs,
+         list(case when want_more then 3 * n - k else k end order by z desc) as free
+  from (select *, any_value(want) over p - sum(k * z) over p > 0 as want_more from first_k window p as (partition by source)) group by source),
+mended as (
+  select source, e, zs, list_reduce(
+    list_prepend({'e': abs(e), 'q': []::bigint[]}, list_transform(zs, lambda z, i: {'e': z, 'q': [free[i]::bigint]})),
+    lambda a, x: {'e': (a.e - least(x.q[1], a.e // x.e) * x.e)::bigint, 'q': list_append(a.q, least(x.q[1], a.e // x.e)::bigint)}) as m
+  from miss),
+change as (select source, unnest(zs) as z, case when e > 0 then 1 else -1 end * unnest(m.q) as q from mended),
+copies as (
+  select f.source, f.z, f.n, f.k + c.q as k from first_k f join change c on f.source is not distinct from c.source and f.z = c.z),
+ranked as (select *, row_number() over (partition by source, z order by draw, doc_id nulls first) - 1 as rank from d)
+select doc_id, ranked.z as size, goal.s as source_size, target,
+       cast(coalesce(copies.k // copies.n + (rank < copies.k % copies.n)::int, 0) * ranked.z as bigint) as taken,
+       cast(coalesce(copies.k // copies.n + (rank < copies.k % copies.n)::int, 0) as integer) as copies
+from ranked join goal on ranked.source is not distinct from goal.source
+left join copies on ranked.source is not distinct from copies.source and ranked.z = copies.z
+"""
+
+
+@query("op13_mixing", MIX_SQL)
+def op13(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3, seed=42)
