@@ -78,6 +78,50 @@ def test_unwanted_payloads_are_not_read():
         list(warc.read_records(io.BytesIO(packed[:-9]), len(packed) - 9, lambda c: True, True, False))
 
 
+def test_members_with_several_records_and_plain_archives():
+    some = [warc.record("response", f"<urn:page:{i}>", "", "d", "application/http", b"HTTP/1.1 200 OK\r\nContent-Length: 6\r\n\r\nbody %d" % i) for i in range(9)]
+    for join in (lambda r: b"".join(map(lambda k: warc.pack(b"".join(r[k:k + 3]), 3), (0, 3, 6))), lambda r: b"".join(r)):
+        data = join(some)
+        read = lambda wanted, data=data: list(warc.read_records(io.BytesIO(data), len(data), wanted, True, False, data[:2] == b"\x1f\x8b"))
+        assert [r[-1] for r in read(lambda c: True)] == [b"body %d" % i for i in range(9)]
+        assert [r[-1] for r in read(lambda c: c["record_id"][-2] in "147")] == [b"body 1", b"body 4", b"body 7"]
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(data[:-9]), len(data) - 9, lambda c: False, True, False, data[:2] == b"\x1f\x8b"))
+
+
+def test_chunked_bodies_and_long_records():
+    body = b"5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
+    one = warc.record("response", "a", "", "d", "application/http", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body)
+    assert list(warc.read_records(io.BytesIO(one), len(one), lambda c: True, True, False, False))[0][-2:] == (11, b"hello world")
+    assert warc.unchunked(b"not chunked") == b"not chunked" and warc.unchunked(b"5\r\nhel") == b"5\r\nhel"
+    long = b"x" * 70_000_000
+    packed = warc.pack(warc.record("resource", "b", "", "d", "text/plain", long), 1) + warc.pack(one, 1)
+    assert [r[-2] for r in warc.read_records(io.BytesIO(packed), len(packed), lambda c: True, True, False)] == [len(long), 11]
+
+
+def test_archive_folders(spark):
+    warc.register(spark)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    df = spark.createDataFrame([("response", "r1", "u", "d", None, b"one")], "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload binary")
+    slow = warc.WarcWriter({"path": path}, False)  # another append that is still running
+    slow.write(iter(df.toArrow().to_batches()))
+    df.write.format("warc").option("path", path).mode("append").save()
+    read = lambda: sorted(bytes(r.payload) for r in spark.read.format("warc").option("path", path).load().where("record_type = 'response'").collect())
+    assert read() == [b"one"]
+    message = slow.write(iter(df.toArrow().to_batches()))
+    slow.commit([message])
+    assert read() == [b"one", b"one"]
+    df.write.format("warc").option("path", path).mode("overwrite").save()
+    assert read() == [b"one"]
+    with open(f"{path}/plain.warc", "wb") as f:
+        f.write(warc.record("response", "r2", "", "d", "text/plain", b"two"))
+    assert read() == [b"one", b"two"]
+    with open(f"{path}/notes.txt", "w") as f:
+        f.write("no archive")
+    with pytest.raises(Exception, match="not an archive"):
+        read()
+
+
 # --- shards ---------------------------------------------------------------------------------------------------------------
 
 def test_shards(spark, odd, empty):

@@ -228,3 +228,11 @@ def test_lines_of_odd_rows(odd, empty):
 def test_remainder(spark):
     row = spark.range(1).select(quality.remainder(F.lit(17)).alias("x"), quality.remainder(F.lit(None).cast("bigint")).alias("y")).first()
     assert row.x == zlib.crc32(b"17") % 4 and row.y == 0
+
+
+def test_hidden_mail_of_any_length_is_masked_whole(spark):
+    local, domain = "a" * 80, "d" * 90 + ".example" * 12
+    texts = [f"write to {local} (at) {domain} (dot) com now", f"contact: {local}[at]{domain}"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 40)], "doc_id bigint, text string, spans string")
+    for r in pii.redact(rows).collect():
+        assert "aaaa" not in r.text and "dddd" not in r.text and "<EMAIL>" in r.text and r.spans == "x"

@@ -31,7 +31,7 @@ _LOOSE = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)")),
     ("secret", re.compile(r"(?<![\w-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+(?![\w-])")),
 )
-_HIDDEN_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,8}")
+_HIDDEN_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++")
 
 # Gazetteers and context words.
 _DOMAIN_ENDS = frozenset("com org net edu gov io de fr es uk us eu info biz ch at it nl be".split())
@@ -298,25 +298,40 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     return found.select(F.col("id").alias(id_col), *map(count, BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
-def masked(text: str, taken: frozenset[int]) -> str:
-    """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first counts, then the longest."""
-    spans = [s for s in annotate(text) if s["base"] or s["shape"] in taken]
+def masked(text: str, spans) -> str:
+    """``text`` with every (start, end, kind) replaced by its kind in angle brackets; of overlapping ones the first counts, then the longest."""
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-        if s["start"] >= at:
-            out += [text[at:s["start"]], f"<{s['kind'].upper()}>"]
-            at = s["end"]
-        elif s["end"] > at:
-            at = s["end"]
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+            at = end
+        elif end > at:
+            at = end
     return "".join(out) + text[at:]
 
 
+#: Name of the column that holds the spans between the two passes of :func:`redact`.
+_HELD = "__tideline_spans"
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with personal data in ``text_col`` masked; null texts stay null, all other columns stay as they are."""
-    taken = frozenset(accepted_shapes(annotated(docs, id_col, text_col), least))
+    """``docs`` with personal data in ``text_col`` masked.
+
+    Texts are annotated once, whole, and written with their spans; fitting reads the spans, masking both. Null texts stay null,
+    empty ones empty, and all other columns stay as they are whatever their names (only ``__tideline_spans`` is taken); ties,
+    repeated rows and null ids need no rule, as rows are masked one by one; an empty table gives none.
+    """
+    @F.pandas_udf(f"array<{_SPAN}>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([annotate(t or "") for t in texts], dtype=object)
+
+    text = F.col(text_col).cast("string")
+    held = stage(docs.withColumn(_HELD, spans(text)), "redact_spans")
+    taken = F.array(*[F.lit(s) for s in accepted_shapes(held.select(F.col(_HELD).alias("spans")), least)]).cast("array<int>")
+    kept = F.transform(F.filter(_HELD, lambda s: s["base"] | F.array_contains(taken, s["shape"])), lambda s: F.struct(s["start"], s["end"], s["kind"]))
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else masked(t, taken) for t in texts], dtype=object)
+    def mask(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(f) else masked(t, [tuple(x.values()) for x in f]) for t, f in zip(texts, found, strict=True)], dtype=object)
 
-    return docs.withColumn(text_col, mask(F.col(text_col).cast("string")))
+    return held.withColumn(text_col, mask(text, kept)).drop(_HELD)

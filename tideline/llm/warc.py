@@ -66,53 +66,92 @@ def one_line(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-class Members:
-    """The gzip members of an open file, one after another: start one, read of it as much as is wanted, step over the rest."""
+class Plain:
+    """An uncompressed archive as a stream: ``out`` holds what has been read and not dropped yet."""
 
     def __init__(self, file, size: int):
-        self.file, self.size, self.at = file, size, 0
+        self.file, self.size, self.out = file, size, b""
 
-    def start(self) -> bool:
+    def more(self) -> bool:
+        """Read one more piece into ``out``; False at the end."""
+        data = self.file.read(_PIECE)
+        self.out += data
+        return bool(data)
+
+    def drop(self, n: int) -> None:
+        """Step over the next n bytes."""
+        if n > len(self.out):
+            at = self.file.tell() + n - len(self.out)
+            if at > self.size:
+                raise ValueError("the archive ends inside a record")
+            self.file.seek(at)
+        self.out = self.out[n:]
+
+
+class Packed:
+    """The same for gzip members one after another, with any number of records in each."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.out, self.at, self.inflate = file, size, b"", 0, None
+
+    def _start(self) -> bool:
         if self.at >= self.size:
             return False
         self.file.seek(self.at)
         head = self.file.read(24)
         if head[:3] != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at byte {self.at}")
-        packed = struct.unpack("<I", head[16:20])[0] if head[3] & 4 and len(head) == 24 and head[12:14] == b"SL" else 0
+        known = len(head) == 24 and head[3] & 4 and head[12:14] == b"SL"
+        packed, self.plain = struct.unpack("<II", head[16:24]) if known else (0, 0)
         self.next = self.at + packed if packed > 24 else None  # sizes beyond 4 GB don't fit; such a member is read through
         self.file.seek(self.at)
-        self.inflate, self.taken, self.out = zlib.decompressobj(31), 0, b""
+        self.inflate, self.taken, self.made = zlib.decompressobj(31), 0, 0
         return True
 
     def more(self) -> bool:
-        """Inflate one more piece into ``out``; False at the member's end."""
-        if self.inflate.eof:
+        if self.inflate is not None and self.inflate.eof:
+            self.at += self.taken - len(self.inflate.unused_data)
+            self.inflate = None
+        if self.inflate is None and not self._start():
             return False
         data = self.inflate.unconsumed_tail or self.file.read(_PIECE)
         if not data:
             raise ValueError("the archive ends inside a record")
         before = len(self.inflate.unconsumed_tail)
-        self.out += self.inflate.decompress(data, _PIECE)
-        self.taken += len(data) - before
+        piece = self.inflate.decompress(data, _PIECE)
+        self.taken, self.made = self.taken + len(data) - before, self.made + len(piece)
+        self.out += piece
         return True
 
-    def rest(self) -> bytes:
-        parts = [self.out]
-        while not self.inflate.eof:
-            self.out = b""
-            self.more()
-            parts.append(self.out)
-        return b"".join(parts)
-
-    def skip(self) -> None:
-        if self.next is not None and not self.inflate.eof:
-            self.at = self.next
-            return
-        while not self.inflate.eof:
-            self.out = b""
-            self.more()
-        self.at += self.taken - len(self.inflate.unused_data)
+    def drop(self, n: int) -> None:
+        """Step over n bytes; where nothing but line ends follows them in a member of known size, by its packed size."""
+        while n > len(self.out):
+            n, self.out = n - len(self.out), b""
+            if self.inflate is not None and self.next is not None and not self.inflate.eof and 0 <= self.plain - self.made - n <= 4:
+                if self.next > self.size:
+                    raise ValueError("the archive ends inside a record")
+                self.at, self.inflate = self.next, None
+                return
+            if not self.more():
+                raise ValueError("the archive ends inside a record")
+        self.out = self.out[n:]
+
+
+def unchunked(body: bytes) -> bytes:
+    """The content of a chunked HTTP body; what isn't chunked as announced is returned as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            return body
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if at + n > len(body):
+            return body
+        out.append(body[at:at + n])
+        at += n + 2
 
 
 def headers_of(block: bytes) -> dict[str, str]:
@@ -124,38 +163,67 @@ def headers_of(block: bytes) -> dict[str, str]:
     return out
 
 
-def read_records(file, size: int, wanted, payloads: bool, verify: bool) -> Iterator[tuple]:
-    """Tuples as READ_SCHEMA; ``wanted`` judges the header columns. Only wanted records are inflated beyond their headers."""
-    members = Members(file, size)
-    while members.start():
-        while b"\r\n\r\n" not in members.out and members.more():
-            pass
-        head, found, _ = members.out.partition(b"\r\n\r\n")
-        if not found or not head.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {members.at}")
-        fields = headers_of(head)
+def read_records(file, size: int, wanted, payloads: bool, verify: bool, packed: bool = True) -> Iterator[tuple]:
+    """Tuples as READ_SCHEMA; ``wanted`` judges the header columns. Only wanted records are inflated beyond their headers.
+
+    A payload is the block without HTTP headers, its chunks joined. The digest of a record may be of the payload with or without
+    its chunk framing; the body counts as sent where it isn't asked for, so ``payload_bytes`` of a chunked one is read for.
+    """
+    stream = (Packed if packed else Plain)(file, size)
+
+    def upto(mark: bytes, at: int) -> int:
+        """Place of the mark from ``at`` on, or -1."""
+        seen = at
+        while (found := stream.out.find(mark, seen)) < 0:
+            seen = max(at, len(stream.out) - len(mark) + 1)
+            if not stream.more():
+                return -1
+        return found
+
+    while True:
+        stream.out = stream.out.lstrip(b"\r\n")
+        if not stream.out:
+            if not stream.more():
+                return
+            continue
+        end = upto(b"\r\n\r\n", 0)
+        if end < 0 or not stream.out.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        fields = headers_of(stream.out[:end])
+        stream.drop(end + 4)
         columns = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
         if columns["payload_digest"]:
             columns["payload_digest"] = columns["payload_digest"].rpartition(":")[2]
-        if wanted(columns):
-            at, length, payload = len(head) + 4, int(fields["content-length"]), None
-            http = (columns["content_type"] or "").startswith("application/http")
-            count = length
-            if http:
-                while b"\r\n\r\n" not in members.out[at:] and members.more():
-                    pass
-                inner, _, _ = members.out[at:].partition(b"\r\n\r\n")
-                count = int(headers_of(inner).get("content-length", length - len(inner) - 4))
-                skip = len(inner) + 4
-            else:
-                skip = 0
-            full = columns["record_type"] != "revisit"
-            if full and (payloads or verify):
-                payload = members.rest()[at + skip:at + length]
-                if verify and (len(payload) != count or columns["payload_digest"] not in (None, digest(payload))):
-                    raise ValueError(f"the payload of {columns['record_id']} doesn't match its digest")
-            yield (*columns.values(), count, bytes(payload) if payloads and payload is not None else None)
-        members.skip()
+        length = int(fields["content-length"])
+        if not wanted(columns):
+            stream.drop(length)
+            continue
+        skip, payload, count, chunked = 0, None, length, False
+        if (columns["content_type"] or "").startswith("application/http"):
+            while (inner := stream.out.find(b"\r\n\r\n", 0, length)) < 0 and len(stream.out) < length and stream.more():
+                pass
+            skip = inner + 4 if inner >= 0 else length
+            http = headers_of(stream.out[:skip])
+            chunked = "chunked" in http.get("transfer-encoding", "").lower()
+            announced = http.get("content-length", "")
+            count = int(announced) if announced.isdigit() and not chunked else length - skip
+        full = columns["record_type"] != "revisit"
+        if full and (payloads or verify or chunked):
+            parts, held = [], 0
+            while held < length:
+                if not stream.out and not stream.more():
+                    raise ValueError("the archive ends inside a record")
+                parts.append(stream.out[:length - held])
+                held += len(parts[-1])
+                stream.out = stream.out[len(parts[-1]):]
+            body = b"".join(parts)[skip:]
+            payload = unchunked(body) if chunked else body
+            if verify and (not chunked and len(body) != count or columns["payload_digest"] not in (None, digest(payload), digest(body))):
+                raise ValueError(f"the payload of {columns['record_id']} doesn't match its digest")
+            count = len(payload)
+        else:
+            stream.drop(length)
+        yield (*columns.values(), count, payload if payloads else None)
 
 
 # --- the data source ----------------------------------------------------------------------------------------------------
@@ -167,7 +235,8 @@ class WarcFiles(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Options: ``payload`` (true: give payloads), ``verify`` (true: check digests of full records), ``split_mb`` (files a task)."""
+    """Options: ``payload`` (false: null payloads, nothing is inflated for them), ``verify`` (true: check digests of full records),
+    ``split_mb`` (files a task). Reads ``.warc.gz`` and ``.warc`` files; another file in the folder is an error, hidden ones are not read."""
 
     def __init__(self, options):
         self.options, self.tests = dict(options), []
@@ -196,8 +265,12 @@ class WarcReader(DataSourceReader):
             files = [info]
         else:
             files = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=False))
-        files = sorted(((f.path, f.size) for f in files if f.type == fs.FileType.File and f.path.endswith(".warc.gz")
-                        and not f.path.rpartition("/")[2].startswith(("_", "."))), key=lambda f: -f[1])
+        base = info.path.rstrip("/")
+        hidden = lambda path: any(part.startswith(("_", ".")) for part in path[len(base):].split("/") if part)
+        files = sorted(((f.path, f.size) for f in files if f.type == fs.FileType.File and not hidden(f.path)), key=lambda f: -f[1])
+        for path, _ in files:
+            if not path.endswith((".warc.gz", ".warc")):
+                raise ValueError(f"not an archive: {path}")
         most, groups = float(self.options.get("split_mb", 64)) * 1e6, []
         for path, size in files:  # small files share a task
             if groups and groups[-1][1] + size <= most:
@@ -216,10 +289,10 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         system, _ = filesystem(self.options["path"])
-        truth = lambda name: self.options.get(name, "false").lower() == "true"
+        truth = lambda name, default: self.options.get(name, default).lower() == "true"
         for path, size in partition.paths:
             with system.open_input_file(path) as file:
-                yield from read_records(file, size, self._wanted, truth("payload"), truth("verify"))
+                yield from read_records(file, size, self._wanted, truth("payload", "true"), truth("verify", "false"), path.endswith(".gz"))
 
 
 class Written(WriterCommitMessage):
@@ -230,16 +303,17 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows (record_type, record_id, target_uri, warc_date, refers_to, payload) as response and revisit records.
 
-    A task writes hidden files of its own and the commit gives them their names, so that a task that is run again, or twice, leaves
-    no record behind twice. Options: ``file_mb`` (a file's size before the next is begun), ``level`` (of compression).
+    Tasks write into a hidden folder of the job and the commit gives the files of the tasks that count their names, so that a task
+    that is run again, or twice, leaves no record behind twice, and jobs that write to one path at once don't meet. Overwriting
+    removes the old archives after the new ones are in place. Options: ``file_mb`` (a file's size before the next is begun), ``level`` (of compression).
     """
 
     def __init__(self, options, overwrite: bool):
-        self.options, self.overwrite = dict(options), overwrite
+        self.options, self.overwrite, self.job = dict(options), overwrite, f"_{uuid.uuid4().hex}"
 
     def write(self, iterator):
         system, root = filesystem(self.options["path"])
-        system.create_dir(root, recursive=True)
+        system.create_dir(f"{root}/{self.job}", recursive=True)
         most, level = float(self.options.get("file_mb", 256)) * 1e6, int(self.options.get("level", 3))
         files, out = [], None
         for batch in iterator:
@@ -256,7 +330,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or out.tell() > most:
                     if out is not None:
                         out.close()
-                    files.append(f"{root}/_{uuid.uuid4().hex}.warc.gz")
+                    files.append(f"{root}/{self.job}/{uuid.uuid4().hex}.warc.gz")
                     out = system.open_output_stream(files[-1], compression=None)
                     info = b"software: tideline\r\nformat: WARC File Format 1.1\r\n"
                     out.write(pack(record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", "", date, "application/warc-fields", info), level))
@@ -270,21 +344,22 @@ class WarcWriter(DataSourceArrowWriter):
 
         system, root = filesystem(self.options["path"])
         system.create_dir(root, recursive=True)
-        if self.overwrite:
-            for f in system.get_file_info(fs.FileSelector(root)):
-                if f.path.endswith(".warc.gz") and not f.path.rpartition("/")[2].startswith("_"):
-                    system.delete_file(f.path)
+        old = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File and self.overwrite
+               and f.path.endswith((".warc.gz", ".warc")) and not f.path.rpartition("/")[2].startswith(("_", "."))]
         for file in (f for m in messages if m is not None for f in m.files):
-            folder, _, name = file.rpartition("/")
-            system.move(file, f"{folder}/records-{name[1:]}")
-        for f in system.get_file_info(fs.FileSelector(root)):
-            if f.path.rpartition("/")[2].startswith("_"):
-                system.delete_file(f.path)
+            system.move(file, f"{root}/records-{file.rpartition('/')[2]}")
+        for file in old:
+            system.delete_file(file)
+        self._clear(system, root)
 
     def abort(self, messages):
-        system, _ = filesystem(self.options["path"])
-        for file in (f for m in messages if m is not None for f in m.files):
-            system.delete_file(file)
+        self._clear(*filesystem(self.options["path"]))
+
+    def _clear(self, system, root) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/{self.job}")
 
 
 class Warc(DataSource):
@@ -337,13 +412,15 @@ def archive_and_read(pages: DataFrame, path: str | None = None, least_bytes: int
     """Write a record for every page to ``path`` (a new shared folder by default) and read the archives back.
 
     Returns page_id, payload_bytes, payload_digest, record_type and refers_to, all from the archives; the payloads of responses are
-    inflated and checked against their digests. Every row gives one record, repeated rows too; an empty table gives none.
+    inflated and checked against their digests. Every row gives one record, repeated rows too; an empty table gives none. A null or
+    empty html is an empty payload, a very long one is written and read whole, by one task; columns beside the three named ones
+    are ignored, whatever their names.
     """
     spark = pages.sparkSession
     register(spark)
     path = path or scratch(spark, "warc")
     page_records(pages, least_bytes, **names).write.format("warc").option("path", path).mode("append").save()
-    back = spark.read.format("warc").option("path", path).option("verify", "true").option("split_mb", "16").load()
+    back = spark.read.format("warc").option("path", path).option("payload", "false").option("verify", "true").option("split_mb", "16").load()
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
     kind = dict(pages.dtypes)[names.get("id_col", "page_id")]
     return back.where(F.col("record_type").isin("response", "revisit")).select(
