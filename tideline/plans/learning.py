@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import linear
 from ..operators import walkforward as w
 from ..operators.features import feature_names
 from ..operators.search import positions
@@ -14,6 +15,7 @@ from .technical import features_cte
 
 OPTS = w.WalkOptions(train_size=42, step=21, forward=5)
 ONCE = w.WalkOptions(train_size=63, step=21, forward=5, retrain=False)
+SVM = w.WalkOptions(train_size=42, step=42, forward=5)
 NAMES = feature_names()
 
 LAB = (v.SQL_WEEKLY, *features_cte("weekly"),
@@ -100,7 +102,40 @@ def _spark_ml(name, factory):
         return w.fit_each(d, ONCE, factory())
 
 
-_spark_ml("ml_logistic", lambda: w.logistic(0.5))
 _spark_ml("ml_random_forest", lambda: w.random_forest(10, 3))
 _spark_ml("ml_boosted_trees", lambda: w.boosted_trees(3, 2))
-_spark_ml("ml_linear_svm", lambda: w.linear_svm(0.1))
+
+
+@query("ml_logistic")
+def _(t):
+    """All 55 features, one l2 model per ticker and fold."""
+    return linear.logistic_regression(cut_lineage(data(t)), OPTS, 0.5)
+
+
+@query("ml_linear_svm")
+def _(t):
+    return linear.linear_svm(cut_lineage(data(t, SVM)), SVM, 0.1)
+
+
+# Three features, so that plain gradient descent in SQL gets to the same minimum: its step is the inverse of a bound on the curvature.
+THREE = ("ret_5", "vol_21", "range_55")
+_W = ("w1", "w2", "w3")
+_SC = ", ".join(f"(l.{n}-m.a{i})/m.s{i} as z{i}" for i, n in enumerate(THREE, 1))
+LOGIT = (
+    v.SQL_WEEKLY, *features_cte("weekly"),
+    f"lab as materialized (select feat.*, (lead(close,5) over (partition by feat.ticker order by feat.date)/close-1>0)::int as label, {' and '.join(f'feat.{n} is not null' for n in THREE)} as ok from feat join (select ticker,date,close from weekly) using (ticker,date))",
+    *LAB[len(LAB) - 5:],
+    f"mo as (select c.ticker, c.fold, c.cut, count(*) as n, {', '.join(f'avg({n}) as a{i}, stddev_pop({n}) as s{i}' for i, n in enumerate(THREE, 1))} from fits c join lab l on l.ticker=c.ticker and l.rn<=c.cut and l.ok and l.label is not null where c.fitted group by 1,2,3)",
+    f"tr as materialized (select m.ticker, m.fold, m.n, 2*l.label-1 as y, {_SC} from mo m join lab l on l.ticker=m.ticker and l.rn<=m.cut and l.ok and l.label is not null)",
+    "gd as (select ticker, fold, 0 as k, 0e0 as b, 0e0 as w1, 0e0 as w2, 0e0 as w3 from mo union all "
+    "select g.ticker, g.fold, any_value(g.k)+1, any_value(g.b)+sum(0.5*t.y/(1+exp(t.y*(g.b+g.w1*z1+g.w2*z2+g.w3*z3))))/(1+0.5*any_value(t.n)), "
+    + ", ".join(f"any_value(g.w{i})+(sum(0.5*t.y*z{i}/(1+exp(t.y*(g.b+g.w1*z1+g.w2*z2+g.w3*z3))))-any_value(g.w{i}))/(1+0.5*any_value(t.n))" for i in (1, 2, 3))
+    + " from gd g join tr t on t.ticker=g.ticker and t.fold=g.fold where g.k<2500 group by g.ticker, g.fold)",
+    "md as (select * from gd where k=2500)",
+    f"sc as (select l.ticker, l.date, l.fold, d.b+{'+'.join(f'd.w{i}*(l.{n}-m.a{i})/m.s{i}' for i, n in enumerate(THREE, 1))} as score from fld l join mo m on m.ticker=l.ticker and m.fold=l.fold join md d on d.ticker=l.ticker and d.fold=l.fold)")
+
+
+@query("ml_logistic_scores", ctes(*LOGIT, recursive=True) + f"select ticker, date, fold, {r('score', 5)} as score, cast(score>0 as integer) as pred from sc")
+def _(t):
+    rows = cut_lineage(w.labelled(v.weekly_bars(t), OPTS, THREE))
+    return rounded(linear.logistic_regression(rows, OPTS, 0.5, width=3), 5)
