@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.bpe import Codec, load_vocabulary
 from tideline.llm.common import stage
 
 #: Documents of about so many bytes of text are aligned, and later counted, together; a longer one is a block of its own.
@@ -21,48 +20,31 @@ ROWS = ("block string, place int, id {kind}, n_a bigint, n_b bigint, n_groups bi
         "pairs array<bigint>, counts array<bigint>")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level BPE: Latin-1 letters and signs stand for themselves, other bytes for code points from 256."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def load_files(byte_bpe_path: str, piece_path: str) -> tuple[str, bytes]:
-    with open(byte_bpe_path, encoding="utf-8") as a, open(piece_path, "rb") as b:
-        return a.read(), b.read()
+def load_files(byte_bpe_path: str, piece_path: str) -> tuple[dict, bytes]:
+    with open(piece_path, "rb") as f:
+        return {**load_vocabulary(byte_bpe_path), "added": {}}, f.read()  # without added tokens their strings are plain text
 
 
 class Pair:
     """Both tokenizers, and Arrow tables of what their ids stand for."""
 
-    def __init__(self, files: tuple[str, bytes]):
+    def __init__(self, files: tuple[dict, bytes]):
         import pyarrow as pa
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        a, b = files
-        self.a = Tokenizer.from_str(a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        letters, special = byte_alphabet(), {t["content"] for t in json.loads(a).get("added_tokens", [])}
-        entries = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
-            entries[i] = token.encode() if token in special else bytes(letters[c] for c in token)
-        self.a_bytes = pa.array(entries, pa.binary())
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+
+        vocabulary, model = files
+        self.a, self.b = Codec(vocabulary), sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a_bytes = pa.array(vocabulary["tokens"], pa.binary())
         pieces = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                   for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
         self.b_bytes = pa.array(pieces, pa.binary())
-        self.names = pa.array([str(i) for i in range(max(len(entries), len(pieces)))], pa.string())
+        self.names = pa.array([str(i) for i in range(max(len(self.a_bytes), len(pieces)))], pa.string())
 
     def tokens(self, texts: list[str]):
         """List arrays of the ids of both, empty where the text is or where either doesn't give its bytes back."""
         import pyarrow as pa
 
-        a = [np.array(e.ids, dtype=np.int32) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = [ids.astype(np.int32) for ids in self.a.encode_batch([" " + t for t in texts])]
         b = [np.array(ids, dtype=np.int32) for ids in self.b.encode(texts, num_threads=1)]
         kept = []
         for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
@@ -161,7 +143,7 @@ def blocks(batches, limit: int) -> Iterator:
         yield pa.Table.from_batches(held)
 
 
-def block_links(docs: DataFrame, files: tuple[str, bytes], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_links(docs: DataFrame, files: tuple[dict, bytes], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of :data:`ROWS`: for every document its numbers and its distinct pairs with their counts, and for every block a row
     (place -1) with the partial counts of all its links."""
     shared = docs.sparkSession.sparkContext.broadcast(files)
