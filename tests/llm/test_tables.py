@@ -154,6 +154,63 @@ def test_shards(spark, odd, empty):
     assert sharding.interleave(empty, 8).count() == 0
 
 
+# --- best fit by its rules ---------------------------------------------------------------------------------------------
+
+def best_fit_plainly(lengths, permitted, overhead):
+    """Totals of the bins as (capacity, used): every bin is looked at for every piece."""
+    left, bins = sorted(lengths, reverse=True), []
+    for k, n in enumerate(left):
+        fits = [b for b in bins if b["room"] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b["room"], -b["turn"]))
+        else:
+            costs = [((c + overhead) / min(c, n + sum(x for x in left[k + 1:] if x <= c - n)), c) for c in permitted if c >= n]
+            c = min(costs, key=lambda x: x[0])[1]
+            b = {"room": c, "used": 0}
+            bins.append(b)
+        b["room"], b["used"], b["turn"] = b["room"] - n, b["used"] + n, k
+    return sorted((min(c for c in permitted if c >= b["used"]), b["used"]) for b in bins)
+
+
+def least_cost(lengths, permitted, overhead):
+    """The optimum over all ways to divide the pieces."""
+    best = [float("inf")]
+
+    def put(i, sums):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in permitted if c >= s) + overhead for s in sums))
+            return
+        for k in range(len(sums)):
+            if sums[k] + lengths[i] <= permitted[-1]:
+                put(i + 1, [*sums[:k], sums[k] + lengths[i], *sums[k + 1:]])
+        put(i + 1, [*sums, lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_against_plain_best_fit_and_the_optimum():
+    rng = np.random.default_rng(11)
+    permitted, overhead = (16, 32, 64), 2
+    for size in (0, 1, 2, 5, 7, 40, 300):
+        for _ in range(25 if size < 40 else 5):
+            lengths = rng.integers(1, 65, size).tolist()
+            bins = defaultdict(list)
+            for n, (b, c, o) in zip(lengths, packing.pack(lengths, permitted, overhead), strict=True):
+                bins[b].append((o, n, c))
+            got = []
+            for pieces in bins.values():
+                at = 0
+                for o, n, _ in sorted(pieces):
+                    assert o == at
+                    at += n
+                got.append((pieces[0][2], at))
+            assert sorted(got) == best_fit_plainly(lengths, permitted, overhead)
+            if size <= 7:
+                cost = sum(c + overhead for c, _ in got)
+                assert least_cost(lengths, permitted, overhead) <= cost <= 1.5 * least_cost(lengths, permitted, overhead) + overhead
+
+
 # --- packing --------------------------------------------------------------------------------------------------------------
 
 def test_pack_is_best_fit():
