@@ -170,7 +170,7 @@ def test_walk_options():
             WalkOptions(**bad)
 
 
-def test_csv_contract(spark, tmp_path):
+def test_csv_folder_contract(spark, tmp_path):
     folder = tmp_path / "csv"
     folder.mkdir()
     (folder / "a.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,10\n")

@@ -40,10 +40,23 @@ def not_midnight(rows: DataFrame, at: str) -> DataFrame:
     return rows.filter(F.col(at) != F.date_trunc("day", at))
 
 
-def out_of_order(rows: DataFrame, keys: Sequence[str], arrival: str, at: str) -> DataFrame:
-    """Rows that arrive with a date at or before the latest date already seen for their key."""
-    w = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("latest_before", F.max(at).over(w)).filter(F.col(at) <= F.col("latest_before"))
+def out_of_order(rows: DataFrame, keys: Sequence[str], arrival: str, at: str, piece_rows: int = 1 << 16) -> DataFrame:
+    """Rows that arrive with a date at or before the latest date already seen for their key.
+
+    ``arrival`` is a whole number. Rows are checked in pieces of ``piece_rows`` arrival numbers; what a key has seen before a piece
+    is a running maximum over the pieces' own, one row each, so that a key with half of all rows is spread over its pieces.
+    """
+    rows = rows.withColumn("_piece", F.floor(F.col(arrival) / piece_rows))
+    pieces = rows.groupBy(*keys, "_piece").agg(F.max(at).alias("_seen"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), F.max("_seen").over(earlier).alias("_seen"))
+    same = F.col("_piece").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_inside", F.max(at).over(inside)).join(pieces, same)
+    seen = seen.withColumn("latest_before", F.greatest("_inside", "_seen")).filter(F.col(at) <= F.col("latest_before"))
+    return seen.drop("_piece", "_inside", "_seen", "_p", *[f"_k{i}" for i in range(len(keys))])
 
 
 def column_problems(columns: Sequence[str], optional: Sequence[str] = ("volume",)) -> dict[str, list[str]]:
@@ -205,7 +218,7 @@ def load_contract(assets: DataFrame, bars: DataFrame, lookback: int) -> DataFram
     """All cross-asset requirements of a portfolio load as one issue table."""
     a = issue(convention_mismatch(assets), "convention_mismatch", "error")
     b = issue(session_mismatch(bars), "session_mismatch", "error", date="date")
-    c = issue(insufficient_history(bars, lookback), "insufficient_history", "error")
+    c = issue(insufficient_history(bars, lookback, assets), "insufficient_history", "error")
     return a.unionByName(b).unionByName(c)
 
 

@@ -205,3 +205,29 @@ def _(t):
     from dataclasses import replace
     a, b = suite_ledgers(t, REAL), suite_ledgers(t, replace(REAL, cost_bps=11, max_leverage=1.2))
     return rounded(compare.diff(compare.bars_of(a, ("ticker", "case_id")), compare.bars_of(b, ("ticker", "case_id")), ("ticker", "case_id"), ("ret", "equity", "trade")))
+
+
+def _two_suites(t):
+    from dataclasses import replace
+    return suite_ledgers(t, REAL), suite_ledgers(t, replace(REAL, cost_bps=11, max_leverage=1.2))
+
+
+_TWO = (v.SQL_WEEKLY, *SUITE, ledger_sql("suite", keys="ticker,case_id", **REAL_SQL),
+        ledger_sql("suite", name="alt", keys="ticker,case_id", **{**REAL_SQL, "k": "0.00155", "lev": 1.2}))
+
+
+@query("agg_metric_deltas", ctes(*_TWO, "ma as (select ticker,case_id,max_by(equity,date) as final_equity,sum(trade) as turnover from led group by 1,2)",
+       "mb as (select ticker,case_id,max_by(equity,date) as final_equity,sum(trade) as turnover from alt group by 1,2)",
+       "u as (select a.ticker,a.case_id,'final_equity' as metric,a.final_equity as x,b.final_equity as y from ma a join mb b using (ticker,case_id) union all select a.ticker,a.case_id,'turnover',a.turnover,b.turnover from ma a join mb b using (ticker,case_id))", recursive=True)
+       + f"select ticker, case_id, metric, {r('x')} as actual, {r('y')} as expected, {r('x-y')} as delta, not coalesce(abs(x-y)<=greatest(1e-11,1e-9*greatest(abs(x),abs(y))),false) as changed from u")
+def _(t):
+    a, b = (led.groupBy("ticker", "case_id").agg(F.max_by("equity", "date").alias("final_equity"), F.sum("trade").alias("turnover")) for led in _two_suites(t))
+    return rounded(compare.metric_deltas(a, b, ("ticker", "case_id"), ("final_equity", "turnover")))
+
+
+@query("agg_case_status", ctes(*_TWO, "j as (select a.ticker, a.case_id, not (abs(a.ret-b.ret)<=1e-11+1e-9*abs(b.ret)) as ch from led a join alt b using (ticker,case_id,date))", recursive=True)
+       + "select ticker, case_id, case when bool_or(ch) then 'changed' else 'passed' end as status from j group by 1,2")
+def _(t):
+    keys = ("ticker", "case_id")
+    a, b = (compare.bars_of(led, keys) for led in _two_suites(t))
+    return compare.case_status(compare.diff(a, b, keys, ("ret",)), keys)

@@ -35,10 +35,19 @@ def _(t):
  max(cast(o_orderdate as date)) over (partition by o_orderpriority, o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as seen from orders) where date<=seen group by 1""")
 def _(t):
     o = t.orders.select(F.col("o_orderpriority").alias("ticker"), "o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    late = q.out_of_order(o, ("ticker", "o_custkey"), "o_orderkey", "date")
+    late = q.out_of_order(o, ("ticker", "o_custkey"), "o_orderkey", "date", piece_rows=1000)
     return late.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.max("date").alias("last"))
 
 
+@query("dq_out_of_order_hot_key", """select count(*) as rows, max(date) as last, sum(o_orderkey)::bigint as keys from (select o_orderkey, cast(o_orderdate as date) as date,
+ max(cast(o_orderdate as date)) over (partition by o_orderkey % 3 > 0 order by o_orderkey rows between unbounded preceding and 1 preceding) as seen from orders) where date<=seen""")
+def _(t):
+    """Two keys, one with two thirds of all rows."""
+    o = t.orders.select((F.col("o_orderkey") % 3 > 0).alias("k"), "o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    late = q.out_of_order(o, ("k",), "o_orderkey", "date", piece_rows=4096)
+    return late.agg(F.count(F.lit(1)).alias("rows"), F.max("date").alias("last"), F.sum("o_orderkey").cast("bigint").alias("keys"))
+
+
 SQL_REQ = """req as (select distinct o_orderpriority as ticker, date '1996-01-01' as s, date '2001-10-15' as e from orders
  union all select 'ZZ-NONE', date '1996-01-01', date '1999-01-01' union all select l_returnflag||l_linestatus, date '1994-06-01', date '1996-03-01' from lineitem group by 1)"""
 SQL_ALLBARS = """allbars as materialized (select ticker,date,volume from bars union all select ticker,date,volume from vwap)"""
@@ -200,10 +209,12 @@ def _(t):
  select 'session_mismatch' as code,'error' as severity,ticker as asset,date from oth where date not in (select date from ref) union all
  select 'session_mismatch','error',n.ticker, ref.date from (select distinct ticker from oth) n, ref where (n.ticker,ref.date) not in (select (ticker,date) from oth) union all
  select 'convention_mismatch','error',ticker,null from (select distinct ticker from vwap) where ticker like 'R%' union all
- select 'insufficient_history','error',ticker,null from vwap group by ticker having count(*)<2447""")
+ select 'insufficient_history','error',ticker,null from vwap group by ticker having count(*)<2447 union all
+ select 'insufficient_history','error','ZZ-NONE',null""")
 def _(t):
     b = v.vwap_bars(t)
-    a = b.select("ticker").distinct().select(
+    named = b.select("ticker").unionByName(t.orders.agg(F.lit("ZZ-NONE").alias("ticker")))  # an asset without any bar
+    a = named.select("ticker").distinct().select(
         "ticker", F.when(F.col("ticker").startswith("R"), "EUR").otherwise("USD").alias("currency"), F.lit("exchange").alias("calendar"),
         F.lit(252.0).alias("annualization"), F.lit("unadjusted").alias("price_adjustment"))
     return q.load_contract(a, b, 2445)
