@@ -298,7 +298,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     return found.select(F.col("id").alias(id_col), *map(count, BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
-def masked(text: str, spans) -> str:
+def mask_spans(text: str, spans) -> str:
     """``text`` with every (start, end, kind) replaced by its kind in angle brackets; of overlapping ones the first counts, then the longest."""
     out, at = [], 0
     for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
@@ -310,6 +310,11 @@ def masked(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
+def masked(text: str, taken: frozenset[int]) -> str:
+    """``text`` with its base spans and the candidates of the shapes ``taken`` masked."""
+    return mask_spans(text, [(s["start"], s["end"], s["kind"]) for s in annotate(text) if s["base"] or s["shape"] in taken])
+
+
 #: Name of the column that holds the spans between the two passes of :func:`redact`.
 _HELD = "__tideline_spans"
 
@@ -332,6 +337,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(f) else masked(t, [tuple(x.values()) for x in f]) for t, f in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([t if t is None or not len(f) else mask_spans(t, [tuple(x.values()) for x in f]) for t, f in zip(texts, found, strict=True)], dtype=object)
 
     return held.withColumn(text_col, mask(text, kept)).drop(_HELD)
