@@ -49,7 +49,7 @@ def test_search_space_sizes():
              "supertrend": 560, "multi_breakout": 500, "ensemble": 560, "stacked": 38400, "regime_aware": 1728}
     count = lambda grid, valid, smooth: len(smooth) * sum(1 for _ in g.combinations(grid, list(grid), valid))
     assert {n: count(s.grid, s.params_valid, s.smooth) for n, s in STRATEGIES.items() if n in sizes} == sizes
-    ml = {"ml_logreg": 1920, "ml_rf": 12960, "ml_xgb": 90720, "ml_knn": 2304, "ml_nb": 576}
+    ml = {"ml_logreg": 1920, "ml_rf": 12960, "ml_xgb": 90720, "ml_knn": 2304, "ml_nb": 576, "ml_svm": 252}
     assert {n: count(grid, knn_valid if n == "ml_knn" else None, ML_SMOOTH) for n, grid in ML_GRIDS.items()} == ml
 
 
