@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linear
+from ..operators import linear, trees
 from ..operators import walkforward as w
 from ..operators.features import feature_names
 from ..operators.search import positions
@@ -14,7 +14,6 @@ from .registry import ctes, query, r, rounded
 from .technical import features_cte
 
 OPTS = w.WalkOptions(train_size=42, step=21, forward=5)
-ONCE = w.WalkOptions(train_size=63, step=21, forward=5, retrain=False)
 SVM = w.WalkOptions(train_size=42, step=42, forward=5)
 NAMES = feature_names()
 
@@ -95,15 +94,15 @@ def _(t):
     return w.nearest_neighbours(data(t), OPTS, 7, "distance", 2)
 
 
-def _spark_ml(name, factory):
-    @query(name)
-    def _(t):
-        d = cut_lineage(data(t, ONCE))
-        return w.fit_each(d, ONCE, factory())
+@query("ml_random_forest")
+def _(t):
+    """All 55 features, a forest per ticker and fold."""
+    return trees.random_forest(cut_lineage(data(t)), OPTS, n_estimators=20, max_depth=3)
 
 
-_spark_ml("ml_random_forest", lambda: w.random_forest(10, 3))
-_spark_ml("ml_boosted_trees", lambda: w.boosted_trees(3, 2))
+@query("ml_boosted_trees")
+def _(t):
+    return trees.boosted_trees(cut_lineage(data(t)), OPTS, n_estimators=5, max_depth=2, learning_rate=0.3, subsample=0.8, colsample_bytree=0.7)
 
 
 @query("ml_logistic")
@@ -139,3 +138,43 @@ LOGIT = (
 def _(t):
     rows = cut_lineage(w.labelled(v.weekly_bars(t), OPTS, THREE))
     return rounded(linear.logistic_regression(rows, OPTS, 0.5, width=3), 5)
+
+
+# The first boosted tree needs no draws: two levels of best splits over all cuts of three features.
+_FINE = "1073741824e0"
+
+
+def _level(name: str, rows: str) -> str:
+    """Best split of every node of ``rows`` (ticker, fold, node, rn, g, h)."""
+    return (f"{name}c as materialized (select r.ticker, r.fold, r.node, e.feature, e.bin, e.threshold, count(*) filter (where l.x<=e.threshold) as lr, count(*) as tr, "
+            f"coalesce(sum(r.h) filter (where l.x<=e.threshold),0)/{_FINE} as ln, coalesce(sum(r.g) filter (where l.x<=e.threshold),0)/{_FINE} as ls, sum(r.h)/{_FINE} as tn, sum(r.g)/{_FINE} as ts "
+            f"from {rows} r join long l using (ticker,fold,rn) join edges e on e.ticker=r.ticker and e.fold=r.fold and e.feature=l.feature group by 1,2,3,4,5,6),\n"
+            f"{name}s as (select *, ls*ls/(ln+1)+(ts-ls)*(ts-ls)/((tn-ln)+1)-ts*ts/(tn+1) as score from {name}c where lr>0 and lr<tr and ln>=1 and tn-ln>=1),\n"
+            f"{name} as materialized (select * from {name}s where score>1e-6 qualify row_number() over (partition by ticker,fold,node order by score desc, feature, bin)=1)")
+
+
+def _moved(name: str, rows: str, split: str) -> str:
+    return (f"{name} as materialized (select r.ticker, r.fold, 2*r.node+case when l.x<=s.threshold then 0 else 1 end as node, r.rn, r.g, r.h "
+            f"from {rows} r join {split} s using (ticker,fold,node) join long l on l.ticker=r.ticker and l.fold=r.fold and l.rn=r.rn and l.feature=s.feature)")
+
+
+BOOSTED = (
+    *LOGIT[:-5],
+    "base as materialized (select ticker, fold, train_rows, positives/train_rows as p from fits where fitted)",
+    f"gh as materialized (select b.ticker, b.fold, 1 as node, l.rn, {', '.join(f'l.{n}' for n in THREE)}, round_even((p-l.label)*{_FINE},0) as g, round_even(p*(1-p)*{_FINE},0) as h "
+    "from base b join fits c using (ticker,fold) join lab l on l.ticker=b.ticker and l.rn<=c.cut and l.ok and l.label is not null)",
+    "long as materialized (" + " union all ".join(f"select ticker, fold, rn, {i} as feature, {n} as x from gh" for i, n in enumerate(THREE)) + ")",
+    "rk as (select *, row_number() over (partition by ticker,fold,feature order by x) as k, count(*) over (partition by ticker,fold,feature) as n from long)",
+    "vals as (select distinct ticker, fold, feature, x from rk where (k*256)//n>((k-1)*256)//n)",
+    "edges as materialized (select ticker, fold, feature, row_number() over w as bin, (x+lead(x) over w)/2 as threshold from vals window w as (partition by ticker,fold,feature order by x) qualify threshold is not null)",
+    _level("s1", "gh"), _moved("r2", "gh", "s1"), _level("s2", "r2"), _moved("r3", "r2", "s2"),
+    "nodes as (" + " union all ".join(f"select ticker, fold, node, count(*) as rows, sum(g)/{_FINE} as s, sum(h)/{_FINE} as n from {x} group by 1,2,3" for x in ("gh", "r2", "r3")) + ")",
+    "splits as (select * from s1 union all select * from s2)")
+
+
+@query("ml_boosted_first_tree", ctes(*BOOSTED, recursive=True)
+       + f"select ticker, fold, -1 as tree, 1::bigint as node, train_rows as rows, {r('ln(p/(1-p))')} as value, cast(null as integer) as feature, cast(null as double) as threshold from base union all "
+       f"select ticker, fold, 0, node::bigint, rows, {r('-0.3*n.s/(n.n+1)')}, s.feature, {r('s.threshold')} from nodes n left join splits s using (ticker,fold,node)")
+def _(t):
+    rows = cut_lineage(w.labelled(v.weekly_bars(t), OPTS, THREE))
+    return rounded(trees.fit_boosted(rows, OPTS, 1, 2, 0.3, width=3).drop("cut"))
