@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import kernels as k
 from ..session import cut_lineage
 from . import grid as g
+from . import learners
 from .ledger import MARKET, LedgerOptions, constant_market, ledger, proportional_ledger, sequential_ledger, with_market
 from .metrics import ACTIVITY_METRICS, RETURN_METRICS, period_metrics, with_period_drawdown
 from .selection import survivors
 from .splits import halving_resources, with_folds, with_periods
 from .strategies import Strategy, get_strategy
-from .walkforward import CLASSIFIERS, classifier_positions
+from .walkforward import CLASSIFIERS, ML_GRIDS, ML_SMOOTH, classifier_positions
 
 ORDER = ("_blk", "_seq")
 
@@ -221,45 +222,59 @@ def evaluate_grid(bars: DataFrame, name: str, opts: LedgerOptions, grid=None, sm
     led = candidate_ledgers(bars, found, opts, chunks, only)
     if "log_equity" in led.columns:
         led = with_period_drawdown(led, CANDIDATE, ORDER, ("train", "val"))
-    keys = CANDIDATE
-    long = period_metrics(led, (*keys, "period"), risk_free_rate, ORDER, folds)
+    names = found.labels(bars.sparkSession)
+    return _result_rows(_wide_metrics(led, CANDIDATE, ORDER, folds, risk_free_rate).join(names, ["pid", "signal_smooth"]), name)
+
+
+def _wide_metrics(led: DataFrame, keys, order, folds: int, risk_free_rate: float) -> DataFrame:
+    """Training and validation metrics of a candidate in one row."""
+    long = period_metrics(led, (*keys, "period"), risk_free_rate, order, folds)
     metrics = [m for m in (*RETURN_METRICS, *ACTIVITY_METRICS)]
-    wide = long.groupBy(*keys).agg(
+    return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("period") == p, F.col(m))).alias(f"{p}_{m}") for p in ("train", "val") for m in metrics],
         F.max(F.when(F.col("period") == "val", F.col("fold_sharpes"))).alias("val_fold_sharpes"),
     )
-    names = found.labels(bars.sparkSession)
+
+
+def _result_rows(wide: DataFrame, name: str, complaint=None) -> DataFrame:
+    """The columns of a result; numbers out of range, or a ``complaint`` about the parameters, become the error."""
+    metrics = [m for m in (*RETURN_METRICS, *ACTIVITY_METRICS)]
     bad = F.lit(False)
     for m in RETURN_METRICS:
         x = F.col(f"val_{m}")
         bad = bad | F.isnan(x) | (F.abs(x) == float("inf"))
+    error = F.when(F.coalesce(bad, F.lit(False)), "evaluation metrics exceed numerical range")
     return (
-        wide.join(names, ["pid", "signal_smooth"])
-        .withColumn("strategy", F.lit(name))
-        .withColumn("error", F.when(F.coalesce(bad, F.lit(False)), "evaluation metrics exceed numerical range"))
+        wide.withColumn("strategy", F.lit(name))
+        .withColumn("error", error if complaint is None else F.coalesce(complaint, error))
         .select("ticker", "strategy", "params", "pid", "signal_smooth", "error",
                 *[f"{p}_{m}" for p in ("train", "val") for m in metrics], "val_fold_sharpes")
     )
 
 
 def evaluate_classifiers(bars: DataFrame, name: str, opts: LedgerOptions, rows: Sequence[Mapping], folds: int = 4,
-                         risk_free_rate: float = 0.0) -> DataFrame:
-    """Results of a list of parameter sets of one classifier, as :func:`evaluate_grid` gives them for the rules.
+                         risk_free_rate: float = 0.0, only: DataFrame | None = None) -> DataFrame:
+    """Results of many parameter sets of one classifier in one plan, as :func:`evaluate_grid` gives them for the rules.
 
-    A candidate is one distributed plan over all tickers; the list, not the data, decides how many there are. Training sees
-    the whole history up to each fold's cut, as the positions of one parameter set do.
+    What sets share is computed once (see ``learners``). A set that can't be evaluated is a row with an error and no metrics.
+    Training sees the whole history up to each fold's cut, as the positions of one parameter set do. ``only`` restricts to
+    given (ticker, params) rows.
     """
-    market = development_bars(bars, opts, folds)
-    out = None
-    for pid, params in enumerate(rows):
-        target = positions(bars, name, **params)
-        led = ledger(market.join(target, ["ticker", "date"]), opts)
-        long = period_metrics(led, ("ticker", "period"), risk_free_rate, ("date",), folds)
-        wide = long.groupBy("ticker").agg(*[
-            F.max(F.when(F.col("period") == p, F.col(m))).alias(f"{p}_{m}") for p in ("train", "val") for m in (*RETURN_METRICS, *ACTIVITY_METRICS)])
-        part = wide.withColumns({"strategy": F.lit(name), "params": F.lit(g.canonical(params)), "pid": F.lit(pid).cast("bigint")})
-        out = part if out is None else out.unionByName(part)
-    return out
+    named = learners.labels(bars, name, rows)
+    if only is not None:
+        named = named.join(only.select("ticker", "params").distinct(), ["ticker", "params"], "left_semi")
+    targets = learners.grid_targets(bars, name, rows).join(named.select("ticker", "pid"), ["ticker", "pid"], "left_semi")
+    led = ledger(development_bars(bars, opts, folds).join(targets, ["ticker", "date"]), opts, ("ticker",), ("pid",))
+    wide = _wide_metrics(led, ("ticker", "pid"), ("date",), folds, risk_free_rate)
+    return _result_rows(named.join(wide, ["ticker", "pid"], "left"), name, F.col("complaint"))
+
+
+def classifier_rows(name: str, grid=None, smooth: Sequence[int] | None = None) -> list[dict]:
+    """The parameter sets of a classifier's grid (its whole search space by default), or the given list of sets."""
+    if grid is not None and not isinstance(grid, Mapping):
+        return [dict(row) for row in grid]
+    full = {**(grid or ML_GRIDS[name]), "signal_smooth": list(smooth if smooth is not None else ML_SMOOTH)}
+    return g.combinations(full, list(full))
 
 
 def run_search(bars: DataFrame, strategies: Sequence[str], opts: LedgerOptions, grids: Mapping | None = None,
@@ -270,6 +285,14 @@ def run_search(bars: DataFrame, strategies: Sequence[str], opts: LedgerOptions,
     out = None
     for name in strategies:
         only = None
+        if name in CLASSIFIERS:
+            rows = classifier_rows(name, (grids or {}).get(name), smooth)
+            if done is not None:
+                only = learners.labels(bars, name, rows).join(
+                    done.where(F.col("strategy") == name).select("ticker", "params"), ["ticker", "params"], "left_anti")
+            part = evaluate_classifiers(bars, name, opts, rows, folds, risk_free_rate, only)
+            out = part if out is None else out.unionByName(part)
+            continue
         if done is not None:
             only = remaining(dev, name, done, (grids or {}).get(name), smooth)
         part = evaluate_grid(dev, name, opts, (grids or {}).get(name), smooth, folds, chunks, risk_free_rate, only)

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import linear, trees
 from ..operators import walkforward as w
 from ..operators.features import feature_names
-from ..operators.search import positions
+from ..operators.grid import canonical
+from ..operators.search import positions, run_search
 from ..session import cut_lineage
 from . import views as v
 from .registry import ctes, query, r, rounded
+from .searching import OPTS as SEARCH
+from .searching import dev_sql
+from .sqlparts import ledger_sql, metrics_sql
 from .technical import features_cte
 
 OPTS = w.WalkOptions(train_size=42, step=21, forward=5)
@@ -178,3 +182,43 @@ BOOSTED = (
 def _(t):
     rows = cut_lineage(w.labelled(v.weekly_bars(t), OPTS, THREE))
     return rounded(trees.fit_boosted(rows, OPTS, 1, 2, 0.3, width=3).drop("cut"))
+
+
+# A grid of classifiers through the search: shared moments and neighbour lists, one set that can't be evaluated.
+NB_SETS = [{"lookback": 42, "forward": 5, "var_smoothing": x, "long_short": ls} for x in (1e-3, 1e-2) for ls in (True, False)]
+KNN_SETS = [{"lookback": 42, "forward": 5, "n_neighbors": n, "weights": wt, "p": 2} for n, wt in ((7, "distance"), (7, "uniform"), (15, "uniform"), (400, "uniform"))]
+
+
+def _nb_text(x: float, ls: bool) -> str:
+    return canonical({"lookback": 42, "forward": 5, "var_smoothing": x, "long_short": ls})
+
+
+def _nb_scores(i: int, x: str) -> str:
+    return (f"n{i} as (select f.ticker, f.date, cast(ln(k1.n_/(k0.n_+k1.n_))-0.5*({_ll(1).replace('1e-3', x)})>ln(k0.n_/(k0.n_+k1.n_))-0.5*({_ll(0).replace('1e-3', x)}) as integer) as pred "
+            "from fld f join mom using (ticker,fold) join k0 using (ticker,fold) join k1 using (ticker,fold))")
+
+
+def _votes(text: str, n: int, up: str) -> str:
+    return f"select ticker, date, '{text}' as params, true as ls, cast(sum(case when label=1 then {up} else 0 end)>sum(case when label=0 then {up} else 0 end) as integer) as pred from top where k<={n} group by 1,2"
+
+
+GRID = (
+    *LAB, MOM, _cls(0), _cls(1), _nb_scores(0, "1e-3"), _nb_scores(1, "1e-2"),
+    f"prs as (select f.ticker, f.date, g.label, sqrt({_DIST}) as d from fld f join fits c using (ticker,fold) join mom using (ticker,fold) join lab g on g.ticker=f.ticker and g.rn<=c.cut and g.ok and g.label is not null where c.fitted)",
+    "top as materialized (select *, row_number() over (partition by ticker,date order by d) as k from prs)",
+    "prd as materialized (" + " union all ".join(
+        [f"select ticker, date, '{_nb_text(x, ls)}' as params, {str(ls).lower()} as ls, pred from n{i}" for i, x in enumerate((1e-3, 1e-2)) for ls in (True, False)]
+        + [_votes(canonical(p), p["n_neighbors"], "1/d" if p["weights"] == "distance" else "1") for p in KNN_SETS[:3]]) + ")",
+    *dev_sql(), "sets as (select distinct params, ls from prd)",
+    "c2 as materialized (select dev.*, sets.params, case when pred=1 then 1e0 when pred=0 and sets.ls then -1e0 else 0e0 end as target from dev cross join sets left join prd on prd.ticker=dev.ticker and prd.date=dev.date and prd.params=sets.params)",
+    ledger_sql("c2", keys="ticker,params", lag=1, k="0.00025"), metrics_sql("led", keys="ticker,params,period"),
+    "wide as (select ticker, params, max(case when undefined_ then -99.0 else sharpe0 end) filter (where period='val') as val_sharpe, max(case when undefined_ then -99.0 else sharpe0 end) filter (where period='train') as train_sharpe, "
+    "max(n_observations) filter (where period='val') as val_n_observations, max(trade_count) filter (where period='val') as val_trade_count, max(max_drawdown) filter (where period='val') as val_max_drawdown from met group by 1,2)")
+
+
+@query("sea_classifier_grid", ctes(*GRID, recursive=True)
+       + "select ticker, case when params like '%var_smoothing%' then 'ml_nb' else 'ml_knn' end as strategy, params, cast(null as varchar) as error, val_sharpe, train_sharpe, val_n_observations, val_trade_count, val_max_drawdown from wide "
+       f"union all select distinct ticker, 'ml_knn', '{canonical(KNN_SETS[3])}', 'n_neighbors exceeds the rows of the first training window', cast(null as double), cast(null as double), cast(null as bigint), cast(null as bigint), cast(null as double) from weekly")
+def _(t):
+    res = run_search(v.weekly_bars(t), ["ml_nb", "ml_knn"], SEARCH, {"ml_nb": NB_SETS, "ml_knn": KNN_SETS})
+    return res.select("ticker", "strategy", "params", "error", "val_sharpe", "train_sharpe", "val_n_observations", "val_trade_count", "val_max_drawdown")
