@@ -155,11 +155,13 @@ def _best(cells: DataFrame, growth: Growth) -> DataFrame:
     scale = FINE if growth.boosted else 1.0
     ln, ls, tn, ts = (F.col(c) / F.lit(scale) for c in ("l_n", "l_s", "t_n", "t_s"))
     rn, rs = (F.col("t_n") - F.col("l_n")) / F.lit(scale), (F.col("t_s") - F.col("l_s")) / F.lit(scale)
-    fits = F.col("l_rows") < F.col("t_rows")
+    # the root is asked here, all other nodes before they are opened
+    fits = (F.col("l_rows") < F.col("t_rows")) & (F.col("t_rows") >= growth.min_samples_split)
     if growth.boosted:
         score = ls * ls / (ln + RIDGE) + rs * rs / (rn + RIDGE) - ts * ts / (tn + RIDGE)
         fits = fits & (ln >= LEAST_CURVATURE) & (rn >= LEAST_CURVATURE) & (score > LEAST_GAIN)
     else:
+        fits = fits & (ts > 0) & (ts < tn)
         score = (ls * ls + (ln - ls) * (ln - ls)) / ln + (rs * rs + (rn - rs) * (rn - rs)) / rn
     order = F.when(fits, F.struct(score.alias("score"), -F.col("feature"), -F.col("bin")))
     return scan.groupBy(*NODE).agg(
