@@ -27,6 +27,22 @@ def test_ewm_equals_pandas(spark, lead):
         np.testing.assert_allclose(out[f"e{s}"].astype(float), want, rtol=1e-12, atol=1e-12)
 
 
+def test_ewm_over_many_chapters(spark):
+    """30,000 rows of one key reach over seven chapters; a second key stays short. No window collects more than a chapter."""
+    rng = np.random.default_rng(7)
+    x = {"A": np.cumsum(rng.normal(0, 1, 30_000)), "B": rng.normal(0, 1, 70)}
+    pdf = pd.concat([pd.DataFrame({"ticker": t, "n": range(len(v)), "x": v}) for t, v in x.items()])
+    df = spark.createDataFrame(pdf).withColumn("date", F.date_add(F.lit("1950-01-01"), F.col("n").cast("int")))
+    spans = (12, 200, 2500, 60_000)
+    df = k.with_ewm(df, [("x", k.span_alpha(s), f"e{s}") for s in spans])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_chap" in part.split("windowspecdefinition(")[1].split("ASC")[0] for part in plan.split("collect_list(")[1:])
+    out = df.orderBy("ticker", "n").toPandas()
+    for s in spans:
+        for t, v in x.items():
+            np.testing.assert_allclose(out.loc[out.ticker == t, f"e{s}"], pd.Series(v).ewm(span=s, adjust=False).mean(), rtol=1e-10, atol=1e-10)
+
+
 def test_ewm_of_a_constant_is_exact(spark):
     df = spark.range(200).select(F.lit("A").alias("ticker"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("date"), F.lit(3.7).alias("x"))
     row = k.with_ewm(df, [("x", 0.1, "e")]).agg(F.min("e"), F.max("e")).first()

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 
 #: rows per block of the exponential recursion; decay**-63 stays far inside binary64
 EWM_BLOCK = 64
+EWM_CHAPTER = 64 * EWM_BLOCK
+#: Weight below which an exponential mean leaves earlier chapters out.
+NEGLIGIBLE = 1e-60
+#: Order of time inside a key for operators that use recursion blocks.
+RECURSION_ORDER = ("_chap", "_blk", "_seq")
 EPS = 1e-10
 
 
@@ -142,11 +147,13 @@ def wilder_alpha(period: float) -> float:
 
 
 def with_sequence(df: DataFrame, keys: Sequence[str] = ("ticker",), order="date") -> DataFrame:
-    """Add the 0-based ordinal ``_seq`` and its recursion block ``_blk``."""
+    """Add the 0-based ordinal ``_seq``, its recursion block ``_blk`` and its chapter of blocks ``_chap``."""
     if "_seq" not in df.columns:
         df = df.withColumn("_seq", F.row_number().over(over_time(keys, order)) - 1)
     if "_blk" not in df.columns:
         df = df.withColumn("_blk", (F.col("_seq") / EWM_BLOCK).cast("int"))
+    if "_chap" not in df.columns:
+        df = df.withColumn("_chap", (F.col("_seq") / EWM_CHAPTER).cast("int"))
     return df
 
 
@@ -158,7 +165,7 @@ def _short_memory(source: str, alpha: float, keys: Sequence[str]):
     """The mean for an alpha so near 1 that rows six or more steps back are below the last bit; alpha 1 is the source itself."""
     if alpha >= 1.0:
         return F.col(source)
-    w = Window.partitionBy(*keys).orderBy("_blk", "_seq")
+    w = over_time(keys, RECURSION_ORDER)
     seed = F.first(source, ignorenulls=True).over(running(w))
     terms = [alpha * (1.0 - alpha) ** j * F.coalesce(F.lag(F.col(source), j).over(w) - seed, F.lit(0.0)) for j in range(6)]
     return F.when(F.col(source).isNotNull(), seed + sum(terms[1:], terms[0]))
@@ -169,11 +176,14 @@ def with_ewm(df: DataFrame, specs: Iterable[tuple[str, float, str]], keys: Seque
 
     ``e[t] = (1-alpha) e[t-1] + alpha x[t]``, seeded with the first known value;
     the source may start with NULLs but has none later. The recursion is linear,
-    so it is unrolled in blocks of 64 rows: a running sum of rescaled
-    deviations inside the block, plus the decayed state at the previous block
-    end, which is folded once per block. That keeps the operator in the JVM and
-    linear in the number of rows, whatever the span. All windows share one
-    ordering (keys, block, ordinal), so Spark sorts once.
+    so it is unrolled in three layers: a running sum of rescaled deviations
+    inside a block of 64 rows; the ends of the at most 63 blocks before it in
+    its chapter of 64 blocks, folded once per block; and the state at the end
+    of the chapter before, a scan over chapter ends whose reach doubles until
+    what lies beyond it weighs less than 1e-60 (no doubling at all for spans up
+    to 59). Nothing is collected over more than a chapter, so the cost of a row
+    depends neither on the span nor on the length of the series. All windows
+    share one ordering (keys, chapter, block, ordinal), so Spark sorts once.
     """
     specs = list(specs)
     df = with_sequence(df, keys)
@@ -182,24 +192,35 @@ def with_ewm(df: DataFrame, specs: Iterable[tuple[str, float, str]], keys: Seque
     if any(not 0.0 < a <= 1.0 for _, a, _ in specs):
         raise ValueError("alpha must be in (0, 1]")
     if moving:
-        by_key = Window.partitionBy(*keys).orderBy("_blk", "_seq")
-        in_block = running(Window.partitionBy(*keys, "_blk").orderBy("_seq"))
+        by_key = over_time(keys, RECURSION_ORDER)
+        in_chapter = Window.partitionBy(*keys, "_chap").orderBy("_blk", "_seq")
+        in_block = running(Window.partitionBy(*keys, "_chap", "_blk").orderBy("_seq"))
         slot = F.col("_seq") - F.col("_blk") * EWM_BLOCK
+        page = F.col("_seq") - F.col("_chap") * EWM_CHAPTER
         seeds = {f"_seed_{s}": F.first(s, ignorenulls=True).over(running(by_key)) for s in {m[0] for m in moving}}
         df = df.withColumns(seeds)
-        part, state, final = {}, {}, {}
+        part, state, local, final = {}, {}, {}, {}
         for s, alpha, o in moving:
             decay = 1.0 - alpha
             term = F.lit(alpha) * (F.col(s) - F.col(f"_seed_{s}")) * F.pow(F.lit(decay), -slot)
             part[f"_part_{o}"] = F.coalesce(F.sum(term).over(in_block), F.lit(0.0)) * F.pow(F.lit(decay), slot)
-            ends = F.collect_list(F.when(slot == EWM_BLOCK - 1, F.col(f"_part_{o}"))).over(before(by_key))
+            ends = F.collect_list(F.when(slot == EWM_BLOCK - 1, F.col(f"_part_{o}"))).over(before(in_chapter))
             fold = F.aggregate(ends, F.lit(0.0), _decayed_sum(decay**EWM_BLOCK))
             state[f"_state_{o}"] = F.when(slot == 0, fold)
-            carried = F.last(f"_state_{o}", ignorenulls=True).over(running(by_key))
+            carried = F.last(f"_state_{o}", ignorenulls=True).over(running(in_chapter))
+            local[f"_local_{o}"] = F.col(f"_part_{o}") + F.pow(F.lit(decay), slot + 1) * carried
+            inherited = F.last(f"_end_{o}", ignorenulls=True).over(before(by_key))
             final[o] = F.when(
                 F.col(s).isNotNull(),
-                F.col(f"_seed_{s}") + F.col(f"_part_{o}") + F.pow(F.lit(decay), slot + 1) * carried,
+                F.col(f"_seed_{s}") + F.col(f"_local_{o}") + F.coalesce(F.pow(F.lit(decay), page + 1) * inherited, F.lit(0.0)),
             )
-        df = df.withColumns(part).withColumns(state).withColumns(final)
-        df = df.drop(*seeds, *part, *state)
+        df = df.withColumns(part).withColumns(state).withColumns(local)
+        df = df.withColumns({f"_end_{o}": F.when(page == EWM_CHAPTER - 1, F.col(f"_local_{o}")) for _, _, o in moving})
+        reach = EWM_CHAPTER
+        while wide := [(o, (1.0 - a) ** reach) for _, a, o in moving if (1.0 - a) ** reach >= NEGLIGIBLE]:
+            earlier = {o: F.coalesce(F.lag(f"_end_{o}", reach).over(by_key), F.lit(0.0)) for o, _ in wide}
+            df = df.withColumns({f"_end_{o}": F.col(f"_end_{o}") + weight * earlier[o] for o, weight in wide})
+            reach *= 2
+        df = df.withColumns(final)
+        df = df.drop(*seeds, *part, *state, *local, *[f"_end_{o}" for _, _, o in moving])
     return df.withColumns(copies) if copies else df

@@ -45,7 +45,7 @@ def compute_features(bars: DataFrame, keys=("ticker",), keep=()) -> DataFrame:
     df = with_price_fallback(bars)
     vol = F.coalesce(F.col("volume"), F.lit(0.0)) if "volume" in df.columns else F.lit(1.0)
     df = k.with_sequence(df.withColumn("_vol", vol), keys)
-    w = k.over_time(keys, ("_blk", "_seq"))
+    w = k.over_time(keys, k.RECURSION_ORDER)
     c = F.col("close")
     df = df.withColumns({"_r": k.simple_return("close", 1, w), "_delta": k.difference("close", 1, w)})
     cols = {}

@@ -20,7 +20,7 @@ def with_moving_averages(df: DataFrame, specs: Iterable[tuple[str, int, str]], s
     if unknown:
         raise ValueError(f"unknown moving-average kind: {sorted(unknown)}")
     df = k.with_sequence(df, keys)
-    w = k.over_time(keys, ("_blk", "_seq"))
+    w = k.over_time(keys, k.RECURSION_ORDER)
     plain = {}
     for kind, period, out in specs:
         if kind == "sma":
@@ -52,7 +52,7 @@ def with_atr(df: DataFrame, specs: Iterable[tuple[str, int, str]], keys=("ticker
     """``specs`` are ``(kind, period, output)`` with kind sma or wilder."""
     specs = list(specs)
     df = k.with_sequence(df, keys)
-    w = k.over_time(keys, ("_blk", "_seq"))
+    w = k.over_time(keys, k.RECURSION_ORDER)
     df = df.withColumn("_tr", true_range(w))
     plain = {o: k.sma("_tr", p, w) for kind, p, o in specs if kind == "sma"}
     df = df.withColumns(plain) if plain else df
@@ -70,7 +70,7 @@ def rsi(period: int, w, delta="_delta") -> Column:
 
 def with_rsi(df: DataFrame, periods: Iterable[int], prefix: str = "rsi_", keys=("ticker",)) -> DataFrame:
     df = k.with_sequence(df, keys)
-    w = k.over_time(keys, ("_blk", "_seq"))
+    w = k.over_time(keys, k.RECURSION_ORDER)
     df = df.withColumn("_delta", k.difference("close", 1, w))
     return df.withColumns({f"{prefix}{p}": rsi(p, w) for p in periods}).drop("_delta")
 
@@ -99,7 +99,7 @@ def with_macd(df: DataFrame, fast: int, slow: int, signals: Iterable[int], prefi
 
 def with_adx(df: DataFrame, period: int = 14, out: str = "adx", keys=("ticker",)) -> DataFrame:
     df = k.with_sequence(df, keys)
-    w = k.over_time(keys, ("_blk", "_seq"))
+    w = k.over_time(keys, k.RECURSION_ORDER)
     up = F.col("high") - F.lag("high").over(w)
     down = F.lag("low").over(w) - F.col("low")
     df = df.withColumns({"_up": up, "_down": down, "_tr": true_range(w)})
@@ -118,7 +118,7 @@ def with_adx(df: DataFrame, period: int = 14, out: str = "adx", keys=("ticker",)
 
 def with_heikin_ashi(df: DataFrame, keys=("ticker",)) -> DataFrame:
     df = k.with_sequence(df, keys)
-    w = k.over_time(keys, ("_blk", "_seq"))
+    w = k.over_time(keys, k.RECURSION_ORDER)
     df = df.withColumn("ha_close", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4)
     seed = (F.col("open") + F.col("close")) / 2
     df = df.withColumn("_prev", F.coalesce(F.lag("ha_close").over(w), seed))

@@ -27,7 +27,7 @@ from .splits import halving_resources, with_folds, with_periods
 from .strategies import Strategy, get_strategy
 from .walkforward import CLASSIFIERS, ML_GRIDS, ML_SMOOTH, classifier_positions
 
-ORDER = ("_blk", "_seq")
+ORDER = k.RECURSION_ORDER
 
 
 def _session(base):
@@ -183,7 +183,7 @@ def _run_single(strategy: Strategy, bars: DataFrame, grid: Mapping, smooth: int,
     params = {n: F.lit(float(v[0]) if isinstance(v[0], float) else g.plain(v[0])) for n, v in grid.items()}
     if strategy.machine is not None:
         df = panel.withColumns({n: params[n] for n in strategy.machine_params if n not in strategy.on})
-        keep = ["ticker", "date", "_seq", "_blk", *extra, *strategy.machine_params]
+        keep = ["ticker", "date", *ORDER, *extra, *strategy.machine_params]
         values = [c for c in df.columns if c.startswith("v") and c[1:].isdigit()]
         df = strategy.machine(df.select(*dict.fromkeys(keep), *values), ("ticker",))
     else:

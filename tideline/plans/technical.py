@@ -18,7 +18,7 @@ def W():
 
 
 def SEQ():
-    return k.over_time(("ticker",), ("_blk", "_seq"))
+    return k.over_time(("ticker",), k.RECURSION_ORDER)
 
 
 def ranked(src: str, name: str = "src", extra: str = "") -> str:
