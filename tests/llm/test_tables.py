@@ -404,6 +404,37 @@ def test_nearest_codes(spark, monkeypatch, cost):
     assert [tuple(r) for r in hamming.nearest_codes(few, few.where("id = 1")).collect()] == [(1, 2, 1, 1)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 500, 4000])
+@pytest.mark.parametrize("covered", [-1, 11])
+def test_block_index(n, covered):
+    """Far apart codes, and a third of all with one value in 48 of their bits; k beyond the number of codes meets all of them."""
+    rng = np.random.default_rng(n)
+    codes = np.unique(np.where(rng.random(n) < 1 / 3, rng.integers(0, 2**16, n), rng.integers(-2**63, 2**63, n)))
+    queries = np.concatenate([codes[:20], rng.integers(-2**63, 2**63, 20)])
+    index = hamming.BlockIndex(codes)
+    for k in (1, 11, 5000):
+        query, code, distance = index.nearest(queries, k, covered)
+        got = list(zip(query.tolist(), distance.tolist(), code.tolist(), strict=True))
+        want = []
+        for i, q in enumerate(queries):
+            d = np.bitwise_count((codes ^ q).view(np.uint64)).astype(int)
+            want += [(i, int(d[j]), int(j)) for j in np.argsort(d, kind="stable") if d[j] > covered][:k] if k > n else sorted((i, int(d[j]), int(j)) for j in range(len(codes)) if d[j] > covered)[:k]
+        assert got == want
+
+
+def test_codes_of_long_vectors_are_refused(spark):
+    df = spark.createDataFrame([(1, [0.5] * 65)], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="at most 64"):
+        hamming.sign_codes(df).collect()
+
+
+def test_nearest_codes_ignores_other_columns(spark):
+    rows = [(i, i, "x", i, 0, 1.5) for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, code bigint, qid string, s bigint, distance int, ids double")
+    got = hamming.nearest_codes(df, df.where("id % 10 = 0"), k=3).collect()
+    assert sorted((r.query_id, r.neighbour_id, r.distance, r.rank) for r in got) == nearest([x[:2] for x in rows], [x[:2] for x in rows if x[0] % 10 == 0], 3)
+
+
 def test_sign_codes(spark):
     v = [0.5 if i in (0, 5, 63) else -0.1 for i in range(64)]
     row = hamming.sign_codes(spark.createDataFrame([(1, v, "x"), (2, None, "y"), (3, [1.0], "z")], "vec_id bigint, embedding array<float>, code string"))

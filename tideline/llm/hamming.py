@@ -12,16 +12,21 @@ from pyspark.sql.window import Window
 from tideline.llm.common import stage
 
 BITS = 64
-#: What one lookup in the shuffled index costs, in comparisons of two codes inside a task.
+#: What one lookup in the shuffled index costs, in codes looked at inside a task.
 LOOKUP_COST = 64
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id, code``: bit i of the 64-bit code says whether component i is above 0; missing components are not."""
+    """``id, code``: bit i of the 64-bit code says whether component i is above 0; missing components are not.
+
+    A code has 64 bits: a vector with more components ends the job with an error.
+    """
     bits = [F.when(F.get(F.col(vector_col), F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(BITS)]
     code = bits[0]
     for b in bits[1:]:
         code = code.bitwiseOR(b)
+    fits = F.size(vector_col) <= BITS
+    code = F.when(fits, code).otherwise(F.raise_error(F.concat(F.lit(f"sign_codes takes vectors of at most {BITS} components, this one has "), F.size(vector_col))).cast("bigint"))
     return vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), code.alias("code"))
 
 
@@ -36,13 +41,16 @@ def _segments(code, count: int, width: list[int]):
 def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` codes nearest to every query: query_id, neighbour_id, distance, rank (from 1; ties by id).
 
-    ``codes`` and ``queries`` have id and code. Codes are cut into as many segments as make a segment's values about as many as
-    there are distinct codes. In round t every open query looks up, for each segment, all values at most t bits away. Two codes
-    at most segments * (t + 1) - 1 bits apart have a segment at most t bits apart, so this covers that radius; a query whose
-    kth verified distance is within it is done. A round verifies each pair once (at the first segment that finds it) and keeps
-    distances that earlier rounds didn't cover. Once a query's lookups would cost more than comparing it with every code, the queries
-    still open are compared with all codes, dealt in blocks, for the distances not covered yet. Rounds reach further the more
-    codes there are: as far as distance 3 at a thousand codes, 11 at fifty thousand.
+    ``codes`` and ``queries`` have id and code. Every neighbour is found by looking up segment values within a search radius that
+    grows until the kth verified distance is covered, first in an index over all codes, then in one for each block of codes.
+
+    The index over all codes cuts them into as many segments as make a segment's values about as many as there are distinct
+    codes. In round t every open query looks up, for each segment, all values at most t bits away. Two codes at most
+    segments * (t + 1) - 1 bits apart have a segment at most t bits apart, so this covers that radius; a query whose kth verified
+    distance is within it is done. A round verifies each pair once (at the first segment that finds it) and keeps distances that
+    earlier rounds didn't cover. Lookups across the shuffle cost more than lookups in memory, so once those of the next round
+    outnumber the codes by ``LOOKUP_COST``, the queries still open go on in blocks (:class:`BlockIndex`), whose lookups stay in a
+    task. The index over all codes reaches further the more codes there are: distance 3 at a thousand codes, 11 at fifty thousand.
 
     Equal codes are one entry with its ``k`` least ids, which is all that ties by id can need. A row never is its own neighbour;
     rows with the same id count as one if their codes are equal. Rows with a null id or code are left out. Fewer than ``k``
@@ -86,7 +94,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         if open_queries.isEmpty():
             break
     if not open_queries.isEmpty():
-        found = _all_pairs(open_queries, book, covered, k)
+        found = _in_blocks(open_queries, book, covered, k)
         pairs = found if pairs is None else pairs.unionByName(found)
     if pairs is None:
         pairs = asked.select("qid", F.lit(0).cast("bigint").alias("code"), F.lit(0).alias("distance")).where(F.lit(False))
@@ -96,10 +104,82 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return ranked.select(F.col("qid").alias("query_id"), F.col("nid").alias("neighbour_id"), "distance", "rank")
 
 
-def _all_pairs(queries: DataFrame, book: DataFrame, covered: int, k: int, query_block: int = 1024, code_block: int = 65536) -> DataFrame:
-    """The k + 1 best codes (by distance, then least id) more than ``covered`` bits away in each block of codes, for every query."""
-    import numpy as np
-
+class BlockIndex:
+    """Positions of every segment value among the codes of one block, held in a task."""
+
+    def __init__(self, codes):
+        import numpy as np
+
+        self.codes = np.ascontiguousarray(codes).view(np.uint64)
+        count = max(4, round(BITS / max(2.0, log2(max(2, len(self.codes))))))
+        self.widths = [BITS // count + (i < BITS % count) for i in range(count)]
+        self.shifts = [sum(self.widths[:i]) for i in range(count)]
+        self.order, self.starts = [], []
+        for i, w in enumerate(self.widths):
+            values = self.values(self.codes, i)
+            order = np.argsort(values, kind="stable")
+            self.order.append(order)
+            self.starts.append(np.searchsorted(values[order], np.arange((1 << w) + 1)))
+
+    def values(self, codes, segment: int):
+        import numpy as np
+
+        return ((codes >> np.uint64(self.shifts[segment])) & np.uint64((1 << self.widths[segment]) - 1)).astype(np.int64)
+
+    def nearest(self, queries, k: int, covered: int = -1):
+        """(position of the query, position of the code, distance) of the ``k`` nearest codes more than ``covered`` bits away, ties by position.
+
+        The radii of the segments grow by one bit in turn. Codes fewer bits apart than the sum of all (radius + 1) have a segment
+        within its radius, so a query is done as soon as ``k`` codes nearer than that are verified, or when it has met every
+        code, as it has once a radius is a segment's whole width.
+        """
+        import numpy as np
+
+        queries = np.ascontiguousarray(queries).view(np.uint64)
+        radii = [-1] * len(self.widths)
+        inside = [np.uint64(((1 << w) - 1) << s) for w, s in zip(self.widths, self.shifts, strict=True)]
+        met = np.zeros((len(queries), BITS + 1), np.int64)
+        kept, still = [], np.arange(len(queries))
+        steps = ((r, i) for r in range(max(self.widths) + 1) for i, w in enumerate(self.widths) if r <= w)
+        for r, i in steps:
+            if not len(still):
+                break
+            masks = np.array([sum(1 << b for b in bits) for bits in combinations(range(self.widths[i]), r)], np.int64)
+            values = (self.values(queries[still], i)[:, None] ^ masks).ravel()
+            low = self.starts[i][values]
+            sizes = self.starts[i][values + 1] - low
+            ends = np.cumsum(sizes)
+            code = self.order[i][np.arange(ends[-1]) + np.repeat(low - ends + sizes, sizes)]
+            query = np.repeat(np.repeat(still, len(masks)), sizes)
+            apart = self.codes[code] ^ queries[query]
+            new = np.ones(len(code), bool)
+            for j, radius in enumerate(radii):
+                if j != i and radius >= 0:
+                    new &= np.bitwise_count(apart & inside[j]) > radius
+            code, query, distance = code[new], query[new], np.bitwise_count(apart[new]).astype(np.int64)
+            met += np.bincount(query * (BITS + 1) + distance, minlength=met.size).reshape(met.shape)
+            far = distance > covered
+            kept.append((query[far], distance[far], code[far]))
+            radii[i] = r
+            sure = sum(radii) + len(radii)
+            done = (met[:, covered + 1:sure].sum(axis=1) >= k) | (met.sum(axis=1) == len(self.codes))
+            still = still[~done[still]]
+        if not kept:
+            return (np.empty(0, np.int64),) * 3
+        query, distance, code = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((code, distance, query))
+        query, distance, code = query[order], distance[order], code[order]
+        first = np.searchsorted(query, np.arange(len(queries)))
+        best = np.arange(len(query)) - first[query] < k
+        return query[best], code[best], distance[best]
+
+
+def _in_blocks(queries: DataFrame, book: DataFrame, covered: int, k: int, query_block: int = 8192, code_block: int = 32768, together: int = 32) -> DataFrame:
+    """The k + 1 nearest codes (by distance, then least id) more than ``covered`` bits away in each block of codes, for every query.
+
+    A task indexes one block of codes and asks for ``together`` queries of one block of queries at a time, so it holds at most
+    ``together * code_block`` pairs.
+    """
     codes = book.select("code", F.col("ids")[0].alias("least"))
     blocks = max(1, -(-codes.count() // code_block))
     rounds = max(1, -(-queries.count() // query_block))
@@ -108,22 +188,16 @@ def _all_pairs(queries: DataFrame, book: DataFrame, covered: int, k: int, query_
     kind = dict(queries.dtypes)["qid"]
 
     def run(asked, held):
+        import numpy as np
         import pyarrow as pa
 
-        code, least = held["code"].to_numpy(), held["least"].to_numpy()
-        order = np.argsort(least, kind="stable")
-        code = code[order]
-        out = ([], [], [])
-        for qid, qcode in zip(asked["qid"].to_pylist(), asked["qcode"].to_pylist(), strict=True):
-            # of signed numbers numpy counts the bits of the absolute value
-            d = np.bitwise_count((code ^ np.int64(qcode)).view(np.uint64)).astype(np.int64)
-            d[d <= covered] = 99
-            best = np.argsort(d, kind="stable")[:k + 1]
-            best = best[d[best] < 99]
-            out[0].extend([qid] * len(best))
-            out[1].extend(code[best].tolist())
-            out[2].extend(d[best].tolist())
-        return pa.table({"qid": pa.array(out[0], asked.schema.field("qid").type), "code": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.int32())})
+        code = held["code"].to_numpy()[np.argsort(held["least"].to_numpy(), kind="stable")]
+        index, qcode, out = BlockIndex(code), asked["qcode"].to_numpy(), []
+        for at in range(0, len(qcode), together):
+            query, place, distance = index.nearest(qcode[at:at + together], k + 1, covered)
+            out.append((query + at, code[place], distance))
+        query, found, distance = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        return pa.table({"qid": asked["qid"].combine_chunks().take(pa.array(query)), "code": pa.array(found, pa.int64()), "distance": pa.array(distance, pa.int32())})
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, f"qid {kind}, code bigint, distance int")
 
