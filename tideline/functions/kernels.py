@@ -199,28 +199,29 @@ def with_ewm(df: DataFrame, specs: Iterable[tuple[str, float, str]], keys: Seque
         page = F.col("_seq") - F.col("_chap") * EWM_CHAPTER
         seeds = {f"_seed_{s}": F.first(s, ignorenulls=True).over(running(by_key)) for s in {m[0] for m in moving}}
         df = df.withColumns(seeds)
-        part, state, local, final = {}, {}, {}, {}
+        part, folds, state, end, final = {}, {}, {}, {}, {}
         for s, alpha, o in moving:
             decay = 1.0 - alpha
             term = F.lit(alpha) * (F.col(s) - F.col(f"_seed_{s}")) * F.pow(F.lit(decay), -slot)
             part[f"_part_{o}"] = F.coalesce(F.sum(term).over(in_block), F.lit(0.0)) * F.pow(F.lit(decay), slot)
-            ends = F.collect_list(F.when(slot == EWM_BLOCK - 1, F.col(f"_part_{o}"))).over(before(in_chapter))
+            ends = F.collect_list(F.when(slot == EWM_BLOCK - 1, F.col(f"_part_{o}"))).over(running(in_chapter))
             fold = F.aggregate(ends, F.lit(0.0), _decayed_sum(decay**EWM_BLOCK))
-            state[f"_state_{o}"] = F.when(slot == 0, fold)
-            carried = F.last(f"_state_{o}", ignorenulls=True).over(running(in_chapter))
-            local[f"_local_{o}"] = F.col(f"_part_{o}") + F.pow(F.lit(decay), slot + 1) * carried
+            folds[f"_fold_{o}"] = F.when((slot == 0) | (page == EWM_CHAPTER - 1), fold)
+            state[f"_state_{o}"] = F.when(slot == 0, F.col(f"_fold_{o}"))
+            end[f"_end_{o}"] = F.when(page == EWM_CHAPTER - 1, F.col(f"_fold_{o}"))
+            carried = F.last(f"_state_{o}", ignorenulls=True).over(running(by_key))
             inherited = F.last(f"_end_{o}", ignorenulls=True).over(before(by_key))
             final[o] = F.when(
                 F.col(s).isNotNull(),
-                F.col(f"_seed_{s}") + F.col(f"_local_{o}") + F.coalesce(F.pow(F.lit(decay), page + 1) * inherited, F.lit(0.0)),
+                F.col(f"_seed_{s}") + F.col(f"_part_{o}") + F.pow(F.lit(decay), slot + 1) * carried
+                + F.coalesce(F.pow(F.lit(decay), page + 1) * inherited, F.lit(0.0)),
             )
-        df = df.withColumns(part).withColumns(state).withColumns(local)
-        df = df.withColumns({f"_end_{o}": F.when(page == EWM_CHAPTER - 1, F.col(f"_local_{o}")) for _, _, o in moving})
+        df = df.withColumns(part).withColumns(folds).withColumns({**state, **end})
         reach = EWM_CHAPTER
         while wide := [(o, (1.0 - a) ** reach) for _, a, o in moving if (1.0 - a) ** reach >= NEGLIGIBLE]:
             earlier = {o: F.coalesce(F.lag(f"_end_{o}", reach).over(by_key), F.lit(0.0)) for o, _ in wide}
             df = df.withColumns({f"_end_{o}": F.col(f"_end_{o}") + weight * earlier[o] for o, weight in wide})
             reach *= 2
         df = df.withColumns(final)
-        df = df.drop(*seeds, *part, *state, *local, *[f"_end_{o}" for _, _, o in moving])
+        df = df.drop(*seeds, *part, *folds, *state, *end)
     return df.withColumns(copies) if copies else df
