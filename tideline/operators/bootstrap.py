@@ -35,11 +35,11 @@ class BootstrapOptions:
 
     def __post_init__(self):
         if not 200 <= self.n_resamples <= 20_000 or not 1 <= self.block_length <= 1_000_000:
-            raise ValueError("require 200 <= n_resamples <= 20000 and a positive block_length")
+            raise ValueError("n_resamples lies between 200 and 20000, block_length between 1 and a million")
         if not 0 <= self.seed < 2**32 or not 2 <= self.min_observations <= 1_000_000:
             raise ValueError("seed or min_observations out of range")
         if not 0 < self.confidence_level < 1 or self.n_resamples * (1 - self.confidence_level) / 2 < 5 - 1e-10:
-            raise ValueError("n_resamples must provide at least 5 expected draws per confidence tail")
+            raise ValueError("too few resamples for this confidence level: each tail needs five or more")
         if self.draws not in ("hash", "pcg64"):
             raise ValueError("draws must be hash or pcg64")
 

@@ -51,21 +51,21 @@ class LedgerOptions:
         for name in ("cost_bps", "slippage_bps", "spread_bps", "impact_bps", "min_fee", "financing_rate",
                      "financing_spread", "borrow_bps"):
             if not 0 <= getattr(self, name) < float("inf"):
-                raise ValueError(f"{name} must be finite and non-negative")
+                raise ValueError(f"{name}: expected a number from 0 up, got {getattr(self, name)}")
         for name in ("max_leverage", "initial_capital", "impact_exponent"):
             if not 0 < getattr(self, name) < float("inf"):
-                raise ValueError(f"{name} must be finite and positive")
+                raise ValueError(f"{name}: expected a number above 0, got {getattr(self, name)}")
         for name in ("cash_rate", "short_rebate_rate"):
             if not getattr(self, name) > -1:
-                raise ValueError(f"{name} must be greater than -1")
+                raise ValueError(f"{name}: a rate loses less than everything, got {getattr(self, name)}")
         if not 0 < self.impact_reference_participation <= 1:
-            raise ValueError("impact_reference_participation must be in (0, 1]")
+            raise ValueError("impact_reference_participation is a share of the volume, above 0 and at most 1")
         if self.max_participation is not None and not 0 < self.max_participation <= 1:
-            raise ValueError("max_participation must be in (0, 1]")
+            raise ValueError("max_participation is a share of the volume, above 0 and at most 1, or None")
         if self.execution_lag < 0 or int(self.execution_lag) != self.execution_lag:
-            raise ValueError("execution_lag must be a non-negative integer")
+            raise ValueError(f"execution_lag counts whole bars, got {self.execution_lag}")
         if self.vol_target is not None and (self.vol_target < 0 or self.vol_lookback < 2):
-            raise ValueError("vol_target must be non-negative and vol_lookback at least 2")
+            raise ValueError("vol_target can't be below 0, and a volatility needs a vol_lookback of two returns or more")
 
     @property
     def proportional(self) -> bool:

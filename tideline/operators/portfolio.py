@@ -244,8 +244,8 @@ def _budgeted(targets: DataFrame, prices: DataFrame, opts: ExecutionOptions) ->
     """Turnover-budgeted account: one sequential walk per book over its (date x asset) matrix.
 
     The holdings after each instruction depend on how much of the previous one
-    was filled, so a book is the unit of work. Its size is part of the
-    contract and checked; books run in parallel.
+    was filled, so a book is the unit of work: one task holds a whole book
+    (dates x assets rows) and nothing checks its size. Books run in parallel.
     """
     legs = _scheduled_legs(targets, prices, opts.execution_lag)
     doubles = ("weight", "units", "asset_value", "trade", "requested_trade", "unfilled_trade", "nav", "cash", "asset_pnl", "cash_interest",
