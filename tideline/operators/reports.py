@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null
@@ -38,12 +38,18 @@ def top_table(best: DataFrame) -> DataFrame:
     return best.select(*flat)
 
 
-def interval_table(statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bootstrap statistics as text rows: estimate, interval and status."""
+def fixed(c: Column, digits: int) -> Column:
+    """A double as text with ``digits`` decimals, rounded once and from its exact value (ties to the even digit)."""
+    odd = F.isnan(c) | (F.abs(c) == float("inf"))
+    return F.when(odd, c.cast("string")).otherwise(F.replace(F.format_number(c, digits), F.lit(","), F.lit("")))
+
+
+def interval_table(statistics: DataFrame, keys: Sequence[str], digits: int = 4) -> DataFrame:
+    """Bootstrap statistics as text rows: estimate, interval and status; numbers with ``digits`` decimals."""
     percent = F.col("statistic").isin("strategy_annualized_mean", "benchmark_annualized_mean", "annualized_mean_excess")
     scale = F.when(percent, 100.0).otherwise(1.0)
     unit = F.when(percent, "%").otherwise("")
-    text = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.concat(F.format_string("%.4f", F.col(c) * scale), unit))
+    text = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.concat(fixed(F.col(c) * scale, digits), unit))
     interval = F.when(F.col("ci_low").isNull(), "Not estimated").otherwise(
         F.concat(F.lit("["), text("ci_low"), F.lit(", "), text("ci_high"), F.lit("]")))
     return statistics.select(*keys, "statistic", text("estimate").alias("estimate"), interval.alias("interval"), "status")

@@ -74,8 +74,5 @@ _U = "case when statistic like '%mean%' then '%' else '' end"
 
 @query("rep_bootstrap_table", ctes(*PAIRS, *BOOT, FULL) + f"""select ticker, period, statistic, case when estimate is null then '—' else format('{{:.2f}}',{_PCT.format('estimate')})||{_U} end as estimate, ci_low is not null as estimated, status from full_""")
 def _(t):
-    tab = reports.interval_table(b.bootstrap(paired(t), KEYS, OPTS), KEYS)
-    # two decimals keep the text comparison away from last-bit noise
-    two = F.when(F.col("estimate") == "—", F.col("estimate")).otherwise(
-        F.concat(F.format_string("%.2f", F.regexp_replace("estimate", "%", "").cast("double")), F.when(F.col("estimate").endswith("%"), "%").otherwise("")))
-    return tab.select("ticker", "period", "statistic", two.alias("estimate"), (F.col("interval") != "Not estimated").alias("estimated"), "status")
+    tab = reports.interval_table(b.bootstrap(paired(t), KEYS, OPTS), KEYS, digits=2)
+    return tab.select("ticker", "period", "statistic", "estimate", (F.col("interval") != "Not estimated").alias("estimated"), "status")
