@@ -32,3 +32,9 @@ def test_interval_text_is_rounded_once(spark):
         assert [r.interval for r in rows] == ["Not estimated" if x == "—" else f"[{x}, {x}]" for x in want]
     scaled = stats.withColumn("statistic", stats.statistic.substr(1, 0)).fillna({"estimate": 0.0}).replace("", "annualized_mean_excess")
     assert [r.estimate for r in sorted(reports.interval_table(scaled, ["ticker"], digits=2).collect())] == [f"{(v or 0.0) * 100:.2f}%" for v in values]
+
+
+def test_earlier_overlaps_broadcast_nothing(spark, folder):
+    """What is counted grows with claims and observations, however small a plan takes it to be."""
+    df = entry.queries()["exp_assessment"](spark, folder)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
