@@ -236,3 +236,16 @@ def test_hidden_mail_of_any_length_is_masked_whole(spark):
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 40)], "doc_id bigint, text string, spans string")
     for r in pii.redact(rows).collect():
         assert "aaaa" not in r.text and "dddd" not in r.text and "<EMAIL>" in r.text and r.spans == "x"
+
+
+def test_line_features_need_little_memory():
+    """Eight counts over a long text take one narrow array at a time."""
+    import tracemalloc
+
+    text = "\n".join(["some words " * 400] * 1000)
+    tracemalloc.start()
+    quality.line_features([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(text)
+    assert quality.PIECE_CHARS <= 1 << 20

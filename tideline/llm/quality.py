@@ -15,6 +15,8 @@ from tideline.llm.bpe import slices
 #: The sample that the field is fitted on: labelled documents of each class, and most lines of each (scoring reads all lines).
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 2000
 SCORE = "__tideline_score"
+#: Texts are scored in pieces of about so many characters, which bounds a task's arrays; a longer text is one piece.
+PIECE_CHARS = 1 << 20
 
 #: Bin edges of the features of a line.
 EDGES = {
@@ -61,11 +63,13 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     starts = np.concatenate([[0], ends[:-1] + 1])
     length = ends - starts
     kinds = _CLASSES[data]
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
 
     def share(*classes):
         hit = np.isin(kinds, classes) if len(classes) > 1 else kinds == classes[0]
-        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
-        return total[ends] - total[starts]
+        total = np.zeros(len(data) + 1, narrow)
+        np.cumsum(hit, dtype=narrow, out=total[1:])
+        return (total[ends] - total[starts]).astype(np.int64)
 
     upper, lower, digits, symbols, bars, marks, stops = (share(k) for k in (1, 2, 3, 4, 5, 6, 7))
     words, distinct, repeated, copies = [], [], [], []
@@ -256,7 +260,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         model, out, piece, held = Field(weights), [], [], 0
         for t in texts:
             t = t or ""
-            if piece and held + len(t) > 1 << 23:
+            if piece and held + len(t) > PIECE_CHARS:
                 out.append(model.score(piece))
                 piece, held = [], 0
             piece.append(t)
