@@ -2,7 +2,8 @@
 
 quality      documents that the line classifier scores below 0.7 go
 lines        later occurrences of three-line windows go, and documents of which nothing is left
-near_copies  of each group of near-duplicates (five-word shingles, 0.8 similar or more) the document with the least id stays
+near_copies  of each group of near-duplicates (five-word shingles, 0.8 similar or more; candidates from SimHash groups and minimum
+             hashes) the document with the least id stays
 personal     personal data in the texts is masked
 packing      the texts are packed into sequences; one row for each piece of a document
 """

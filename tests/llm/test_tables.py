@@ -372,6 +372,26 @@ def test_near_duplicates_are_decided_on_whole_sets(spark):
     assert got == {i: i - i % 2 if i - i % 2 in near else i for i in range(120)}
 
 
+def test_near_duplicates_by_the_ring(spark):
+    """Without bands of minimum hashes the fingerprints alone find pairs; the whole sets still decide them."""
+    rng = np.random.default_rng(12)
+    docs = []
+    for i in range(40):
+        text = [f"a{x}" for x in rng.integers(0, 10**6, 400)]
+        docs += [(2 * i, text), (2 * i + 1, text[:-1 - i // 10] + [f"b{x}" for x in range(1 + i // 10)])]
+    # every shingle of a text occurs again and again: equal fingerprints, but a third of the set is other
+    text = [f"c{x}" for x in range(30)]
+    docs += [(80, text * 300), (81, text * 300 + [f"d{x}" for x in range(15)])]
+    rows = [(i, " ".join(t)) for i, t in docs]
+    prints = {i: simhash.simhash(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    near = {i for i in range(0, 82, 2) if ((prints[i] ^ prints[i + 1]) & (2**64 - 1)).bit_count() <= 3}
+    linked = {i for i in near if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8}
+    assert len(linked) > 10 and near - linked == {80}
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bands=0).collect()}
+    assert got == {i: i - i % 2 if i - i % 2 in linked else i for i, _ in rows}
+
+
 # --- codes ----------------------------------------------------------------------------------------------------------------
 
 def nearest(codes, queries, k):

@@ -155,11 +155,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def _profile(text, words, bands, rows, multipliers):
-    whole = shingle_set(text, words)
+    hashes = shingle_hashes(text, words)
+    whole, fp = np.unique(hashes), simhash(hashes)
     same = md5(whole.tobytes()).digest()
     kinds = np.unique(whole >> np.uint64(32))
     if not len(kinds):
-        return same, [], 0
+        return same, [], 0, fp
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(kinds), 4096):
         part = kinds[at:at + 4096][:, None] * multipliers[None, :]
@@ -167,7 +168,7 @@ def _profile(text, words, bands, rows, multipliers):
     mixed = (least.reshape(bands, rows) >> np.uint64(8)) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                                                       0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63][:rows], np.uint64)
     keys = (mixed.sum(axis=1, dtype=np.uint64) ^ (np.arange(bands, dtype=np.uint64) << np.uint64(57))).view(np.int64)
-    return same, keys.tolist(), len(whole)
+    return same, keys.tolist(), len(whole), fp
 
 
 #: Rows, and shingles of all of them, outside and inside a bucket's largest component that one cell compares.
@@ -243,14 +244,25 @@ def _links_between_parts(rows: DataFrame, kind: str, least: float) -> DataFrame:
     return cells.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _ring_buckets(heads: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``id, size, key``: heads whose fingerprints are in one component of the ring's links have one key."""
+    prints = heads.where("size > 0").select("id", "size", "fp")
+    groups = stage(connected_components(Ring(distance, segments).links(stage(prints.select("fp").distinct(), "ring_prints"))), "ring_groups")
+    # always by shuffle: fingerprints with neighbours grow with the corpus
+    named = prints.join(groups.hint("merge"), F.col("fp") == F.col("node"), "left")
+    return named.select("id", "size", F.xxhash64(F.lit("ring"), F.coalesce("root", "fp")).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", distance: int = 3, segments: int = 4) -> DataFrame:
     """``id, group`` for every id: texts whose sets of shingles are ``least`` similar or more are linked, groups are components.
 
-    At this similarity SimHash fingerprints differ in about ten of 64 bits, too many for any index over segments. Candidates
-    therefore share one of ``bands`` keys of ``rows`` minimum hashes of the same shingles (a pair at 0.8 is missed once in 2,500).
-    No fingerprint prunes them: it counts repeats, which the sets do not. The whole sets decide, as 64-bit hashes; a pair goes
-    undecided only where the sizes of its sets forbid ``least``. Sets are made again from the texts that share a key with others.
+    Candidates are the groups of SimHash fingerprints of the shingles, linked at ``distance`` bits or fewer by the ring, as in
+    :func:`simhash_groups`. At 0.8 fingerprints differ in about ten of 64 bits, which no index over segments reaches, so texts
+    that share one of ``bands`` keys of ``rows`` minimum hashes of the same shingles are candidates too (a pair at 0.8 is missed
+    once in 2,500). No fingerprint prunes these: it counts repeats, which the sets do not. The whole sets decide, as 64-bit
+    hashes; a pair goes undecided only where the sizes of its sets forbid ``least``. Sets are made again from the texts that
+    share a key with others.
 
     Equal shingle sets are one node. In a bucket every node is first compared with one pivot; afterwards only nodes of different
     components are compared, those outside the bucket's largest one with the others, inside tasks that give the links alone.
@@ -266,10 +278,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
         for whole in batches:
             for batch in slices(whole, 1):
                 found = [_profile(t, words, bands, rows, multipliers) for t in batch.column(1).to_pylist()]
-                same, keys, size = zip(*found, strict=True) if found else ((), (), ())
+                same, keys, size, fp = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column(0), "same": pa.array(same, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
-                    "size": pa.array(size, pa.int64())})
+                    "size": pa.array(size, pa.int64()), "fp": pa.array(fp, pa.int64())})
 
     def hashed(batches):
         import pyarrow as pa
@@ -280,11 +292,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, bands:
                 yield pa.RecordBatch.from_pydict({"sid": batch.column(0), "whole": pa.array(found, pa.list_(pa.int64()))})
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = stage(texts.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>, size bigint"), "profiles")
+    profiles = stage(texts.mapInArrow(run, f"id {kind}, same binary, keys array<bigint>, size bigint, fp bigint"), "profiles")
     nodes = profiles.groupBy("same").agg(F.min("id").alias("node"))
     copies = stage(profiles.select("id", "same").join(stage(nodes, "set_nodes"), "same").select("id", "node"), "copies")
     heads = profiles.join(copies.where("id = node").select(F.col("node")).distinct(), F.col("id") == F.col("node"), "left_semi")
-    filed = stage(heads.select("id", "size", F.explode("keys").alias("key")), "buckets")
+    filed = heads.select("id", "size", F.explode("keys").alias("key")).unionByName(_ring_buckets(heads, distance, segments))
+    filed = stage(filed, "buckets")
 
     pivots = filed.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pivots = stage(pivots.select(F.col("key").alias("pkey"), F.col("p.id").alias("pid"), F.col("p.size").alias("psize")), "pivots")
