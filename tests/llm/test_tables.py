@@ -442,6 +442,44 @@ def test_block_index(n, covered):
         assert got == want
 
 
+def test_lookups_of_the_shared_index_are_not_broadcast(spark, monkeypatch):
+    """The planner sees as many lookups as queries; at 600,000 codes they were over 8 million and didn't fit the driver."""
+    plans, stage = [], hamming.stage
+    monkeypatch.setattr(hamming, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stage(df, name))
+    rng = np.random.default_rng(4)
+    codes = list(enumerate(rng.integers(-2**63, 2**63, 300).tolist()))
+    df = spark.createDataFrame(codes, "id bigint, code bigint")
+    got = hamming.nearest_codes(df, df.where("id % 50 = 0"), k=10).collect()
+    assert sorted((r.query_id, r.neighbour_id, r.distance, r.rank) for r in got) == nearest(codes, [x for x in codes if x[0] % 50 == 0], 10)
+    lookups = [p for name, p in plans if name == "verified"]
+    assert lookups and not any("Broadcast" in p for p in lookups)
+
+
+@pytest.mark.parametrize("cost", [0.5, 10**9])
+def test_nearest_codes_over_many_blocks(spark, monkeypatch, cost):
+    """Some twenty blocks in three waves, small pieces inside a task, ties at the cut, and clusters with more copies than neighbours asked."""
+    for name, value in (("LOOKUP_COST", cost), ("CODE_BLOCK", 64), ("QUERY_BLOCK", 8), ("TOGETHER", 3), ("LOOKUPS", 16), ("PAIRS", 32)):
+        monkeypatch.setattr(hamming, name, value)
+    rng = np.random.default_rng(12)
+    codes = rng.integers(-2**63, 2**63, 1400)
+    codes[300:500] = codes[:200] ^ (1 << rng.integers(0, 63, 200))
+    codes[500:560], codes[560:900] = codes[3], (codes[7] & ~0xFFF) | rng.integers(0, 2**12, 340)
+    rows = list(enumerate(codes.tolist()))
+    df = spark.createDataFrame(rows, "id bigint, code bigint")
+    got = hamming.nearest_codes(df, df.where("id % 50 = 0"), k=10).collect()
+    assert sorted((r.query_id, r.neighbour_id, r.distance, r.rank) for r in got) == nearest(rows, [x for x in rows if x[0] % 50 == 0], 10)
+
+
+def test_block_index_leaves_out_what_is_too_far():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(-2**63, 2**63, 3000))
+    queries, most = codes[:60] ^ 5, np.arange(60) % 65
+    query, code, distance = hamming.BlockIndex(codes).nearest(queries, 11, 3, most)
+    got = list(zip(query.tolist(), distance.tolist(), code.tolist(), strict=True))
+    apart = np.bitwise_count((codes ^ queries[:, None]).view(np.uint64)).astype(int)
+    assert got == [(i, *x) for i in range(60) for x in sorted((int(apart[i, j]), int(j)) for j in np.flatnonzero((apart[i] > 3) & (apart[i] <= most[i])))[:11]]
+
+
 def test_codes_of_long_vectors_are_refused(spark):
     df = spark.createDataFrame([(1, [0.5] * 65)], "vec_id bigint, embedding array<float>")
     with pytest.raises(Exception, match="at most 64"):
