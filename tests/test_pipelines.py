@@ -36,6 +36,17 @@ def test_chunks_and_lists_do_not_change_results(walk):
     assert key(evaluate_grid(dev, "tsmom", OPTS, rows)) == whole
 
 
+def test_positions_that_die_away_have_no_skewness(spark):
+    """One early trade, smoothed: 160 bars later the returns are some 1e-80, and powers of their moments underflow to 0."""
+    days = pd.bdate_range("2020-01-01", periods=400).date
+    close = np.where(np.arange(400) < 8, 100 * 1.05 ** np.arange(400.0), 140 + 0.01 * (np.arange(400) * 7 % 5))
+    bars = pd.DataFrame({"ticker": "A", "date": days, "open": close, "high": close, "low": close, "close": close, "volume": 1.0, "ann": 252.0})
+    grid = {"lookback": [3], "threshold": [0.05], "long_short": [True], "skip_recent": [0]}
+    rows = evaluate_grid(development_bars(spark.createDataFrame(bars), OPTS), "tsmom", OPTS, grid, [0, 2]).collect()
+    assert len(rows) == 2 and all((r.error, r.val_skew, r.val_kurtosis, r.val_sharpe) == (None, 0.0, 0.0, -99.0) for r in rows)
+    assert all(r.train_total_return > 0.1 and r.train_skew > 1 for r in rows)
+
+
 def test_min_fee_search_uses_the_sequential_account(walk):
     bars, _ = walk
     o = LedgerOptions(execution_lag=1, min_fee=10.0)

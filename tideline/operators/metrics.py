@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDEFINED_SHARPE = -99.0
+#: Returns nearer to 0 count as 0 in skewness and kurtosis. A smoothed position dies away to 1e-60 and less; powers of moments of such
+#: returns underflow, and the aggregates divide by them.
+NO_RETURN = 1e-30
 RETURN_METRICS = ("sharpe", "sortino", "calmar", "max_drawdown", "cagr", "total_return", "volatility", "win_rate",
                   "profit_factor", "skew", "kurtosis")
 ACTIVITY_METRICS = ("n_observations", "trade_count", "exposure", "turnover", "requested_turnover", "fill_ratio",
@@ -59,6 +62,7 @@ def with_period_drawdown(led: DataFrame, keys, order, periods=("train", "val", "
 def _moments(ret: str, rf: float) -> list:
     r = F.col(ret)
     short = F.least(r - F.lit(rf) / F.col("ann"), F.lit(0.0))
+    seen = F.when(F.abs(r) < NO_RETURN, 0.0).otherwise(r)
     return [
         F.count(F.lit(1)).alias("n_observations"),
         F.avg(r).alias("_mean"),
@@ -70,8 +74,8 @@ def _moments(ret: str, rf: float) -> list:
         F.avg((r > 0).cast("double")).alias("_win"),
         F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)).alias("_gain"),
         F.coalesce(F.sum(F.when(r < 0, -r)), F.lit(0.0)).alias("_loss"),
-        F.skewness(r).alias("_g1"),
-        F.kurtosis(r).alias("_g2"),
+        F.skewness(seen).alias("_g1"),
+        F.kurtosis(seen).alias("_g2"),
         F.max("ann").alias("_ann"),
     ]
 
